@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cindergrid.llm import chat, langid, minhash, packing, quality
+from cindergrid.llm import chat, decontam, langid, minhash, packing, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,13 +59,6 @@ def op8_chat_templates(spark, sf_dir):
     return chat.format_conversations(rows.union(extra)).mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def turn_text():
-    t = "coalesce(role,'')||chr(10)||coalesce(text,'')||chr(10)"
-    loss = "coalesce(string_agg(CASE WHEN role='assistant' THEN coalesce(text,'') END, '' ORDER BY turn),'')"
-    return f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
- SELECT conv_id, count(*) n_turns, sha256(string_agg({t}, '' ORDER BY turn)) turns_sha256, length({loss}) loss_chars, sha256({loss}) loss_sha256 FROM c GROUP BY conv_id"""
-
-
 @op
 def op10_best_two_fit_packing(spark, sf_dir):
     return with_crc(packing.pack(read(spark, sf_dir, "documents")))
@@ -77,3 +70,17 @@ def with_crc(pieces):
             crc = pa.array([zlib.crc32(x) for x in b.column(4).to_pylist()], pa.int64())
             yield pa.record_batch([*b.columns[:4], crc, *b.columns[5:]], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
     return pieces.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+@op
+def op3_seed_and_align(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@op
+def op4_semi_markov_pii(spark, sf_dir):
+    def line(c):
+        return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = pii.find(read(spark, sf_dir, "documents"))
+    n = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *n, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
