@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cindergrid.llm import chat, decontam, langid, minhash, packing, pii, quality
+from cindergrid.llm import ann, chat, decontam, langid, minhash, packing, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,3 +84,9 @@ def op4_semi_markov_pii(spark, sf_dir):
     found = pii.find(read(spark, sf_dir, "documents"))
     n = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *n, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+@op
+def op1_learned_partitions(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"))
