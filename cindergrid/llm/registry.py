@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cindergrid.llm import ann, chat, decontam, langid, minhash, packing, pii, quality
+from cindergrid.llm import ann, chat, decontam, langid, linededup, minhash, packing, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -90,3 +90,8 @@ def op4_semi_markov_pii(spark, sf_dir):
 def op1_learned_partitions(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@op
+def op7_prefix_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(read(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
