@@ -46,7 +46,7 @@ def wx(s, d):
     return table(s, d, "orders").groupBy((F.col("o_custkey") % 25).alias("pixel"), F.to_date("o_orderdate").alias("day")).agg((F.sum("o_totalprice") / 1e5).alias("pr"))
 
 
-WX = "WITH w AS (SELECT o_custkey%25 pixel, CAST(o_orderdate AS DATE) day, sum(o_totalprice)/1e5 pr FROM orders GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY day) idx FROM w) "
+WX = "WITH w AS (SELECT o_custkey%25 pixel, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice)/1e5 pr FROM orders GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY day) idx FROM w) "
 
 
 @query(WX + """SELECT pixel, day, round(pr,6) pr, CAST(idx AS INT) idx, round(sum(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 6 PRECEDING),6) sum_7d, round(sum(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 29 PRECEDING),6) sum_30d, round(sum(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 89 PRECEDING),6) sum_90d, round(avg(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 6 PRECEDING),6) mean_7d,
