@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from cindergrid.llm.textkit import written
 
 BUCKETS = 1 << 15
-WORDS = "array_distinct(filter(split(line, '[ \\\\t\\\\r\\\\x0b\\\\f]+'), w -> w <> ''))"
+HAS_WORD = "line rlike '[^ \\\\t\\\\r\\\\x0b\\\\f]'"
+#: Splitting at a single sign is much faster than at a pattern, so other white space is replaced where there is some.
+WORDS = "array_remove(split(if(line rlike '[\\\\t\\\\r\\\\x0b\\\\f]', regexp_replace(line, '[\\\\t\\\\r\\\\x0b\\\\f]', ' '), line), ' '), '')"
 LEAST = -(1 << 63)
 
 
@@ -26,9 +28,9 @@ def keyed(docs):
 
 
 def lines(keyed_docs):
-    """One row for each line with words: doc, h, no, words."""
+    """One row for each line with words: doc, h, no, words (with repeats)."""
     out = keyed_docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return out.select("doc", "h", "no", F.expr(WORDS).alias("words")).filter("size(words) > 0")
+    return out.filter(HAS_WORD).select("doc", "h", "no", F.expr(WORDS).alias("words"))
 
 
 def ranks(all_lines):
@@ -37,13 +39,20 @@ def ranks(all_lines):
     return F.split(F.lit(",".join(str(min(126, int(3 * math.log2(1 + seen.get(b, 0))))) for b in range(BUCKETS))), ",").cast("array<bigint>")
 
 
+def bits(half):
+    """64 parity bits of the word keys of one half; two sets differ in at least as many words as bits."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(0)))
+
+
 def represented(all_lines, rank):
     """One row for each class of lines of equal sets: id, first line, size n, signature and prefix (ordered word keys)."""
-    order = F.sort_array(F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda x: F.shiftleft(F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int")), 56) + F.shiftrightunsigned(x, 8)))
-    out = all_lines.select("doc", "h", "no", F.md5(F.array_join(F.array_sort("words"), " ")).alias("set"), F.size("words").alias("n"), order.alias("keys"))
-    sig = F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    out = out.select("set", F.struct("doc", "h", "no").alias("at"), F.struct("n", sig.alias("sig"), F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)").alias("prefix")).alias("of"))
-    out = out.groupBy("set").agg(F.min("at").alias("at"), F.any_value("of").alias("of"))
+    key = F.transform("words", lambda w: F.xxhash64(w))
+    key = F.transform(key, lambda x: F.shiftleft(F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int")), 56) + F.shiftrightunsigned(x, 8))
+    out = all_lines.select("doc", "h", "no", F.sort_array(F.array_distinct(key)).alias("keys"))
+    out = out.select(F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), F.struct("doc", "h", "no").alias("at"), F.size("keys").alias("n"), "keys")
+    prefix = F.struct("n", *[bits(x).alias(f"sig{x}") for x in (0, 1)], F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)").alias("prefix"))
+    out = out.select("s1", "s2", "at", prefix.alias("of")).groupBy("s1", "s2").agg(F.min("at").alias("at"), F.any_value("of").alias("of"))
     return written(out.select(F.monotonically_increasing_id().alias("id"), "at.*", "of.*"))
 
 
@@ -52,9 +61,9 @@ def candidates(reps):
     def cell(n):
         return F.floor(F.log(n) / math.log(1.5)).cast("int")
     home, top = cell(F.col("n")), cell(F.expr("(5 * n) div 4"))
-    rows = (reps.select("id", "n", "sig", F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
-            .select("id", "n", "sig", "pos", "w", "c", F.explode("cells").alias("cell"))
-            .select(F.xxhash64("w", "cell").alias("key"), "id", "sig", F.expr("n * 65536L * 16 + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p")))
+    rows = (reps.select("id", "n", "sig0", "sig1", F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
+            .select("id", "n", "sig0", "sig1", "pos", "w", "c", F.explode("cells").alias("cell"))
+            .select(F.xxhash64("w", "cell").alias("key"), "id", "sig0", "sig1", F.expr("n * 65536L * 16 + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p")))
     a, b = rows.alias("a"), rows.alias("b")
 
     def n(s):
@@ -63,7 +72,7 @@ def candidates(reps):
     def pos(s):
         return f"((({s}.p) % 1048576) div 2)"
     keep = (f"b.p % 2 = 1 and ({n('a')} < {n('b')} or ({n('a')} = {n('b')} and a.p % 2 = 1 and a.id < b.id)) and 5 * {n('a')} >= 4 * {n('b')} "
-            f"and 9 * ({pos('a')} + {pos('b')}) <= {n('a')} + {n('b')} and 9 * bit_count(a.sig ^ b.sig) <= {n('a')} + {n('b')}")
+            f"and 9 * ({pos('a')} + {pos('b')}) <= {n('a')} + {n('b')} and 9 * (bit_count(a.sig0 ^ b.sig0) + bit_count(a.sig1 ^ b.sig1)) <= {n('a')} + {n('b')}")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(keep)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -73,7 +82,7 @@ def matched(reps, pairs, keyed_docs):
     asked = asked.groupBy("doc", "h").agg(F.collect_list(F.struct("no", "id")).alias("asked"))
     texts = (keyed_docs.join(asked, ["doc", "h"]).dropDuplicates(["doc", "h"]).withColumn("all", F.split("text", "\n"))
              .select("doc", "h", F.inline(F.transform("asked", lambda s: F.struct(s["no"].alias("no"), s["id"].alias("id"), F.get("all", s["no"]).alias("line")))))
-             .select("id", F.struct("doc", "h", "no").alias("at"), F.expr(WORDS).alias("words")))
+             .select("id", F.struct("doc", "h", "no").alias("at"), F.array_distinct(F.expr(WORDS)).alias("words")))
     texts = written(texts)
     x, y = texts.toDF("a", "at_a", "wa"), texts.toDF("b", "at_b", "wb")
     both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
