@@ -6,7 +6,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cindergrid.llm import ann, chat, decontam, langid, linededup, minhash, packing, pii, quality
+from cindergrid.llm import ann, chat, decontam, langid, linededup, lm, minhash, packing, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -95,3 +95,8 @@ def op1_learned_partitions(spark, sf_dir):
 @op
 def op7_prefix_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(read(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@op
+def op9_hashed_maxent_scores(spark, sf_dir):
+    return lm.score(read(spark, sf_dir, "documents"), remainder(7) == 2)
