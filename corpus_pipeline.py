@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import minhash, packing, quality, registry
+from cindergrid.llm import decontam, linededup, minhash, packing, quality, registry
+from cindergrid.llm.textkit import written
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -11,21 +12,35 @@ def quality_stage(spark, docs, sf_dir):
     return quality.score(docs, net).filter(F.col("score") >= 0.7).select(*docs.columns)
 
 
+def line_stage(spark, docs, sf_dir):
+    """Lines that match an earlier line go from the texts; the documents stay."""
+    return linededup.dedup_lines(docs).select(*docs.columns)
+
+
 def minhash_stage(spark, docs, sf_dir):
     """One document of each group of near-duplicates stays."""
     return minhash.keep_one(docs)
 
 
+def decontam_stage(spark, docs, sf_dir):
+    """Documents that leak a test item go."""
+    return decontam.clean(docs, registry.read(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
 def packing_stage(spark, docs, sf_dir):
+    """Pieces of the remaining documents and their places in sequences."""
     return registry.with_crc(packing.pack(docs))
 
 
-STAGES = [("quality", quality_stage), ("minhash", minhash_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("minhash", minhash_stage), ("decontam", decontam_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Each stage's rows are written and read again, so that a lost executor costs one stage at most."""
+    docs = registry.read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
