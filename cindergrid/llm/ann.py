@@ -95,7 +95,7 @@ def chunked(df, part_counts, own, other, name):
     table = F.create_map(*[F.lit(x) for p in range(PARTS) for x in (p, max(1, -(-part_counts.get(p, 0) // own)))])
     count = F.create_map(*[F.lit(x) for p in range(PARTS) for x in (p, max(1, other.get(p, 1)))])
     mine = F.pmod(F.xxhash64("vec_id"), table[F.col("part")])
-    return df.withColumn(name, mine).withColumn("other", F.explode(F.sequence(F.lit(0), count[F.col("part")] - 1)).cast("long"))
+    return df.withColumn(name, mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count[F.col("part")].cast("long") - 1)))
 
 
 def rerank(key, rows, queries):

@@ -4,8 +4,9 @@ Every unit of an element's weight is a column onto which a hashed Poisson proces
 a coordinate. Darts under a document's rank bound that fall inside its region count, and each coordinate keeps the earliest, so two
 signatures agree at a coordinate with the probability of weighted Jaccard similarity. Signatures join in BANDS bands; equal texts are one
 node; in a bucket each node is compared exactly with the bucket's least open node, and nodes that don't match it go on to the next round.
-A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null, empty and wordless texts have
-none and match only their equals (null as empty). Returns doc_id, class_id (least doc_id), similar for all rows; an empty table gives no rows.
+Those that miss it by little are also compared with the ones that matched it, as far as the triangle inequality of Jaccard distances allows a
+link: no link between nodes of a bucket is lost, and a group of near copies needs as many comparisons as it has members. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null, empty and wordless texts have
+none and match only their equals (null as empty). Returns doc_id and class_id (the class's least doc_id) for all rows; an empty table gives no rows.
 """
 
 import numpy as np
@@ -115,7 +116,7 @@ def near_duplicates(docs):
     nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     open_rows = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
-    links = None
+    links = near = None
     while True:
         leaders = open_rows.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
         member = written(open_rows.join(leaders, ["band", "h"]).filter("rep <> b").withColumnRenamed("rep", "a"))
@@ -125,10 +126,15 @@ def near_duplicates(docs):
         sim = written(verified(pairs, texts))
         found = sim.filter(F.col("sim") >= SIMILAR).select("a", "b")
         links = found if links is None else links.union(found)
+        both = member.join(sim.filter(F.col("sim") >= 2 * SIMILAR - 1), ["a", "b"])
+        x, y = both.filter(F.col("sim") >= SIMILAR).selectExpr("band", "h", "b as top", "a as b", "sim as sx"), both.filter(F.col("sim") < SIMILAR).selectExpr("band", "h", "b as top", "a", "sim as sy")
+        cross = y.join(x, ["band", "h", "top"]).filter(F.col("sx") <= F.col("sy") + (1 - SIMILAR) + 1e-9).select("a", "b").distinct()
+        near = cross if near is None else near.union(cross)
         open_rows = member.join(sim.filter(F.col("sim") < SIMILAR), ["a", "b"], "left_semi").select(F.col("a").alias("rep"), "band", "h")
     out = signed.select("doc_id", "key").join(nodes.select("key", "rep"), "key")
     if links is None:
         return out.select("doc_id", F.col("rep").alias("class_id"))
+    links = written(links.union(verified(near.distinct(), texts).filter(F.col("sim") >= SIMILAR).select("a", "b")))
     group = components(links)
     return out.join(group, out.rep == group.node, "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
 
