@@ -10,6 +10,7 @@ text, repeated rows stay; a conversation of one row is fine; an empty table give
 import re
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 CONTROL = ["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>", "<|end|>"]
@@ -18,7 +19,8 @@ _CONTROL = re.compile("|".join(map(re.escape, [MARK, *CONTROL])))
 TEMPLATE = ("{% for m in messages %}{{ '<|turn|>' + m.role + '\n' }}{% if m.role == 'assistant' %}{% generation %}{{ m.text }}{% end %}"
             "{% else %}{{ m.text }}{% end %}{{ '<|end|>' + '\n' }}{% end %}")
 TURN = re.compile(r"<\|turn\|>(.*?)\n(.*?)<\|end\|>\n", re.S)
-SCHEMA = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>, n_turns long"
+PART = 1 << 18
+SCHEMA = "conv_id long, part long, formatted string, loss_spans array<struct<start:long,end:long>>, n_turns long"
 
 
 def escape(text):
@@ -179,15 +181,61 @@ def read_back(formatted):
     return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
 
 
-def format_conversations(rows, template=TEMPLATE):
-    """conv_id, formatted text and loss spans; a conversation is one value, so its turns meet in one row."""
+def format_conversations(rows, template=TEMPLATE, limit=PART):
+    """Parts of formatted conversations: conv_id, part, formatted, loss_spans (within the part), n_turns. Parts in order make up a conversation.
+
+    Rows are ranged by conversation and turn, so a very long conversation is spread over tasks and is never one value; a part ends
+    at a turn's end and at about limit characters. The template has to be one loop over the messages, else a ValueError tells so.
+    """
+    tree = fold(parse(template))
+    if [n[0] for n in tree] != ["for"]:
+        raise ValueError("the template has to be one loop over the messages")
+
+    def run(it):
+        render, task = compile_template(template), TaskContext.get().partitionId()
+        schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_turns", pa.int64())])
+        open_, size, made, conv = [], 0, 0, None
+
+        def closed():
+            nonlocal open_, size, made
+            text, spans = render(open_)
+            out = {"conv_id": conv, "part": (task << 32) + made, "formatted": text, "loss_spans": [{"start": a, "end": b} for a, b in spans], "n_turns": len(open_)}
+            open_, size, made = [], 0, made + 1
+            return out
+        for batch in it:
+            out = []
+            for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
+                if open_ and (c != conv or size > limit):
+                    out.append(closed())
+                conv = c
+                open_.append({"role": escape(role), "text": escape(text)})
+                size += len(text) + len(role)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if open_:
+            yield pa.RecordBatch.from_pylist([closed()], schema=schema)
+    key = ["conv_id", "turn", "role", "text"]
+    plain = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return plain.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(run, SCHEMA)
+
+
+def whole(parts, start, add, finish, schema):
+    """A row for each conversation: finish(conv_id, state) after add(state, part) of its parts in order; only the state is held."""
     def run(it):
-        render = compile_template(template)
+        conv, state = None, None
+        names = [f.split()[0] for f in schema.split(", ")]
         for batch in it:
             out = []
-            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text, spans = render([{"role": escape(t["role"]), "text": escape(t["text"])} for t in turns])
-                out.append({"conv_id": conv, "formatted": text, "loss_spans": [{"start": a, "end": b} for a, b in spans], "n_turns": len(turns)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_turns", pa.int64())]))
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).mapInArrow(run, SCHEMA)
+            for r in batch.to_pylist():
+                if state is None or r["conv_id"] != conv:
+                    if state is not None:
+                        out.append(finish(conv, state))
+                    conv, state = r["conv_id"], start()
+                add(state, r)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, o)) for o in out], schema=_arrow(schema))
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, finish(conv, state)))], schema=_arrow(schema))
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(run, schema)
+
+
+def _arrow(schema):
+    return pa.schema([(f.split()[0], pa.int64() if f.split()[1] == "long" else pa.string()) for f in schema.split(", ")])

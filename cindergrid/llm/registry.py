@@ -47,16 +47,23 @@ def op8_chat_templates(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -1L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text UNION ALL SELECT -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
 
-    def digest(it):
-        for batch in it:
-            out = []
-            for conv, text, spans, n in zip(*(c.to_pylist() for c in batch.columns)):
-                turns = "".join(f"{r}\n{t}\n" for r, t in chat.read_back(text))
-                loss = "".join(chat.unescape(text[s["start"]:s["end"]]) for s in spans)
-                out.append((conv, n, hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-    return chat.format_conversations(rows.union(extra)).mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def start():
+        return {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+
+    def add(state, part):
+        text = part["formatted"]
+        state["n"] += part["n_turns"]
+        state["chars"] += len(text)
+        for r, t in chat.read_back(text):
+            state["turns"].update(f"{r}\n{t}\n".encode())
+        for s in part["loss_spans"]:
+            loss = chat.unescape(text[s["start"]:s["end"]])
+            state["loss"].update(loss.encode())
+            state["loss_chars"] += len(loss)
+
+    def finish(conv, state):
+        return conv, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"]
+    return chat.whole(chat.format_conversations(rows.union(extra)), start, add, finish, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 @op
