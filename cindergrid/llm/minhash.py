@@ -3,12 +3,14 @@
 Every unit of an element's weight is a column onto which a hashed Poisson process throws darts; a dart has a rank, a place within the unit and
 a coordinate. Darts under a document's rank bound that fall inside its region count, and each coordinate keeps the earliest, so two
 signatures agree at a coordinate with the probability of weighted Jaccard similarity. Signatures join in BANDS bands; equal texts are one
-node; in a bucket each node is compared exactly with the bucket's least open node, and nodes that don't match it go on to the next round.
-Those that miss it by little are also compared with the ones that matched it, as far as the triangle inequality of Jaccard distances allows a
-link: no link between nodes of a bucket is lost, and a group of near copies needs as many comparisons as it has members. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null, empty and wordless texts have
+node. In a bucket some nodes lead (FIRST of them at first, four times as many each round) and are compared exactly with all that aren't linked yet;
+linked nodes lead before others and no node leads twice. So a bucket's links are never lost between different components, and a group
+of near copies needs few comparisons for each member. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null, empty and wordless texts have
 none and match only their equals (null as empty). Returns doc_id and class_id (the class's least doc_id) for all rows; an empty table gives no rows.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from cindergrid.llm.graph import components
 from cindergrid.llm.textkit import blocks, mix, shingles, words, written
 
-K, BANDS, N, SIMILAR = 64, 16, 5, 0.8
+K, BANDS, N, SIMILAR, FIRST = 120, 24, 5, 0.8, 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,26 +117,26 @@ def near_duplicates(docs):
     signed = written(sign(docs))
     nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    open_rows = nodes.select("rep", F.posexplode("bands").alias("band", "h"))
-    links = near = None
+    rows = nodes.select("rep", F.posexplode("bands").alias("band", "h"), F.lit(False).alias("linked"))
+    links, width = [], FIRST
     while True:
-        leaders = open_rows.groupBy("band", "h").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        member = written(open_rows.join(leaders, ["band", "h"]).filter("rep <> b").withColumnRenamed("rep", "a"))
-        pairs = member.select("a", "b").distinct()
-        if pairs.isEmpty():
+        rank = F.xxhash64("rep", "band", F.lit(width))
+        bucket = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(F.struct(~F.col("linked"), rank, "rep"))["rep"].alias("first"), F.bool_and("linked").alias("over")).filter("n > 1 and not over")
+        lead = (F.col("rep") == F.col("first")) | (F.pmod(rank, F.ceil(F.col("n") / width)) == 0)
+        rows = written(rows.join(bucket, ["band", "h"]).select("rep", "band", "h", "linked", lead.alias("lead")))
+        if rows.isEmpty():
             break
-        sim = written(verified(pairs, texts))
-        found = sim.filter(F.col("sim") >= SIMILAR).select("a", "b")
-        links = found if links is None else links.union(found)
-        both = member.join(sim.filter(F.col("sim") >= 2 * SIMILAR - 1), ["a", "b"])
-        x, y = both.filter(F.col("sim") >= SIMILAR).selectExpr("band", "h", "b as top", "a as b", "sim as sx"), both.filter(F.col("sim") < SIMILAR).selectExpr("band", "h", "b as top", "a", "sim as sy")
-        cross = y.join(x, ["band", "h", "top"]).filter(F.col("sx") <= F.col("sy") + (1 - SIMILAR) + 1e-9).select("a", "b").distinct()
-        near = cross if near is None else near.union(cross)
-        open_rows = member.join(sim.filter(F.col("sim") < SIMILAR), ["a", "b"], "left_semi").select(F.col("a").alias("rep"), "band", "h")
+        a, b = rows.filter("not linked").selectExpr("band", "h", "rep a", "lead la"), rows.filter("lead").selectExpr("band", "h", "rep b", "linked lb")
+        both = written(a.join(b, ["band", "h"]).filter("a <> b and (a > b or lb or not la)").select("a", "b", "band", "h"))
+        sim = verified(both.select("a", "b").distinct(), texts).filter(F.col("sim") >= SIMILAR).select("a", "b")
+        links.append(written(sim))
+        found = both.join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "band", "h", F.lit(True).alias("now")).distinct()
+        rows = rows.filter("not lead").join(found, ["rep", "band", "h"], "left").select("rep", "band", "h", (F.col("linked") | F.col("now").isNotNull()).alias("linked"))
+        width *= 4
+    links = reduce(lambda x, y: x.union(y), links) if links else None
     out = signed.select("doc_id", "key").join(nodes.select("key", "rep"), "key")
     if links is None:
         return out.select("doc_id", F.col("rep").alias("class_id"))
-    links = written(links.union(verified(near.distinct(), texts).filter(F.col("sim") >= SIMILAR).select("a", "b")))
     group = components(links)
     return out.join(group, out.rep == group.node, "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
 
