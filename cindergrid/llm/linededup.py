@@ -57,23 +57,29 @@ def represented(all_lines, rank):
 
 
 def candidates(reps):
-    """Pairs (a, b) of ids that pass all filters; every pair of similarity 0.8 or more is among them."""
+    """Pairs (a, b) of ids that pass all filters; every pair of similarity 0.8 or more is among them.
+
+    A row goes to the cell of its size (a doubling) and, as a guest, to the next one if it may match there.
+    """
     def cell(n):
-        return F.floor(F.log(n) / math.log(1.5)).cast("int")
+        return F.floor(F.log2(n)).cast("int")
     home, top = cell(F.col("n")), cell(F.expr("(5 * n) div 4"))
-    rows = (reps.select("id", "n", "sig0", "sig1", F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
-            .select("id", "n", "sig0", "sig1", "pos", "w", "c", F.explode("cells").alias("cell"))
-            .select(F.xxhash64("w", "cell").alias("key"), "id", "sig0", "sig1", F.expr("n * 65536L * 16 + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p")))
+    rows = (reps.select("id", "n", "sig0", F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
+            .select("id", "n", "sig0", "pos", "w", "c", F.explode("cells").alias("cell"))
+            .select(F.hash("w", "cell").alias("key"), "id", "sig0", F.expr("n * 65536L * 16 + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p")))
     a, b = rows.alias("a"), rows.alias("b")
 
     def n(s):
         return f"({s}.p div 1048576)"
 
     def pos(s):
-        return f"((({s}.p) % 1048576) div 2)"
+        return f"(({s}.p % 1048576) div 2)"
     keep = (f"b.p % 2 = 1 and ({n('a')} < {n('b')} or ({n('a')} = {n('b')} and a.p % 2 = 1 and a.id < b.id)) and 5 * {n('a')} >= 4 * {n('b')} "
-            f"and 9 * ({pos('a')} + {pos('b')}) <= {n('a')} + {n('b')} and 9 * (bit_count(a.sig0 ^ b.sig0) + bit_count(a.sig1 ^ b.sig1)) <= {n('a')} + {n('b')}")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(keep)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+            f"and 9 * ({pos('a')} + {pos('b')}) <= {n('a')} + {n('b')} and 9 * bit_count(a.sig0 ^ b.sig0) <= {n('a')} + {n('b')}")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(keep)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    own = reps.select("id", "n", "sig0", "sig1")
+    pairs = pairs.join(own.toDF("a", "na", "a0", "a1"), "a").join(own.toDF("b", "nb", "b0", "b1"), "b")
+    return pairs.filter("9 * (bit_count(a0 ^ b0) + bit_count(a1 ^ b1)) <= na + nb").select("a", "b")
 
 
 def matched(reps, pairs, keyed_docs):
