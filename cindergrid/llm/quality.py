@@ -2,7 +2,7 @@
 
 Bytes are embedded; filters of WIDTH bytes at every STRIDE-th place of overlapping chunks cover the whole text; the maxima and
 means of the chunks' filters are combined into one probability. It is trained on the driver by gradient descent on at most
-SAMPLE labelled texts (drawn by a hash of the id; texts over LONGEST bytes train by chunks spread over the whole text; scoring covers every byte).
+SAMPLE labelled rows (drawn by a hash of the id, so few that their ids are broadcast; texts over LONGEST bytes train by chunks spread over the whole text; scoring covers every byte).
 Null and empty texts get the score of an all-zero pooling; repeated rows get equal scores; an empty table gives no rows.
 """
 
@@ -85,9 +85,12 @@ def train(texts, labels, seed=7):
 
 def fit(docs, labels, fold):
     """A network from labelled rows for which fold is true."""
-    rows = (docs.select("doc_id", "text").filter(fold).join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id")
-            .withColumn("text", F.when(F.length("text") <= 40000, F.col("text")).otherwise(F.concat(F.substring("text", 1, 20000), F.expr("right(text, 20000)"))))
-            .orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(SAMPLE).select("text", "quality").collect())
+    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    drawn = docs.filter(fold).select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    names = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in drawn], "doc_id long, quality long")
+    size, part = F.length("text"), LONGEST // 4
+    spread_out = F.concat(*[F.substring(F.col("text"), F.floor((size - part) * k / 3).cast("int") + 1, F.lit(part)) for k in range(4)])
+    rows = docs.select("doc_id", "text").join(F.broadcast(names), "doc_id").select(F.when(size <= LONGEST, F.col("text")).otherwise(spread_out).alias("text"), "quality").collect()
     rows = sorted(rows, key=lambda r: (r.text or "", r.quality))
     return train([r.text for r in rows], [r.quality for r in rows])
 
