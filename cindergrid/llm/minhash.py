@@ -3,10 +3,12 @@
 Every unit of an element's weight is a column onto which a hashed Poisson process throws darts; a dart has a rank, a place within the unit and
 a coordinate. Darts under a document's rank bound that fall inside its region count, and each coordinate keeps the earliest, so two
 signatures agree at a coordinate with the probability of weighted Jaccard similarity. Signatures join in BANDS bands; equal texts are one
-node. In a bucket some nodes lead (FIRST of them at first, four times as many each round) and are compared exactly with all that aren't linked yet;
-linked nodes lead before others and no node leads twice. So a bucket's links are never lost between different components, and a group
-of near copies needs few comparisons for each member. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null, empty and wordless texts have
-none and match only their equals (null as empty). Returns doc_id and class_id (the class's least doc_id) for all rows; an empty table gives no rows.
+node. In each bucket one node is the centre. Nodes that are linked to the centre, or to a linked node, are linked. In rounds more and more nodes
+lead: a leader is compared exactly with all nodes of its bucket that aren't linked yet (and whose size allows a match). A bucket is done when
+all its nodes are linked or have led, so every pair that could join two parts of a bucket is compared, and a group of near copies needs
+few comparisons for each member. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null,
+empty and wordless texts have none and match only their equals (null as empty). Returns doc_id and class_id (the class's least doc_id) for
+all rows; an empty table gives no rows.
 """
 
 from functools import reduce
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from cindergrid.llm.graph import components
 from cindergrid.llm.textkit import blocks, mix, shingles, words, written
 
-K, BANDS, N, SIMILAR, FIRST = 120, 24, 5, 0.8, 2
+K, BANDS, N, SIMILAR, FEW = 120, 24, 5, 0.8, 8
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,14 +84,14 @@ def bands(sig):
 
 
 def sign(docs):
-    """doc_id, key (of equal texts), bands (empty without words)."""
+    """doc_id, key (of equal texts), units (their number), bands (empty without words)."""
     def run(it):
         for batch in it:
             for lo, hi, data, offs in blocks(batch.column(2), 1 << 20):
                 u, row = elements(data, offs)
-                b, has = bands(signatures(u, row, hi - lo)), np.bincount(row, minlength=hi - lo) > 0
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x if y else [] for x, y in zip(b, has)], pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key string, bands array<long>")
+                b, count = bands(signatures(u, row, hi - lo)), np.bincount(row, minlength=hi - lo)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([x if y else [] for x, y in zip(b, count)], pa.list_(pa.int64()))], names=["doc_id", "key", "units", "bands"])
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key string, units long, bands array<long>")
 
 
 def similarity(a, b):
@@ -115,24 +117,34 @@ def verified(pairs, texts):
 def near_duplicates(docs):
     docs = docs.select("doc_id", "text")
     signed = written(sign(docs))
-    nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("units", "bands"), "doc_id").alias("own")).select("key", "rep", "own.*"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = nodes.select("rep", F.posexplode("bands").alias("band", "h"), F.lit(False).alias("linked"))
-    links, width = [], FIRST
+    rows = nodes.select("rep", "units", F.posexplode("bands").alias("band", "h"), F.lit(False).alias("linked"), F.lit(False).alias("led"))
+    links, width = [], 1
     while True:
-        rank = F.xxhash64("rep", "band", F.lit(width))
-        bucket = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(F.struct(~F.col("linked"), rank, "rep"))["rep"].alias("first"), F.bool_and("linked").alias("over")).filter("n > 1 and not over")
-        lead = (F.col("rep") == F.col("first")) | (F.pmod(rank, F.ceil(F.col("n") / width)) == 0)
-        rows = written(rows.join(bucket, ["band", "h"]).select("rep", "band", "h", "linked", lead.alias("lead")))
+        # In the first round the order is the same in all bands, so that a group of near copies has one centre in most of its buckets.
+        rank = F.xxhash64("rep", "band", F.lit(width)) if links else F.xxhash64("rep")
+        bucket = rows.groupBy("band", "h").agg(
+            F.count("*").alias("n"), F.min(F.struct("led", ~F.col("linked"), rank, "rep"))["rep"].alias("first"),
+            (F.bool_and("linked") | F.bool_and("led")).alias("done")).filter("n > 1 and not done").drop("done")
+        lead = (F.col("rep") == F.col("first")) | (F.col("n") <= FEW)
+        if links:
+            lead |= F.pmod(rank, F.ceil(F.col("n") / width)) == 0
+        linked = F.col("linked") if links else F.col("rep") == F.col("first")
+        rows = written(rows.join(bucket, ["band", "h"]).select("rep", "units", "band", "h", linked.alias("linked"), "led", (lead & ~F.col("led")).alias("lead")))
         if rows.isEmpty():
             break
-        a, b = rows.filter("not linked").selectExpr("band", "h", "rep a", "lead la"), rows.filter("lead").selectExpr("band", "h", "rep b", "linked lb")
-        both = written(a.join(b, ["band", "h"]).filter("a <> b and (a > b or lb or not la)").select("a", "b", "band", "h"))
+        texts = written(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        a = rows.filter("not linked").selectExpr("band", "h", "rep a", "units na", "lead la", "led da")
+        b = rows.filter("lead").selectExpr("band", "h", "rep b", "units nb", "linked lb")
+        new = "a <> b and (lb or (not da and (not la or a > b))) and 5 * least(na, nb) >= 4 * greatest(na, nb)"
+        both = written(a.join(b, ["band", "h"]).filter(new).select("a", "b", "band", "h", "lb"))
         sim = verified(both.select("a", "b").distinct(), texts).filter(F.col("sim") >= SIMILAR).select("a", "b")
         links.append(written(sim))
-        found = both.join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "band", "h", F.lit(True).alias("now")).distinct()
-        rows = rows.filter("not lead").join(found, ["rep", "band", "h"], "left").select("rep", "band", "h", (F.col("linked") | F.col("now").isNotNull()).alias("linked"))
-        width *= 4
+        found = both.filter("lb").join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "band", "h", F.lit(True).alias("now")).distinct()
+        rows = rows.select("rep", "units", "band", "h", "linked", (F.col("led") | F.col("lead")).alias("led")).join(found, ["rep", "band", "h"], "left")
+        rows = rows.select("rep", "units", "band", "h", (F.col("linked") | F.col("now").isNotNull()).alias("linked"), "led").filter("not (linked and led)")
+        width *= 8
     links = reduce(lambda x, y: x.union(y), links) if links else None
     out = signed.select("doc_id", "key").join(nodes.select("key", "rep"), "key")
     if links is None:
