@@ -120,3 +120,16 @@ both("fold_metrics", "SELECT l_returnflag, round(avg(l_tax),6) AS mean, round(st
 both("cause_labels", "SELECT o_orderkey, CASE substring(o_orderpriority,1,1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' ELSE 'Not recorded' END AS cause, CASE WHEN substring(o_orderpriority,1,1)='1' THEN 1 ELSE 0 END AS is_urgent FROM orders")
 both("prevalence_meta", "SELECT count(*) AS n, count(CASE WHEN event_type='error' THEN 1 END) AS positives, round(CAST(count(CASE WHEN event_type='error' THEN 1 END) AS DOUBLE)/count(*),6) AS prevalence FROM events")
 both("spread_prob", "SELECT l_orderkey, round(greatest(0,least(1,0.3*exp(0.05*l_tax*l_quantity)*exp(0.4*greatest(-1.5,least(1.5,l_discount)))/sqrt(2))),6) AS p FROM lineitem")
+both("nearest_day", "WITH u AS (SELECT user_id AS k, CAST(ts AS DATE) AS day, event_id AS id FROM events UNION ALL SELECT o_custkey, CAST(o_orderdate AS DATE), NULL FROM orders), w AS (SELECT id, day, max(CASE WHEN id IS NULL THEN day END) OVER (PARTITION BY k ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, min(CASE WHEN id IS NULL THEN day END) OVER (PARTITION BY k ORDER BY day RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM u) SELECT id AS event_id, CASE WHEN p IS NULL OR (q - day) < (day - p) THEN q ELSE p END AS nearest FROM w WHERE id IS NOT NULL")
+both("neighbour_stencil", "WITH g AS (SELECT c_custkey - c_custkey % 100 AS r, c_custkey % 100 AS c, c_acctbal AS v FROM customer), o AS (SELECT * FROM (VALUES (-100,-1),(-100,0),(-100,1),(0,-1),(0,1),(100,-1),(100,0),(100,1)) AS t(dr,dc)), m AS (SELECT r, c, r + dr AS nr, c + dc AS nc FROM g, o) SELECT m.r, m.c, count(*) AS n, max(b.v) AS hi FROM m JOIN g b ON b.r = m.nr AND b.c = m.nc GROUP BY m.r, m.c")
+both("exact_quantiles", "SELECT l_returnflag, round(percentile_cont(0.02) WITHIN GROUP (ORDER BY l_extendedprice),6) AS lo, round(percentile_cont(0.98) WITHIN GROUP (ORDER BY l_extendedprice),6) AS hi FROM lineitem GROUP BY l_returnflag")
+both("median_arrival", "SELECT user_id AS cell, round(median(value),6) AS mid FROM events GROUP BY user_id")
+both("absent_cell_days", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), c AS (SELECT DISTINCT user_id FROM events) SELECT c.user_id, d.day FROM c CROSS JOIN d WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.user_id AND CAST(e.ts AS DATE) = d.day)")
+both("range_classes", "SELECT p_partkey, f.name AS class FROM part LEFT JOIN (VALUES (1,9,'low'),(10,19,'mid'),(25,40,'high')) AS f(a,b,name) ON p_size BETWEEN f.a AND f.b")
+both("principal_axis", "WITH m AS (SELECT l_returnflag AS g, var_pop(l_quantity) AS a, var_pop(l_discount*500) AS b, covar_pop(l_quantity, l_discount*500) AS c FROM lineitem GROUP BY l_returnflag) SELECT g, round(sqrt((a+b+sqrt((a-b)*(a-b)+4*c*c))/(a+b-sqrt((a-b)*(a-b)+4*c*c))),6) AS elongation FROM m")
+both("points_in_polygon", "WITH e AS (SELECT * FROM (VALUES (5.0,5.0,40.0,8.0),(40.0,8.0,30.0,45.0),(30.0,45.0,20.0,20.0),(20.0,20.0,5.0,5.0)) AS t(x1,y1,x2,y2)), p AS (SELECT p_partkey, p_partkey % 47 + 0.25 AS x, p_size + 0.25 AS y FROM part) SELECT p_partkey FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2-x1)*(y-y1)/(y2-y1)+x1 GROUP BY p_partkey HAVING count(*) % 2 = 1")
+both("ring_areas", "WITH v AS (SELECT o_custkey AS k, CAST(o_orderkey % 97 AS DOUBLE) AS x, CAST(o_orderkey % 89 AS DOUBLE) AS y, o_orderkey AS i FROM orders), n AS (SELECT k, x, y, coalesce(lead(x) OVER (PARTITION BY k ORDER BY i), first_value(x) OVER (PARTITION BY k ORDER BY i)) AS x2, coalesce(lead(y) OVER (PARTITION BY k ORDER BY i), first_value(y) OVER (PARTITION BY k ORDER BY i)) AS y2 FROM v) SELECT k, round(abs(sum(x*y2-x2*y))/2,6) AS area FROM n GROUP BY k")
+both("wind_components", "SELECT event_id, round(-value*sin(radians(user_id)),6) AS u, round(-value*cos(radians(user_id)),6) AS v FROM events")
+both("prefix_sums", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),6) AS total FROM events")
+both("outer_merge", "WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS m FROM orders GROUP BY 1) SELECT coalesce(a.day, b.day) AS day, n, m FROM a FULL OUTER JOIN b ON a.day = b.day")
+both("total_bounds", "SELECT min(l_quantity) AS x0, min(l_tax) AS y0, max(l_quantity) AS x1, max(l_tax) AS y1 FROM lineitem")
