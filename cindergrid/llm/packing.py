@@ -1,17 +1,26 @@
 """Best-two-fit packing of tokenised documents into sequences.
 
 Each task tokenises its rows and packs their pieces in pools, so nothing is shuffled: bins of a pool that stay loose go back
-to the next pool, and a task leaves at most a few loose bins. Null and empty texts are one piece (the closing id 0). A text
+to the next pool, and a task leaves at most a few loose bins. Ids of words that a worker has met are kept (at most KEPT short words), as
+the tokenizer encodes each word by itself; texts with other scripts or with its special tokens are encoded whole. Null and empty texts are one piece (the closing id 0). A text
 is never cut short; rows of equal doc_id are packed as separate documents; an empty table gives no rows.
 """
 
-import zlib
+import json
+import re
+import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-SIZE, POOL = 2048, 20000
+SIZE, POOL, KEPT = 2048, 20000, 1 << 19
+#: Scripts whose letters, digits and spaces are the same in all versions of the tables that the patterns use.
+OTHER = re.compile(r"[^\u0000-\u052f]")
+SPACE = "\\t-\\r \x85\xa0"
+#: A word starts at every space, but for those between other white space.
+LOOSE = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
@@ -20,6 +29,62 @@ def default_tokenizer():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Kept(dict):
+    """Ids of short strings that were asked for before; at most KEPT of them."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, key):
+        ids = self.encode(key)
+        if len(key) <= 64:
+            if len(self) >= KEPT:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+def word_pattern():
+    """The byte-level pre-tokenizer's pattern, with classes written out for the scripts that OTHER lets through."""
+    def class_of(kind):
+        return "".join(re.escape(c) for c in map(chr, range(0x530)) if unicodedata.category(c)[0] == kind)
+    letter, number = class_of("L"), class_of("N")
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
+@cache
+def encoder(path):
+    """A function from a text to the tokenizer's ids, as little-endian bytes; one for each Python worker."""
+    from tokenizers import Tokenizer
+
+    tok, pattern = Tokenizer.from_file(path), word_pattern()
+    how = json.loads(tok.to_str())
+    split, special = how["pre_tokenizer"] or {}, [t["content"] for t in how["added_tokens"]]
+    plain = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"] and not how["normalizer"]
+
+    def whole(text):
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+    signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    merge = tok.model.tokenize
+    words = Kept(lambda w: np.array([t.id for t in merge(w.encode().decode("latin-1").translate(signs))], "<u4").tobytes())
+
+    def by_words(text):
+        return b"".join(map(words.__getitem__, pattern.findall(text)))
+
+    after_space = Kept(lambda t: by_words(" " + t))
+
+    def encode(text):
+        if not plain or OTHER.search(text) or any(t in text for t in special):
+            return whole(text)
+        if LOOSE.search(text):
+            return by_words(text)
+        first, *rest = text.split(" ")
+        return by_words(first) + b"".join(map(after_space.__getitem__, rest))
+    return encode
+
+
 def fill(lengths, size, final, slack=8):
     """Bins as lists of indices, and the indices put back because their bin was left loose."""
     by, mask, bins, back = {}, 0, [], []
@@ -74,11 +139,7 @@ def fill(lengths, size, final, slack=8):
 
 def packer(path, size):
     def run(it):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        encode = encoder(path)
         pool, done = [], TaskContext.get().partitionId() << 33
 
         def flush(final):
@@ -100,11 +161,11 @@ def packer(path, size):
         for batch in it:
             doc, text = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(doc), 64):
-                part = [t or "" for t in text.slice(lo, 64).to_pylist()]
-                for d, e in zip(doc[lo:lo + 64], tok.encode_batch_fast(part, add_special_tokens=False)):
-                    ids = np.array(e.ids + [0], "<u4")
-                    cut = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                    pool += [(d, k, a, b - a, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:]))] if len(ids) > size else [(d, 0, 0, len(ids), ids.tobytes())]
+                for d, t in zip(doc[lo:lo + 64], text.slice(lo, 64).to_pylist()):
+                    ids = encode(t or "") + b"\0\0\0\0"
+                    n = len(ids) // 4
+                    cut = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
+                    pool += [(d, k, a, b - a, ids[4 * a:4 * b]) for k, (a, b) in enumerate(zip(cut, cut[1:]))]
                 if len(pool) >= POOL:
                     yield from flush(False)
         yield from flush(True)
