@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from cindergrid.functions.exprs import confidence_label, prior_corrected, wind_from
+from cindergrid.functions.exprs import albers_sql, confidence_label, draw_sql, prior_corrected, wind_from
+from cindergrid.operators.sampling import controls
+from cindergrid.operators.spread import burn_probability, ensemble
 from cindergrid.operators.windows import antecedent, keep_latest, percentile_rank
 from cindergrid.operators.zonal import zonal_mode, zonal_stats
 from cindergrid.sources.tables import table
+from cindergrid.streaming.dedupe import publish
 
 Q, SQL = {}, {}
 
@@ -133,3 +136,61 @@ both("wind_components", "SELECT event_id, round(-value*sin(radians(user_id)),6)
 both("prefix_sums", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),6) AS total FROM events")
 both("outer_merge", "WITH a AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS m FROM orders GROUP BY 1) SELECT coalesce(a.day, b.day) AS day, n, m FROM a FULL OUTER JOIN b ON a.day = b.day")
 both("total_bounds", "SELECT min(l_quantity) AS x0, min(l_tax) AS y0, max(l_quantity) AS x1, max(l_tax) AS y1 FROM lineitem")
+
+
+X, Y = albers_sql("(-124 + 0.4e0 * n_nationkey)", "(33 + 0.3e0 * n_nationkey)")
+both("albers_xy", f"SELECT n_nationkey, round({X},3) AS x, round({Y},3) AS y FROM nation")
+both("feed_summary", "SELECT user_id, count(*) AS total, count(CASE WHEN event_type='click' THEN 1 END) AS vegetation, count(CASE WHEN event_type<>'click' THEN 1 END) AS other, coalesce(max(value),0) AS top FROM events GROUP BY user_id")
+both("overlay_share", "WITH c AS (SELECT p_partkey, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT p_partkey, round(greatest(0,least(x+1,30.25)-greatest(x,4.5))*greatest(0,least(y+1,40.75)-greatest(y,7.25)),6) AS share FROM c WHERE x+1 > 4.5 AND x < 30.25 AND y+1 > 7.25 AND y < 40.75")
+both("nearest_axis", "WITH u AS (SELECT c_custkey AS id, c_acctbal AS v, 1 AS ask FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 0 FROM supplier), "
+     "w AS (SELECT id, v, ask, max(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM u) "
+     "SELECT id AS c_custkey, CASE WHEN hi IS NULL OR v-lo <= hi-v THEN lo ELSE hi END AS near FROM w WHERE ask=1")
+both("stale_cells", "SELECT user_id, max(ts) AS latest, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS stale FROM events GROUP BY user_id")
+
+
+LATTICE = "SELECT c_custkey AS cell, c_custkey DIV 40 AS r, c_custkey % 40 AS c, least(1, 0.25e0 + c_acctbal / 20000) AS fuel FROM customer"
+AROUND = "(VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)) AS o(dir,dr,dc)"
+EDGES = f"SELECT a.cell AS src, b.cell AS dst, dir, greatest(0, least(1, 0.35e0 * b.fuel * exp(0.2e0 * dc) / sqrt(dr*dr + dc*dc))) AS p FROM g a CROSS JOIN {AROUND} JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc"
+RUNS, STEPS, START = 5, 6, 620
+
+
+def unrolled():
+    parts, sql = ["s0"], f"WITH g AS ({LATTICE.replace('DIV', '//')}), e AS ({EDGES}), s0 AS (SELECT range AS run, {START} AS cell, 0 AS arrival FROM range({RUNS}))"
+    for t in range(1, STEPS + 1):
+        now, all_ = (" UNION ALL ".join(f"SELECT * FROM {x}" for x in y) for y in (parts[-2:], parts))
+        sql += f", s{t} AS (SELECT DISTINCT run, dst AS cell, {t} AS arrival FROM ({now}) b JOIN e ON b.cell = e.src WHERE {draw_sql('run', 'src', f'dir + 8 * {t}', 11)} < p AND NOT EXISTS (SELECT 1 FROM ({all_}) z WHERE z.run = b.run AND z.cell = e.dst))"
+        parts.append(f"s{t}")
+    return sql + f" SELECT cell, round(count(*) / {RUNS}.0, 6) AS prob, median(arrival) AS arrival FROM ({' UNION ALL '.join(f'SELECT * FROM {x}' for x in parts)}) GROUP BY cell"
+
+
+@query(unrolled())
+def spread_ensemble(s, d):
+    table(s, d, "customer").createOrReplaceTempView("customer")
+    edges = s.sql(f"WITH g AS ({LATTICE}) {EDGES}")
+    return rounded(burn_probability(ensemble(s.range(RUNS).selectExpr("id AS run", f"{START}L AS cell"), edges, STEPS), RUNS))
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id AS cell, CAST(ts AS DATE) AS day FROM events WHERE event_type='error'), k AS (SELECT max(user_id)+1 AS cells FROM events),
+ x AS (SELECT range AS id, CAST(floor(%s * (SELECT cells FROM k)) AS BIGINT) AS cell, DATE '2024-01-01' + CAST(floor(%s * 366) AS INT) AS day FROM range(4 * (SELECT count(*) FROM p)))
+ SELECT cell, CAST(day AS DATE) AS day FROM (SELECT cell, day, min(id) AS id FROM x GROUP BY cell, day) f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cell = f.cell AND p.day = f.day) ORDER BY id LIMIT (SELECT 2 * count(*) FROM p)"""
+       % tuple(draw_sql("range % 90000", "range // 90000", str(k), 42) for k in (1, 2)))
+def case_control(s, d):
+    e = table(s, d, "events")
+    cases = e.filter("event_type = 'error'").select(F.col("user_id").alias("cell"), F.to_date("ts").alias("day"))
+    return controls(cases, e.agg(F.max("user_id")).first()[0] + 1, "2024-01-01", 366, ratio=2)
+
+
+@query("WITH g AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, p_size = 1 AS dev FROM part) SELECT a.r, a.c, round(min(sqrt((a.r-b.r)**2 + (a.c-b.c)**2)) * 30 / 1000, 6) AS km FROM g a JOIN g b ON b.dev GROUP BY a.r, a.c")
+def distance_transform(s, d):
+    table(s, d, "part").createOrReplaceTempView("part")
+    return s.sql("""WITH g AS (SELECT p_partkey DIV 50 AS r, p_partkey % 50 AS c, CASE WHEN p_size = 1 THEN p_partkey DIV 50 END AS dev FROM part),
+     v AS (SELECT r, c, least(r - max(dev) OVER (PARTITION BY c ORDER BY r), min(dev) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - r) AS dr FROM g)
+     SELECT a.r, a.c, round(min(sqrt(b.dr*b.dr + (a.c-b.c)*(a.c-b.c))) * 30 / 1000, 6) AS km FROM v a JOIN v b ON a.r = b.r AND b.dr IS NOT NULL GROUP BY a.r, a.c""")
+
+
+@query(SQL["dedupe_latest"])
+def stream_dedupe(s, d):
+    schema = table(s, d, "events").schema
+    rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.rint("value").alias("lat"))
+    return publish(rows, "ts", ["lat"], ["event_id"]).select("event_id", "lat", F.col("hour").cast("timestamp_ntz").alias("hr"))
