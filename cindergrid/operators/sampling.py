@@ -6,15 +6,19 @@ from cindergrid.functions.exprs import draw_sql
 
 
 def controls(cases, cells, first_day, days, ratio=20, seed=42, spare=2):
-    """ratio controls for each case (cell, day), without repeats. Draws grow until there are enough, or all free cell-days are drawn."""
+    """ratio controls for each case (cell, day), without repeats. Draws grow until there are enough; where over half of the free cell-days are wanted, all are listed and put in drawn order."""
     cases = cases.select("cell", "day").distinct()
     n = cases.count()
     want = min(ratio * n, cells * days - n)
+    if 2 * want > cells * days - n:
+        every = cases.sparkSession.range(cells * days).select("id", F.expr(f"id div {days} AS cell"), F.expr(f"date_add(date'{first_day}', cast(id % {days} as int)) AS day"))
+        free = every.join(cases, ["cell", "day"], "left_anti")
+        return free.orderBy(F.expr(draw_sql("id % 90000", "id div 90000", "1", seed)), "id").limit(max(0, want)).select("cell", "day")
     m = max(1, spare * want)
     while True:
         drawn = cases.sparkSession.range(m).select("id", F.expr(f"cast(floor({draw_sql('id % 90000', 'id div 90000', '1', seed)} * {cells}) as bigint) AS cell"),
                                                    F.expr(f"date_add(date'{first_day}', cast(floor({draw_sql('id % 90000', 'id div 90000', '2', seed)} * {days}) as int)) AS day"))
         free = drawn.groupBy("cell", "day").agg(F.min("id").alias("id")).join(cases, ["cell", "day"], "left_anti")
-        if want <= 0 or m > 64 * cells * days or free.count() >= want:
+        if want <= 0 or free.count() >= want:
             return free.orderBy("id").limit(max(0, want)).select("cell", "day")
         m *= 2
