@@ -7,8 +7,9 @@ node. In each bucket one node is the centre. Nodes that are linked to the centre
 lead: a leader is compared exactly with all nodes of its bucket that aren't linked yet (and whose size allows a match). A bucket is done when
 all its nodes are linked or have led, so every pair that could join two parts of a bucket is compared, and a group of near copies needs
 few comparisons for each member. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null,
-empty and wordless texts have none and match only their equals (null as empty). Returns doc_id and class_id (the class's least doc_id) for
-all rows; an empty table gives no rows.
+empty and wordless texts have none and match only their equals (null as empty). A node is named by its least doc_id, or, if none
+of its rows has one, by a hash of its text. Returns doc_id and class_id (the class's least doc_id; null if none of its rows has one) for all rows;
+an empty table gives no rows.
 """
 
 from functools import reduce
@@ -83,6 +84,15 @@ def bands(sig):
     return h.view(np.int64)
 
 
+def text_key():
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def bare_name(key):
+    """Name of a node whose rows have no doc_id."""
+    return F.xxhash64(F.lit("no doc_id"), key)
+
+
 def sign(docs):
     """doc_id, key (of equal texts), units (their number), bands (empty without words)."""
     def run(it):
@@ -91,7 +101,7 @@ def sign(docs):
                 u, row = elements(data, offs)
                 b, count = bands(signatures(u, row, hi - lo)), np.bincount(row, minlength=hi - lo)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([x if y else [] for x, y in zip(b, count)], pa.list_(pa.int64()))], names=["doc_id", "key", "units", "bands"])
-    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key string, units long, bands array<long>")
+    return docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key string, units long, bands array<long>")
 
 
 def similarity(a, b):
@@ -114,11 +124,15 @@ def verified(pairs, texts):
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
 
 
-def near_duplicates(docs):
+def classes(docs):
+    """doc_id, key, class (its least node) of all rows, and the nodes."""
     docs = docs.select("doc_id", "text")
     signed = written(sign(docs))
-    nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("units", "bands"), "doc_id").alias("own")).select("key", "rep", "own.*"))
+    nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value(F.struct("units", "bands")).alias("own"))
+                    .select("key", F.coalesce("least", bare_name("key")).alias("rep"), F.col("least").isNull().alias("bare"), "own.*"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bare = texts.filter("doc_id is null").select(bare_name(text_key()).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    texts = texts.filter("doc_id is not null").union(bare)
     rows = nodes.select("rep", "units", F.posexplode("bands").alias("band", "h"), F.lit(False).alias("linked"), F.lit(False).alias("led"))
     links, width = [], 1
     while True:
@@ -148,12 +162,30 @@ def near_duplicates(docs):
     links = reduce(lambda x, y: x.union(y), links) if links else None
     out = signed.select("doc_id", "key").join(nodes.select("key", "rep"), "key")
     if links is None:
-        return out.select("doc_id", F.col("rep").alias("class_id"))
-    group = components(links)
-    return out.join(group, out.rep == group.node, "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
+        return out.select("doc_id", "key", F.col("rep").alias("class")), nodes
+    group = components(links).withColumnRenamed("class", "least")
+    return out.join(group, out.rep == group.node, "left").select("doc_id", "key", F.coalesce("least", "rep").alias("class")), nodes
+
+
+def labelled(docs):
+    """doc_id, key, class and class_id of all rows."""
+    found, nodes = classes(docs)
+    bare = nodes.filter("bare").select(F.col("rep").alias("class"))
+    if bare.isEmpty():
+        return found.withColumn("class_id", F.col("class"))
+    found = written(found)
+    named = found.join(bare, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("least")).withColumn("named", F.lit(True))
+    return found.join(named, "class", "left").select("doc_id", "key", "class", F.when(F.col("named"), F.col("least")).otherwise(F.col("class")).alias("class_id"))
+
+
+def near_duplicates(docs):
+    return labelled(docs).select("doc_id", "class_id")
 
 
 def keep_one(docs):
-    """The document of least id of each class, with all columns."""
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The document of least id of each class, with all columns; one row of a class without ids."""
+    found = written(labelled(docs))
+    kept = found.filter("doc_id = class_id").select("doc_id").distinct()
+    keys = found.filter("class_id is null").groupBy("class").agg(F.min("key").alias("_key")).select("_key")
+    bare = docs.filter("doc_id is null").withColumn("_key", text_key()).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(bare.select(*docs.columns))
