@@ -107,7 +107,16 @@ both("zonal_share", "SELECT l_suppkey cell, round(CAST(100 AS DOUBLE)*count(CASE
 both("cell_event_counts", "SELECT CAST(floor(value/10) AS BIGINT) AS cell, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 both("first_arrival", "SELECT user_id AS cell, min(ts) AS arrival, count(*) AS n FROM events GROUP BY user_id")
 both("byte_ranges", "SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS range_end FROM events")
-both("block_ids", "SELECT c_custkey, dense_rank() OVER (ORDER BY floor(c_acctbal/1000)) - 1 AS block FROM customer".replace("dense_rank() OVER (ORDER BY floor(c_acctbal/1000)) - 1", "CAST(floor(c_acctbal/1000) AS BIGINT)"))
+
+
+@query("SELECT c_custkey, dense_rank() OVER (ORDER BY floor(c_acctbal/1000)) - 1 AS block FROM customer")
+def block_ids(s, d):
+    """Only the distinct bins are ranked in one task."""
+    table(s, d, "customer").createOrReplaceTempView("customer")
+    return s.sql("""WITH c AS (SELECT c_custkey, floor(c_acctbal/1000) AS b FROM customer), r AS (SELECT b, dense_rank() OVER (ORDER BY b NULLS LAST) - 1 AS block FROM (SELECT DISTINCT b FROM c))
+     SELECT c_custkey, CAST(block AS BIGINT) AS block FROM c JOIN r ON c.b <=> r.b""")
+
+
 both("frequency_table", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 both("pivot_counts", "SELECT CAST(ts AS DATE) AS day, count(CASE WHEN event_type='click' THEN 1 END) AS click, count(CASE WHEN event_type='error' THEN 1 END) AS error FROM events GROUP BY 1")
 both("season_terms", "SELECT o_orderkey, round(sin(2*pi()*extract(doy FROM o_orderdate)/365.25),6) AS doy_sin, round(cos(2*pi()*extract(doy FROM o_orderdate)/365.25),6) AS doy_cos FROM orders")
@@ -142,9 +151,21 @@ X, Y = albers_sql("(-124 + 0.4e0 * n_nationkey)", "(33 + 0.3e0 * n_nationkey)")
 both("albers_xy", f"SELECT n_nationkey, round({X},3) AS x, round({Y},3) AS y FROM nation")
 both("feed_summary", "SELECT user_id, count(*) AS total, count(CASE WHEN event_type='click' THEN 1 END) AS vegetation, count(CASE WHEN event_type<>'click' THEN 1 END) AS other, coalesce(max(value),0) AS top FROM events GROUP BY user_id")
 both("overlay_share", "WITH c AS (SELECT p_partkey, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT p_partkey, round(greatest(0,least(x+1,30.25)-greatest(x,4.5))*greatest(0,least(y+1,40.75)-greatest(y,7.25)),6) AS share FROM c WHERE x+1 > 4.5 AND x < 30.25 AND y+1 > 7.25 AND y < 40.75")
-both("nearest_axis", "WITH u AS (SELECT c_custkey AS id, c_acctbal AS v, 1 AS ask FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 0 FROM supplier), "
-     "w AS (SELECT id, v, ask, max(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM u) "
-     "SELECT id AS c_custkey, CASE WHEN hi IS NULL OR v-lo <= hi-v THEN lo ELSE hi END AS near FROM w WHERE ask=1")
+
+
+@query("SELECT c_custkey, min({'d': abs(c_acctbal - s_acctbal), 's': s_acctbal}).s AS near FROM customer LEFT JOIN supplier ON true GROUP BY c_custkey")
+def nearest_axis(s, d):
+    """Windows run within bins; the nearest suppliers outside come from the table of bins, of which there are as many as the axis is long."""
+    for t in ("customer", "supplier"):
+        table(s, d, t).createOrReplaceTempView(t)
+    return s.sql("""WITH u AS (SELECT c_custkey AS id, c_acctbal AS v, 1 AS ask FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 0 FROM supplier WHERE s_acctbal IS NOT NULL),
+     g AS (SELECT floor(v/1000) AS b, min(CASE WHEN ask=0 THEN v END) AS lo, max(CASE WHEN ask=0 THEN v END) AS hi FROM u WHERE v IS NOT NULL GROUP BY 1),
+     o AS (SELECT b, max(hi) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, min(lo) OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above FROM g),
+     w AS (SELECT id, v, ask, floor(v/1000) AS b, max(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM u),
+     n AS (SELECT id, v, coalesce(lo, below) AS lo, coalesce(hi, above) AS hi FROM w LEFT JOIN o ON w.b = o.b WHERE ask=1)
+     SELECT id AS c_custkey, CASE WHEN hi IS NULL OR v-lo <= hi-v THEN lo ELSE hi END AS near FROM n""")
+
+
 both("stale_cells", "SELECT user_id, max(ts) AS latest, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS stale FROM events GROUP BY user_id")
 
 
