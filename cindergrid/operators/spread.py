@@ -8,22 +8,30 @@ from cindergrid.functions.exprs import draw_sql
 from cindergrid.operators.state import written
 
 
+MERGE = 8
+
+
+def union(parts):
+    return reduce(lambda x, y: x.union(y), parts)
+
+
 def step(parts, edges, t, burn, seed):
-    """run, cell, arrival of the cells that step t newly reaches. parts: the arrivals of each step so far; edges: src, dst, dir, p."""
-    burning = reduce(lambda x, y: x.union(y), parts[max(0, t - burn):t])
-    hit = burning.join(edges, burning.cell == edges.src).filter(f"{draw_sql('run', 'src', f'dir + 8 * {t}', seed)} < p").select("run", F.col("dst").alias("cell")).distinct()
-    reached = reduce(lambda x, y: x.union(y), parts)
-    return hit.join(reached, ["run", "cell"], "left_anti").withColumn("arrival", F.lit(t))
+    """run, cell, arrival of the cells that step t newly reaches. parts: arrivals so far, those of the last burn steps each by itself; edges: src, dst, dir, p."""
+    burning = union(parts[-burn:])
+    hit = burning.join(edges, burning.cell == edges.src).filter(f"arrival >= {t - burn} AND {draw_sql('run', 'src', f'dir + 8 * {t}', seed)} < p").select("run", F.col("dst").alias("cell")).distinct()
+    return hit.join(union(parts), ["run", "cell"], "left_anti").withColumn("arrival", F.lit(t))
 
 
 def ensemble(origins, edges, steps, burn=2, seed=11):
     """run, cell, arrival. origins: run, cell. A cell spreads in the burn steps after its arrival; it stops early when nothing burns."""
-    parts = [written(origins.select("run", "cell", F.lit(0).alias("arrival")))]
+    edges, parts = written(edges), [written(origins.select("run", "cell", F.lit(0).alias("arrival")))]
     for t in range(1, steps + 1):
         parts.append(written(step(parts, edges, t, burn, seed)))
         if all(p.isEmpty() for p in parts[-burn:]):
             break
-    return reduce(lambda x, y: x.union(y), parts)
+        if len(parts) > burn + MERGE:
+            parts = [written(union(parts[:-burn]).coalesce(4)), *parts[-burn:]]
+    return union(parts)
 
 
 def burn_probability(arrivals, runs):

@@ -172,23 +172,19 @@ both("stale_cells", "SELECT user_id, max(ts) AS latest, max(ts) < TIMESTAMP '202
 LATTICE = "SELECT c_custkey AS cell, c_custkey DIV 40 AS r, c_custkey % 40 AS c, least(1, 0.25e0 + c_acctbal / 20000) AS fuel FROM customer"
 AROUND = "(VALUES (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)) AS o(dir,dr,dc)"
 EDGES = f"SELECT a.cell AS src, b.cell AS dst, dir, greatest(0, least(1, 0.35e0 * b.fuel * exp(0.2e0 * dc) / sqrt(dr*dr + dc*dc))) AS p FROM g a CROSS JOIN {AROUND} JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc"
-RUNS, STEPS, START = 5, 6, 620
+# Repetitions, hours and burning steps of the ensemble; it starts in the cell of most fuel, the least of equals.
+RUNS, STEPS, BURN = 25, 48, 2
+STATES = f"""WITH RECURSIVE g AS ({LATTICE.replace('DIV', '//')}), e AS ({EDGES}), o AS (SELECT cell FROM g WHERE fuel IS NOT NULL ORDER BY fuel DESC, cell LIMIT 1),
+ s AS (SELECT range AS run, cell, 0 AS arrival, 0 AS t FROM range({RUNS}) CROSS JOIN o UNION ALL SELECT run, cell, CAST(min(arrival) AS INT), CAST(t + 1 AS INT) FROM (SELECT run, cell, arrival, t FROM s WHERE t < {STEPS}
+  UNION ALL SELECT run, dst, t + 1, t FROM s JOIN e ON s.cell = e.src WHERE t < {STEPS} AND arrival > t - {BURN} AND {draw_sql('run', 'src', 'dir + 8 * (t + 1)', 11)} < p) x GROUP BY run, cell, t)"""
 
 
-def unrolled():
-    parts, sql = ["s0"], f"WITH g AS ({LATTICE.replace('DIV', '//')}), e AS ({EDGES}), s0 AS (SELECT range AS run, {START} AS cell, 0 AS arrival FROM range({RUNS}))"
-    for t in range(1, STEPS + 1):
-        now, all_ = (" UNION ALL ".join(f"SELECT * FROM {x}" for x in y) for y in (parts[-2:], parts))
-        sql += f", s{t} AS (SELECT DISTINCT run, dst AS cell, {t} AS arrival FROM ({now}) b JOIN e ON b.cell = e.src WHERE {draw_sql('run', 'src', f'dir + 8 * {t}', 11)} < p AND NOT EXISTS (SELECT 1 FROM ({all_}) z WHERE z.run = b.run AND z.cell = e.dst))"
-        parts.append(f"s{t}")
-    return sql + f" SELECT cell, round(count(*) / {RUNS}.0, 6) AS prob, median(arrival) AS arrival FROM ({' UNION ALL '.join(f'SELECT * FROM {x}' for x in parts)}) GROUP BY cell"
-
-
-@query(unrolled())
+@query(STATES + f" SELECT cell, round(count(*) / {RUNS}.0, 6) AS prob, median(arrival) AS arrival FROM s WHERE t = {STEPS} GROUP BY cell")
 def spread_ensemble(s, d):
     table(s, d, "customer").createOrReplaceTempView("customer")
     edges = s.sql(f"WITH g AS ({LATTICE}) {EDGES}")
-    return rounded(burn_probability(ensemble(s.range(RUNS).selectExpr("id AS run", f"{START}L AS cell"), edges, STEPS), RUNS))
+    origin = s.sql(f"WITH g AS ({LATTICE}) SELECT cell FROM g WHERE fuel IS NOT NULL ORDER BY fuel DESC, cell LIMIT 1")
+    return rounded(burn_probability(ensemble(s.range(RUNS).withColumnRenamed("id", "run").crossJoin(origin), edges, STEPS, BURN), RUNS))
 
 
 @query("""WITH p AS (SELECT DISTINCT user_id AS cell, CAST(ts AS DATE) AS day FROM events WHERE event_type='error'), k AS (SELECT max(user_id)+1 AS cells FROM events),
