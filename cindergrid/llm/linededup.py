@@ -5,21 +5,30 @@ Jaccard similarity of 0.8 or more. Lines of equal sets are one class, of which t
 rarity (counts of BUCKETS hashed buckets, a bounded table; any fixed order is right, a rarer one is faster); the rarest words of a line, its
 prefix, are the join keys, together with a cell of the line's size. Length, positional and bit-signature filters are part of
 the join; what is left is verified on the words themselves.
+
+The join runs twice. First each line is compared with the first line of its two rarest words only, which removes most lines of a
+group of near copies with few pairs; then pairs of which one line at least still stands are formed, so that a group gives few
+pairs for each member. Removed lines remain earlier matches for others.
 Lines without words stay. Null texts stay null, empty ones empty. Null doc_ids come first. Rows equal in doc_id and text are one document and
-are treated alike. Returns all columns of docs with text replaced, and n_lines and n_removed on request; an empty table gives no rows.
+are treated alike. Returns all columns of docs with text replaced, whatever their names, and n_lines and n_removed on request (in place of columns of these
+names); an empty table gives no rows.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm.textkit import written
+from cindergrid.llm.textkit import discard, written
 
-BUCKETS = 1 << 15
-HAS_WORD = "line rlike '[^ \\\\t\\\\r\\\\x0b\\\\f]'"
-#: Splitting at a single sign is much faster than at a pattern, so other white space is replaced where there is some.
-WORDS = "array_remove(split(if(line rlike '[\\\\t\\\\r\\\\x0b\\\\f]', regexp_replace(line, '[\\\\t\\\\r\\\\x0b\\\\f]', ' '), line), ' '), '')"
+BUCKETS, MARKS, WIDE = 1 << 16, 1 << 21, 96
 LEAST = -(1 << 63)
+#: White space within a line.
+SPACE = " \t\r\x0b\f"
+
+
+def number(k):
+    return F.lit(k).cast("bigint")
 
 
 def keyed(docs):
@@ -27,73 +36,100 @@ def keyed(docs):
     return docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), F.xxhash64("text").alias("h"), "text")
 
 
+def has_word(line):
+    return F.ltrim(line, F.lit(SPACE)) != ""
+
+
+def words(line):
+    """Words with repeats. Splitting at a single sign is much faster than at a pattern, so other white space is replaced where there is some."""
+    other = reduce(lambda x, y: x | y, [F.contains(line, F.lit(c)) for c in SPACE[1:]])
+    return F.array_remove(F.split(F.when(other, F.translate(line, SPACE[1:], " " * 4)).otherwise(line), " "), "")
+
+
 def lines(keyed_docs):
-    """One row for each line with words: doc, h, no, words (with repeats)."""
-    out = keyed_docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return out.filter(HAS_WORD).select("doc", "h", "no", F.expr(WORDS).alias("words"))
+    """One row for each line with words: doc, h, no, line."""
+    return keyed_docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(has_word(F.col("line")))
+
+
+def bounded(numbers, size):
+    """A foldable array of size numbers, 0 where none is given."""
+    return F.split(F.lit(",".join(str(numbers.get(b, 0)) for b in range(size))), ",").cast("array<bigint>")
 
 
 def ranks(all_lines):
-    """Rarity of each bucket of words, 0 (rare) to 126: a foldable array of BUCKETS numbers."""
-    seen = {r.b: r.n for r in all_lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
-    return F.split(F.lit(",".join(str(min(126, int(3 * math.log2(1 + seen.get(b, 0))))) for b in range(BUCKETS))), ",").cast("array<bigint>")
+    """Rarity of each bucket of words, 0 (rare) to 126, as the highest bits of a word key."""
+    seen = all_lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), number(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    return bounded({r.b: min(126, int(3 * math.log2(1 + r.n))) << 56 for r in seen.collect()}, BUCKETS)
 
 
-def bits(half):
-    """64 parity bits of the word keys of one half; two sets differ in at least as many words as bits."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate("keys", F.lit(0).cast("bigint"), lambda a, k: a.bitwiseXOR(F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(0)))
+def parity(keys):
+    """64 parity bits; two sets differ in at least as many words as bits."""
+    return F.aggregate(keys, number(0), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", number(1), k.bitwiseAND(number(63)).cast("int"))))
 
 
 def represented(all_lines, rank):
-    """One row for each class of lines of equal sets: id, first line, size n, signature and prefix (ordered word keys)."""
-    key = F.transform("words", lambda w: F.xxhash64(w))
-    key = F.transform(key, lambda x: F.shiftleft(F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int")), 56) + F.shiftrightunsigned(x, 8))
-    out = all_lines.select("doc", "h", "no", F.sort_array(F.array_distinct(key)).alias("keys"))
+    """One row for each class of lines of equal sets: id, first line, size n, signature (sig; for long lines also that of half of the words, hi) and prefix."""
+    def key(w):
+        x = F.xxhash64(w)
+        return F.coalesce(F.get(rank, F.pmod(x, number(BUCKETS)).cast("int")), number(0)) + F.shiftrightunsigned(x, 8)
+    out = all_lines.select("doc", "h", "no", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key))).alias("keys"))
     out = out.select(F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), F.struct("doc", "h", "no").alias("at"), F.size("keys").alias("n"), "keys")
-    prefix = F.struct("n", *[bits(x).alias(f"sig{x}") for x in (0, 1)], F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)").alias("prefix"))
+    half = F.when(F.col("n") > WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(number(64)) > 0)))
+    prefix = F.struct("n", parity("keys").alias("sig"), half.alias("hi"), F.transform(F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)"), lambda k: F.hash(k)).alias("prefix"))
     out = out.select("s1", "s2", "at", prefix.alias("of")).groupBy("s1", "s2").agg(F.min("at").alias("at"), F.any_value("of").alias("of"))
     return written(out.select(F.monotonically_increasing_id().alias("id"), "at.*", "of.*"))
 
 
-def candidates(reps):
-    """Pairs (a, b) of ids that pass all filters; every pair of similarity 0.8 or more is among them.
+#: What two lines a and b of sizes na and nb with their first common word at places pa and pb can have in common: overlap is at most na - pa and nb - pb.
+PLACES = "9 * pa <= 5 * na - 4 * nb and 9 * pb <= 5 * nb - 4 * na"
+#: The words that they differ in are at least as many as their signatures' bits.
+BITS = "9 * if(ha is null or hb is null, bit_count(sa ^ sb), bit_count(ha ^ hb) + bit_count(ha ^ sa ^ hb ^ sb)) <= na + nb"
+
+
+def first_pairs(reps):
+    """Pairs (a, b) of a line b and the first line a that has a word among its two rarest that is also among b's two rarest."""
+    rows = reps.select("id", "n", "sig", "hi", "doc", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "key"))
+    first = rows.groupBy("key").agg(F.min(F.struct("doc", "id", "n", "pos", "sig", "hi")).alias("x"), F.count("*").alias("k")).filter("k > 1")
+    first = first.select("key", *[F.col(f"x.{c}").alias(d) for c, d in (("id", "a"), ("n", "na"), ("pos", "pa"), ("sig", "sa"), ("hi", "ha"))])
+    both = first.join(rows.selectExpr("key", "id b", "n nb", "pos pb", "sig sb", "hi hb"), "key")
+    return both.filter(f"a <> b and {PLACES} and {BITS}").select("a", "b").distinct()
+
+
+def candidates(reps, decided):
+    """Pairs (a, b) of ids that pass all filters; every pair of similarity 0.8 or more is among them, but for those of two decided lines.
 
     A row goes to the cell of its size (a doubling) and, as a guest, to the next one if it may match there.
     """
     def cell(n):
         return F.floor(F.log2(n)).cast("int")
+    rows = reps.join(decided.withColumn("off", F.lit(True)), "id", "left")
     home, top = cell(F.col("n")), cell(F.expr("(5 * n) div 4"))
-    rows = (reps.select("id", "n", "sig0", F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
-            .select("id", "n", "sig0", "pos", "w", "c", F.explode("cells").alias("cell"))
-            .select(F.hash("w", "cell").alias("key"), "id", "sig0", F.expr("n * 65536L * 16 + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p")))
-    a, b = rows.alias("a"), rows.alias("b")
-
-    def n(s):
-        return f"({s}.p div 1048576)"
-
-    def pos(s):
-        return f"(({s}.p % 1048576) div 2)"
-    keep = (f"b.p % 2 = 1 and ({n('a')} < {n('b')} or ({n('a')} = {n('b')} and a.p % 2 = 1 and a.id < b.id)) and 5 * {n('a')} >= 4 * {n('b')} "
-            f"and 9 * ({pos('a')} + {pos('b')}) <= {n('a')} + {n('b')} and 9 * bit_count(a.sig0 ^ b.sig0) <= {n('a')} + {n('b')}")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(keep)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    own = reps.select("id", "n", "sig0", "sig1")
-    pairs = pairs.join(own.toDF("a", "na", "a0", "a1"), "a").join(own.toDF("b", "nb", "b0", "b1"), "b")
-    return pairs.filter("9 * (bit_count(a0 ^ b0) + bit_count(a1 ^ b1)) <= na + nb").select("a", "b")
+    rows = (rows.select("id", "n", "sig", "hi", F.col("off").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
+            .select("id", "n", "sig", "hi", "open", "pos", "w", "c", F.explode("cells").alias("cell"))
+            .select(F.hash("w", "cell").alias("key"), "id", "sig", "hi", F.expr("n * 2097152L + least(pos, 524287) * 4 + if(open, 2, 0) + if(cell = c, 1, 0)").alias("p")))
+    a, b = rows.toDF("key", "a", "sa", "ha", "p"), rows.toDF("key", "b", "sb", "hb", "q")
+    keep = "q % 2 = 1 and (p & 2) + (q & 2) > 0 and (na < nb or (na = nb and p % 2 = 1 and a < b)) and " + PLACES + " and " + BITS
+    for name, value in (("na", "(p div 2097152)"), ("nb", "(q div 2097152)"), ("pa", "((p % 2097152) div 4)"), ("pb", "((q % 2097152) div 4)")):
+        keep = keep.replace(name, value)
+    return a.join(b, (a.key == b.key) & F.expr(keep)).select("a", "b").distinct()
 
 
 def matched(reps, pairs, keyed_docs):
-    """Ids of classes whose first line has an earlier match, verified on words."""
-    asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    asked = asked.groupBy("doc", "h").agg(F.collect_list(F.struct("no", "id")).alias("asked"))
-    texts = (keyed_docs.join(asked, ["doc", "h"]).dropDuplicates(["doc", "h"]).withColumn("all", F.split("text", "\n"))
-             .select("doc", "h", F.inline(F.transform("asked", lambda s: F.struct(s["no"].alias("no"), s["id"].alias("id"), F.get("all", s["no"]).alias("line")))))
-             .select("id", F.struct("doc", "h", "no").alias("at"), F.array_distinct(F.expr(WORDS)).alias("words")))
-    texts = written(texts)
-    x, y = texts.toDF("a", "at_a", "wa"), texts.toDF("b", "at_b", "wb")
-    both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
+    """Ids of lines of pairs that have an earlier match, verified on words.
+
+    The lines asked for are found by a bit table of fixed size, so that few others are shuffled; a full table only lets more through.
+    """
+    asked = written(reps.select("id", "doc", "h", "no").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
+    place = F.pmod(F.xxhash64("doc", "h", "no"), number(MARKS))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    marks = asked.groupBy(word.alias("k")).agg(F.bit_or(F.call_function("shiftleft", number(1), bit)).alias("v")).collect()
+    own = lines(keyed_docs).filter(F.call_function("getbit", F.get(bounded({r.k: r.v for r in marks}, MARKS // 64), word), bit) == 1)
+    own = own.join(asked, ["doc", "h", "no"]).select("id", F.struct("doc", "h", "no").alias("at"), F.array_distinct(words(F.col("line"))).alias("words")).dropDuplicates(["id"])
+    both = pairs.join(own.toDF("a", "at_a", "wa"), "a").join(own.toDF("b", "at_b", "wb"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
     similar = both.filter("9 * both >= 4 * (size(wa) + size(wb))")
-    return similar.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    out = written(similar.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    discard(asked)
+    return out
 
 
 def dedup_lines(docs, counts=False):
@@ -101,12 +137,17 @@ def dedup_lines(docs, counts=False):
     small = keyed(docs)
     own = lines(small)
     reps = represented(own, ranks(own))
-    pairs = written(candidates(reps))
-    kept = reps.join(matched(reps, pairs, small), "id", "left_anti").groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_set("no").alias("_kept"))
-    all_ = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(LEAST)), "_x": F.xxhash64("text")})
-    out = all_.join(kept, (F.col("_d") == F.col("_doc")) & (F.col("_x") == F.col("_h")), "left").withColumn("_all", F.split("text", "\n"))
-    stay = F.filter("_all", lambda v, i: ~v.rlike("[^ \\t\\r\\x0b\\f]") | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
+    pairs = written(first_pairs(reps))
+    gone = matched(reps, pairs, small)
+    discard(pairs)
+    pairs = written(candidates(reps, gone))
+    gone = gone.union(matched(reps, pairs, small))
+    discard(pairs)
+    kept = reps.select("id", "doc", "h", "no").join(gone, "id", "left_anti").groupBy("doc", "h").agg(F.collect_set("no").alias("kept"))
+    whole = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = whole.join(kept, ["doc", "h"], "left").withColumn("all", F.split(F.col("row")["text"], "\n"))
+    stay = F.filter("all", lambda v, i: ~has_word(v) | F.coalesce(F.array_contains("kept", i), F.lit(False)))
     new = {"text": F.array_join(stay, "\n")}
     if counts:
-        new |= {"n_lines": F.coalesce(F.size("_all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_all") - F.size(stay), F.lit(0)).cast("long")}
-    return out.withColumns(new).select(*[c for c in docs.columns if c not in new or c == "text"], *[c for c in new if c != "text"])
+        new |= {"n_lines": F.coalesce(F.size("all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("all") - F.size(stay), F.lit(0)).cast("long")}
+    return out.select(*[new[c].alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in new or c == "text"], *[v.alias(c) for c, v in new.items() if c != "text"])

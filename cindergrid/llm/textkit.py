@@ -77,16 +77,33 @@ def shingles(h, row, n):
 
 
 def shared_dir(spark):
-    """Folder that driver and executors share; a folder of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cindergrid-checkpoints"
+    """Folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/t-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df):
-    """The rows written to the shared folder and read again: cuts lineage and outlives executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written to the shared folder and read again: cuts lineage and outlives executors. Shuffle files of the write go when it is done."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables):
+    """Deletes tables of written() that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batches(names, types):
