@@ -19,9 +19,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm.textkit import discard, written
+from cindergrid.llm.textkit import bounded, discard, marked, written
 
-BUCKETS, MARKS, WIDE = 1 << 16, 1 << 21, 96
+BUCKETS, WIDE = 1 << 16, 96
 LEAST = -(1 << 63)
 #: White space within a line.
 SPACE = " \t\r\x0b\f"
@@ -51,11 +51,6 @@ def lines(keyed_docs):
     return keyed_docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(has_word(F.col("line")))
 
 
-def bounded(numbers, size):
-    """A foldable array of size numbers, 0 where none is given."""
-    return F.split(F.lit(",".join(str(numbers.get(b, 0)) for b in range(size))), ",").cast("array<bigint>")
-
-
 def ranks(all_lines):
     """Rarity of each bucket of words, 0 (rare) to 126, as the highest bits of a word key."""
     seen = all_lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), number(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
@@ -120,10 +115,7 @@ def matched(reps, pairs, keyed_docs):
     The lines asked for are found by a bit table of fixed size, so that few others are shuffled; a full table only lets more through.
     """
     asked = written(reps.select("id", "doc", "h", "no").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-    place = F.pmod(F.xxhash64("doc", "h", "no"), number(MARKS))
-    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
-    marks = asked.groupBy(word.alias("k")).agg(F.bit_or(F.call_function("shiftleft", number(1), bit)).alias("v")).collect()
-    own = lines(keyed_docs).filter(F.call_function("getbit", F.get(bounded({r.k: r.v for r in marks}, MARKS // 64), word), bit) == 1)
+    own = lines(keyed_docs).filter(marked(asked, "doc", "h", "no"))
     own = own.join(asked, ["doc", "h", "no"]).select("id", F.struct("doc", "h", "no").alias("at"), F.array_distinct(words(F.col("line"))).alias("words")).dropDuplicates(["id"])
     both = pairs.join(own.toDF("a", "at_a", "wa"), "a").join(own.toDF("b", "at_b", "wb"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
     similar = both.filter("9 * both >= 4 * (size(wa) + size(wb))")

@@ -3,25 +3,23 @@
 Every unit of an element's weight is a column onto which a hashed Poisson process throws darts; a dart has a rank, a place within the unit and
 a coordinate. Darts under a document's rank bound that fall inside its region count, and each coordinate keeps the earliest, so two
 signatures agree at a coordinate with the probability of weighted Jaccard similarity. Signatures join in BANDS bands; equal texts are one
-node. In each bucket one node is the centre. Nodes that are linked to the centre, or to a linked node, are linked. In rounds more and more nodes
-lead: a leader is compared exactly with all nodes of its bucket that aren't linked yet (and whose size allows a match). A bucket is done when
-all its nodes are linked or have led, so every pair that could join two parts of a bucket is compared, and a group of near copies needs
-few comparisons for each member. A link holds at similarity 0.8 or more. Texts of under five words have one shingle, all their words; null,
-empty and wordless texts have none and match only their equals (null as empty). A node is named by its least doc_id, or, if none
-of its rows has one, by a hash of its text. Returns doc_id and class_id (the class's least doc_id; null if none of its rows has one) for all rows;
-an empty table gives no rows.
+node. What can't be linked is left out before pairs are formed: two nodes share at most the units that are not theirs alone, so a node with too many
+units of its own (among all nodes that share a bucket with another) has no partner, or none in buckets of nodes as large as these. Of what is left, the node
+of each bucket with the fewest units of its own leads, and is compared with all others; then come all pairs of a bucket whose nodes are not yet
+connected. A link holds at similarity 0.8 or more, computed on the units themselves, and every pair of a bucket is compared, excluded by its
+bounds or already connected. Texts of under five words have one shingle, all their words; null,
+empty and wordless texts have none and match only their equals (null as empty). Rows of equal texts are one node whatever their doc_ids, null or repeated. Returns
+doc_id and class_id (the class's least doc_id; null if none of its rows has one) for all rows; an empty table gives no rows.
 """
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cindergrid.llm.graph import components
-from cindergrid.llm.textkit import blocks, mix, shingles, words, written
+from cindergrid.llm.textkit import blocks, discard, marked, mix, shingles, words, written
 
-K, BANDS, N, SIMILAR, FEW = 120, 24, 5, 0.8, 8
+K, BANDS, N = 120, 24, 5
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,107 +83,104 @@ def bands(sig):
 
 
 def text_key():
-    return F.md5(F.coalesce("text", F.lit("")))
-
-
-def bare_name(key):
-    """Name of a node whose rows have no doc_id."""
-    return F.xxhash64(F.lit("no doc_id"), key)
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def sign(docs):
-    """doc_id, key (of equal texts), units (their number), bands (empty without words)."""
+    """doc_id, key (of equal texts), n (number of units), bands (empty without words)."""
     def run(it):
         for batch in it:
             for lo, hi, data, offs in blocks(batch.column(2), 1 << 20):
                 u, row = elements(data, offs)
                 b, count = bands(signatures(u, row, hi - lo)), np.bincount(row, minlength=hi - lo)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([x if y else [] for x, y in zip(b, count)], pa.list_(pa.int64()))], names=["doc_id", "key", "units", "bands"])
-    return docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key string, units long, bands array<long>")
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([x if y else [] for x, y in zip(b, count)], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
+    return docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
+
+
+def with_units(texts):
+    """id and units of texts (id, text)."""
+    def run(it):
+        for batch in it:
+            for lo, hi, data, offs in blocks(batch.column(1), 1 << 20):
+                u, row = elements(data, offs)
+                ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64)))], names=["id", "units"])
+    return texts.mapInArrow(run, "id long, units array<long>")
 
 
 def similarity(a, b):
     """Weighted Jaccard of two texts' units."""
-    def own(t):
-        x = np.frombuffer(t.encode(), np.uint8)
-        return elements(x, np.array([0, len(x)]))[0]
-    x, y = own(a), own(b)
+    x, y = (elements(t, np.array([0, len(t)]))[0] for t in (np.frombuffer(v.encode(), np.uint8) for v in (a, b)))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
 
-def verified(pairs, texts):
-    """pairs (a, b, ...) with sim, exactly."""
-    def run(it):
-        for batch in it:
-            sim = [similarity(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
-    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
+#: What nodes of na and nb units, qa and qb of which no other node has, can have in common: at most na - qa and nb - qb.
+POSSIBLE = "9 * qa <= 5 * na - 4 * nb and 9 * qb <= 5 * nb - 4 * na and 9 * (qa + qb) <= na + nb"
+
+
+def similar(pairs, units):
+    """The pairs (a, b) of similarity 0.8 or more."""
+    both = pairs.join(units.toDF("a", "ua"), "a").join(units.toDF("b", "ub"), "b")
+    both = both.select("a", "b", F.size("ua").alias("na"), F.size("ub").alias("nb"), F.size(F.array_intersect("ua", "ub")).alias("both"))
+    return both.filter("9 * both >= 4 * (na + nb)").select("a", "b")
+
+
+def linked(docs, nodes):
+    """Links (a, b) between ids of nodes, or None where no bucket has two nodes."""
+    rows = nodes.select("id", "n", "key", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("h"), "id", "n", "key")
+    shared = rows.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    rows = written(rows.join(shared, "h"))
+    if rows.isEmpty():
+        return None
+    own = rows.groupBy("id").agg(F.any_value("key").alias("key"))
+    texts = docs.select(text_key().alias("key"), "text").filter(marked(own, "key")).groupBy("key").agg(F.any_value("text").alias("text"))
+    units = written(with_units(texts.join(own, "key").select("id", "text")))
+    alone = units.select("id", F.explode("units").alias("u")).groupBy("u").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("q"))
+    able = rows.select("h", "id", "n").join(alone, "id", "left").select("h", "id", "n", F.coalesce("q", F.lit(0)).alias("q")).filter("5 * q <= n")
+    bucket = able.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("k")).filter("k > 1")
+    able = written(able.join(bucket, "h").filter("5 * n - 9 * q >= 4 * least").select("h", "id", "n", "q"))
+    first = able.groupBy("h").agg(F.min(F.struct("q", F.xxhash64("id").alias("x"), "id", "n")).alias("of")).selectExpr("h", "of.id b", "of.n nb", "of.q qb")
+    pairs = able.selectExpr("h", "id a", "n na", "q qa").join(first, "h").filter("a <> b and " + POSSIBLE)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = written(similar(pairs, units))
+    discard(pairs, rows)
+    whole = components(links)
+    open_ = able.join(whole.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    several = open_.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("h")
+    open_ = open_.join(several, "h").select("h", "id", "n", "q", "c")
+    pairs = open_.toDF("h", "a", "na", "qa", "ca").join(open_.toDF("h", "b", "nb", "qb", "cb"), "h").filter("a < b and ca <> cb and " + POSSIBLE)
+    pairs = written(pairs.select("a", "b").distinct())
+    out = written(links.union(similar(pairs, units)))
+    discard(pairs, links, units, able)
+    return out
 
 
 def classes(docs):
-    """doc_id, key, class (its least node) of all rows, and the nodes."""
+    """doc_id, key, class (an id of its own), class_id (its least doc_id) of all rows."""
     docs = docs.select("doc_id", "text")
     signed = written(sign(docs))
-    nodes = written(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value(F.struct("units", "bands")).alias("own"))
-                    .select("key", F.coalesce("least", bare_name("key")).alias("rep"), F.col("least").isNull().alias("bare"), "own.*"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bare = texts.filter("doc_id is null").select(bare_name(text_key()).alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    texts = texts.filter("doc_id is not null").union(bare)
-    rows = nodes.select("rep", "units", F.posexplode("bands").alias("band", "h"), F.lit(False).alias("linked"), F.lit(False).alias("led"))
-    links, width = [], 1
-    while True:
-        # In the first round the order is the same in all bands, so that a group of near copies has one centre in most of its buckets.
-        rank = F.xxhash64("rep", "band", F.lit(width)) if links else F.xxhash64("rep")
-        bucket = rows.groupBy("band", "h").agg(
-            F.count("*").alias("n"), F.min(F.struct("led", ~F.col("linked"), rank, "rep"))["rep"].alias("first"),
-            (F.bool_and("linked") | F.bool_and("led")).alias("done")).filter("n > 1 and not done").drop("done")
-        lead = (F.col("rep") == F.col("first")) | (F.col("n") <= FEW)
-        if links:
-            lead |= F.pmod(rank, F.ceil(F.col("n") / width)) == 0
-        linked = F.col("linked") if links else F.col("rep") == F.col("first")
-        rows = written(rows.join(bucket, ["band", "h"]).select("rep", "units", "band", "h", linked.alias("linked"), "led", (lead & ~F.col("led")).alias("lead")))
-        if rows.isEmpty():
-            break
-        texts = written(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        a = rows.filter("not linked").selectExpr("band", "h", "rep a", "units na", "lead la", "led da")
-        b = rows.filter("lead").selectExpr("band", "h", "rep b", "units nb", "linked lb")
-        new = "a <> b and (lb or (not da and (not la or a > b))) and 5 * least(na, nb) >= 4 * greatest(na, nb)"
-        both = written(a.join(b, ["band", "h"]).filter(new).select("a", "b", "band", "h", "lb"))
-        sim = verified(both.select("a", "b").distinct(), texts).filter(F.col("sim") >= SIMILAR).select("a", "b")
-        links.append(written(sim))
-        found = both.filter("lb").join(links[-1], ["a", "b"]).select(F.col("a").alias("rep"), "band", "h", F.lit(True).alias("now")).distinct()
-        rows = rows.select("rep", "units", "band", "h", "linked", (F.col("led") | F.col("lead")).alias("led")).join(found, ["rep", "band", "h"], "left")
-        rows = rows.select("rep", "units", "band", "h", (F.col("linked") | F.col("now").isNotNull()).alias("linked"), "led").filter("not (linked and led)")
-        width *= 8
-    links = reduce(lambda x, y: x.union(y), links) if links else None
-    out = signed.select("doc_id", "key").join(nodes.select("key", "rep"), "key")
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.any_value(F.struct("n", "bands")).alias("own"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "key", "least", "own.*"))
+    links = linked(docs, nodes)
+    own = nodes.select("id", "key", "least")
     if links is None:
-        return out.select("doc_id", "key", F.col("rep").alias("class")), nodes
-    group = components(links).withColumnRenamed("class", "least")
-    return out.join(group, out.rep == group.node, "left").select("doc_id", "key", F.coalesce("least", "rep").alias("class")), nodes
-
-
-def labelled(docs):
-    """doc_id, key, class and class_id of all rows."""
-    found, nodes = classes(docs)
-    bare = nodes.filter("bare").select(F.col("rep").alias("class"))
-    if bare.isEmpty():
-        return found.withColumn("class_id", F.col("class"))
-    found = written(found)
-    named = found.join(bare, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("least")).withColumn("named", F.lit(True))
-    return found.join(named, "class", "left").select("doc_id", "key", "class", F.when(F.col("named"), F.col("least")).otherwise(F.col("class")).alias("class_id"))
+        own = own.withColumn("class", F.col("id")).withColumn("class_id", F.col("least"))
+    else:
+        own = own.join(components(links).toDF("id", "c"), "id", "left").select("key", "least", F.coalesce("c", "id").alias("class"))
+        named = own.groupBy("class").agg(F.min("least").alias("class_id"))
+        own = own.join(named, "class")
+    return signed.select("doc_id", "key").join(own.select("key", "class", "class_id"), "key")
 
 
 def near_duplicates(docs):
-    return labelled(docs).select("doc_id", "class_id")
+    return classes(docs).select("doc_id", "class_id")
 
 
 def keep_one(docs):
-    """The document of least id of each class, with all columns; one row of a class without ids."""
-    found = written(labelled(docs))
-    kept = found.filter("doc_id = class_id").select("doc_id").distinct()
-    keys = found.filter("class_id is null").groupBy("class").agg(F.min("key").alias("_key")).select("_key")
-    bare = docs.filter("doc_id is null").withColumn("_key", text_key()).join(keys, "_key", "left_semi").dropDuplicates(["_key"])
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(bare.select(*docs.columns))
+    """One row of each class, with all columns: one of least doc_id, or of none if none of its rows has one."""
+    least = classes(docs).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key")).alias("of")).select("of.doc_id", "of.key")
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("bare"), text_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = least.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("bare"), "key")
+    out = rows.join(kept, ["d", "bare", "key"], "left_semi").groupBy("d", "bare", "key").agg(F.any_value("row").alias("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 _rng = np.random.default_rng(20240607)
 TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -106,6 +107,22 @@ def discard(*tables):
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(numbers, size):
+    """A foldable array of size long numbers, 0 where none is given."""
+    return F.split(F.lit(",".join(str(numbers.get(b, 0)) for b in range(size))), ",").cast("array<bigint>")
+
+
+def marked(rows, *names, size=1 << 21):
+    """A test for the names' values that is true of all that are in rows, and of few others unless there are more than size in rows.
+
+    The table has size bits, however many rows there are; a full one only lets more through.
+    """
+    place = F.pmod(F.xxhash64(*names), F.lit(size).cast("bigint"))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    seen = rows.groupBy(word.alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("v")).collect()
+    return F.call_function("getbit", F.get(bounded({r.k: r.v for r in seen}, size // 64), word), bit) == 1
+
+
 def batches(names, types):
     """Schema of output columns."""
     return pa.schema([pa.field(n, t) for n, t in zip(names, types)])
