@@ -4,11 +4,11 @@ A line is the set of its white-space separated words; a line is removed if an ea
 Jaccard similarity of 0.8 or more. Lines of equal sets are one class, of which the first line stands for all. Words are ordered by
 rarity (counts of BUCKETS hashed buckets, a bounded table; any fixed order is right, a rarer one is faster); the rarest words of a line, its
 prefix, are the join keys, together with a cell of the line's size. Length, positional and bit-signature filters are part of
-the join; what is left is verified on the words themselves.
+the join; what is left is verified on the lines' sets of word keys (56 bits of a hash and the rarity).
 
-The join runs twice. First each line is compared with the first line of its two rarest words only, which removes most lines of a
-group of near copies with few pairs; then pairs of which one line at least still stands are formed, so that a group gives few
-pairs for each member. Removed lines remain earlier matches for others.
+The join gives no pairs of a group. First, as a semi join, which stops at a line's first partner, it finds the lines that have any partner by
+the filters, a few of all. Each of these is compared with a few lines of each of its keys, the earliest of LEADERS classes by hash, which removes most lines of a
+group of near copies. For the lines that stand, a last semi join, which carries the word keys, looks for an earlier line that is similar indeed.
 Lines without words stay. Null texts stay null, empty ones empty. Null doc_ids come first. Rows equal in doc_id and text are one document and
 are treated alike. Returns all columns of docs with text replaced, whatever their names, and n_lines and n_removed on request (in place of columns of these
 names); an empty table gives no rows.
@@ -19,9 +19,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm.textkit import bounded, discard, marked, written
+from cindergrid.llm.textkit import bounded, marked, written
 
-BUCKETS, WIDE = 1 << 16, 96
+BUCKETS, WIDE, LEADERS = 1 << 16, 96, 8
 LEAST = -(1 << 63)
 #: White space within a line.
 SPACE = " \t\r\x0b\f"
@@ -62,83 +62,111 @@ def parity(keys):
     return F.aggregate(keys, number(0), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", number(1), k.bitwiseAND(number(63)).cast("int"))))
 
 
-def represented(all_lines, rank):
-    """One row for each class of lines of equal sets: id, first line, size n, signature (sig; for long lines also that of half of the words, hi) and prefix."""
+def word_keys(line, rank):
+    """Ordered keys of the distinct words."""
     def key(w):
         x = F.xxhash64(w)
         return F.coalesce(F.get(rank, F.pmod(x, number(BUCKETS)).cast("int")), number(0)) + F.shiftrightunsigned(x, 8)
-    out = all_lines.select("doc", "h", "no", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key))).alias("keys"))
-    out = out.select(F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), F.struct("doc", "h", "no").alias("at"), F.size("keys").alias("n"), "keys")
-    half = F.when(F.col("n") > WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(number(64)) > 0)))
-    prefix = F.struct("n", parity("keys").alias("sig"), half.alias("hi"), F.transform(F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)"), lambda k: F.hash(k)).alias("prefix"))
-    out = out.select("s1", "s2", "at", prefix.alias("of")).groupBy("s1", "s2").agg(F.min("at").alias("at"), F.any_value("of").alias("of"))
-    return written(out.select(F.monotonically_increasing_id().alias("id"), "at.*", "of.*"))
+    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
 
-#: What two lines a and b of sizes na and nb with their first common word at places pa and pb can have in common: overlap is at most na - pa and nb - pb.
-PLACES = "9 * pa <= 5 * na - 4 * nb and 9 * pb <= 5 * nb - 4 * na"
-#: The words that they differ in are at least as many as their signatures' bits.
-BITS = "9 * if(ha is null or hb is null, bit_count(sa ^ sb), bit_count(ha ^ hb) + bit_count(ha ^ sa ^ hb ^ sb)) <= na + nb"
+#: The rarest keys, one of which at least is in every set of similarity 0.8 or more.
+PREFIX = "slice(keys, 1, n - (4 * n + 4) div 5 + 1)"
 
 
-def first_pairs(reps):
-    """Pairs (a, b) of a line b and the first line a that has a word among its two rarest that is also among b's two rarest."""
-    rows = reps.select("id", "n", "sig", "hi", "doc", F.posexplode(F.slice("prefix", 1, 2)).alias("pos", "key"))
-    first = rows.groupBy("key").agg(F.min(F.struct("doc", "id", "n", "pos", "sig", "hi")).alias("x"), F.count("*").alias("k")).filter("k > 1")
-    first = first.select("key", *[F.col(f"x.{c}").alias(d) for c, d in (("id", "a"), ("n", "na"), ("pos", "pa"), ("sig", "sa"), ("hi", "ha"))])
-    both = first.join(rows.selectExpr("key", "id b", "n nb", "pos pb", "sig sb", "hi hb"), "key")
-    return both.filter(f"a <> b and {PLACES} and {BITS}").select("a", "b").distinct()
+def signature():
+    """Of all words, and for long lines also of half of them."""
+    return parity("keys").alias("sig"), F.when(F.col("n") > WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(number(64)) > 0))).alias("hi")
+
+
+def represented(all_lines, rank):
+    """One row for each class of lines of equal sets: id, first line, size n, signature (sig; for long lines also that of half of the words, hi) and prefix."""
+    out = all_lines.select("doc", "h", "no", word_keys(F.col("line"), rank).alias("keys"))
+    out = out.select(F.xxhash64("keys").alias("s1"), F.hash("keys").alias("s2"), F.struct("doc", "h", "no").alias("at"), F.size("keys").alias("n"), "keys")
+    prefix = F.struct("n", *signature(), F.transform(F.expr(PREFIX), lambda k: F.hash(k)).alias("prefix"))
+    out = out.select("s1", "s2", "at", prefix.alias("of")).groupBy("s1", "s2").agg(F.min("at").alias("at"), F.any_value("of").alias("of"))
+    return written(out.select(F.monotonically_increasing_id().alias("id"), "at.*", "of.*"))
 
 
-def candidates(reps, decided):
-    """Pairs (a, b) of ids that pass all filters; every pair of similarity 0.8 or more is among them, but for those of two decided lines.
+def spread(lines_, prefix, *more):
+    """A row for each word of the prefix and cell: key, p (size n, place pos of the word, home), more.
 
-    A row goes to the cell of its size (a doubling) and, as a guest, to the next one if it may match there.
+    A row goes to the cell of its size (a doubling), its home, and, as a guest, to the next one if it may match there.
     """
     def cell(n):
         return F.floor(F.log2(n)).cast("int")
-    rows = reps.join(decided.withColumn("off", F.lit(True)), "id", "left")
     home, top = cell(F.col("n")), cell(F.expr("(5 * n) div 4"))
-    rows = (rows.select("id", "n", "sig", "hi", F.col("off").isNull().alias("open"), F.posexplode("prefix").alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
-            .select("id", "n", "sig", "hi", "open", "pos", "w", "c", F.explode("cells").alias("cell"))
-            .select(F.hash("w", "cell").alias("key"), "id", "sig", "hi", F.expr("n * 2097152L + least(pos, 524287) * 4 + if(open, 2, 0) + if(cell = c, 1, 0)").alias("p")))
-    a, b = rows.toDF("key", "a", "sa", "ha", "p"), rows.toDF("key", "b", "sb", "hb", "q")
-    keep = "q % 2 = 1 and (p & 2) + (q & 2) > 0 and (na < nb or (na = nb and p % 2 = 1 and a < b)) and " + PLACES + " and " + BITS
-    for name, value in (("na", "(p div 2097152)"), ("nb", "(q div 2097152)"), ("pa", "((p % 2097152) div 4)"), ("pb", "((q % 2097152) div 4)")):
-        keep = keep.replace(name, value)
-    return a.join(b, (a.key == b.key) & F.expr(keep)).select("a", "b").distinct()
+    rows = lines_.select("n", *more, F.posexplode(prefix).alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
+    rows = rows.select("n", *more, "pos", "w", "c", F.explode("cells").alias("cell"))
+    return rows.select(F.hash("w", "cell").alias("key"), F.expr("n * 2097152L + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p"), *more)
+
+
+#: Lines a and b meet in the home of the larger one; with their first common word at places pa and pb they share at most na - pa and nb - pb.
+PLACES = "((na < nb and q % 2 = 1) or (na > nb and p % 2 = 1) or (na = nb and p % 2 = 1 and q % 2 = 1)) and 9 * pa <= 5 * na - 4 * nb and 9 * pb <= 5 * nb - 4 * na"
+for _name, _value in (("na", "(p div 2097152)"), ("nb", "(q div 2097152)"), ("pa", "((p % 2097152) div 2)"), ("pb", "((q % 2097152) div 2)")):
+    PLACES = PLACES.replace(_name, _value)
+#: The words that they differ in are at least as many as their signatures' bits.
+BITS = "9 * if(ha is null or hb is null, bit_count(sa ^ sb), bit_count(ha ^ hb) + bit_count(ha ^ sa ^ hb ^ sb)) <= (p div 2097152) + (q div 2097152)"
+
+
+def hopeful(reps):
+    """Ids of lines that have a partner by all filters."""
+    rows = spread(reps, "prefix", "id", "sig", "hi")
+    a, b = rows.toDF("key", "p", "a", "sa", "ha"), rows.toDF("keyb", "q", "b", "sb", "hb")
+    return a.join(b, (a.key == b.keyb) & F.expr(f"a <> b and {PLACES} and {BITS}"), "left_semi").select(F.col("a").alias("id")).distinct()
 
 
-def matched(reps, pairs, keyed_docs):
-    """Ids of lines of pairs that have an earlier match, verified on words.
+def asked_lines(asked, all_lines, rank):
+    """id, at, n, signature and keys of the lines asked for.
 
-    The lines asked for are found by a bit table of fixed size, so that few others are shuffled; a full table only lets more through.
+    The lines are found by a bit table of fixed size, so that few others are shuffled; a full table only lets more through.
     """
-    asked = written(reps.select("id", "doc", "h", "no").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-    own = lines(keyed_docs).filter(marked(asked, "doc", "h", "no"))
-    own = own.join(asked, ["doc", "h", "no"]).select("id", F.struct("doc", "h", "no").alias("at"), F.array_distinct(words(F.col("line"))).alias("words")).dropDuplicates(["id"])
-    both = pairs.join(own.toDF("a", "at_a", "wa"), "a").join(own.toDF("b", "at_b", "wb"), "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
-    similar = both.filter("9 * both >= 4 * (size(wa) + size(wb))")
-    out = written(similar.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    discard(asked)
-    return out
+    own = all_lines.filter(marked(asked, "doc", "h", "no")).join(asked, ["doc", "h", "no"]).dropDuplicates(["id"])
+    own = own.select("id", F.struct("doc", "h", "no").alias("at"), word_keys(F.col("line"), rank).alias("keys")).withColumn("n", F.size("keys"))
+    return written(own.select("*", *signature()))
+
+
+SIMILAR = "9 * size(array_intersect(keys, others)) >= 4 * (size(keys) + size(others))"
+
+
+def led(own):
+    """Ids of lines that are similar to an earlier one among the leaders of their keys."""
+    rows = spread(own, F.expr(PREFIX), "id", "at", "sig", "hi")
+    first = rows.groupBy("key", F.pmod("id", number(LEADERS)).alias("salt")).agg(F.min(F.struct("at", "id", "p", "sig", "hi")).alias("of"))
+    first = first.select(F.col("key").alias("keyb"), *[F.col(f"of.{c}").alias(d) for c, d in (("at", "before"), ("id", "b"), ("p", "q"), ("sig", "sb"), ("hi", "hb"))])
+    a = rows.toDF("key", "p", "id", "at", "sa", "ha")
+    pairs = a.join(first, (a.key == first.keyb) & F.expr(f"before < at and {PLACES} and {BITS}")).select("id", "b").distinct()
+    keys = own.select("id", "keys")
+    both = pairs.join(keys, "id").join(keys.toDF("b", "others"), "b")
+    return written(both.filter(SIMILAR).select("id").distinct())
+
+
+def matched(own):
+    """Ids of the lines that have an earlier match among them."""
+    done = led(own)
+    rows = spread(own.join(done.withColumn("off", F.lit(True)), "id", "left").withColumn("open", F.col("off").isNull()), F.expr(PREFIX), "id", "at", "sig", "hi", "open")
+    a, b = rows.drop("open").toDF("key", "p", "id", "at", "sa", "ha"), rows.filter("open").drop("open").toDF("keyb", "q", "b", "after", "sb", "hb")
+    earlier = (a.key == b.keyb) & F.expr(f"at < after and {PLACES} and {BITS}")
+    late = written(b.join(a, earlier, "left_semi").select(F.col("b").alias("id")).distinct())
+    b = spread(own.join(late, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi").toDF("keyb", "q", "b", "after", "sb", "hb")
+    early = written(a.join(b, (a.key == b.keyb) & F.expr(f"at < after and {PLACES} and {BITS}"), "left_semi").select("id").distinct())
+    a = spread(own.join(late, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "keys").toDF("key", "p", "id", "at", "sa", "ha", "keys")
+    b = spread(own.join(early, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "keys").toDF("keyb", "q", "b", "before", "sb", "hb", "others")
+    more = a.join(b, (a.key == b.keyb) & F.expr(f"before < at and {PLACES} and {BITS} and {SIMILAR}"), "left_semi").select("id").distinct()
+    return done.union(written(more))
 
 
 def dedup_lines(docs, counts=False):
     """docs without lines that match an earlier one; with counts also n_lines and n_removed."""
-    small = keyed(docs)
-    own = lines(small)
-    reps = represented(own, ranks(own))
-    pairs = written(first_pairs(reps))
-    gone = matched(reps, pairs, small)
-    discard(pairs)
-    pairs = written(candidates(reps, gone))
-    gone = gone.union(matched(reps, pairs, small))
-    discard(pairs)
+    own = lines(keyed(docs))
+    rank = ranks(own)
+    reps = represented(own, rank)
+    asked = written(reps.select("id", "doc", "h", "no").join(hopeful(reps), "id", "left_semi"))
+    gone = matched(asked_lines(asked, own, rank))
     kept = reps.select("id", "doc", "h", "no").join(gone, "id", "left_anti").groupBy("doc", "h").agg(F.collect_set("no").alias("kept"))
     whole = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = whole.join(kept, ["doc", "h"], "left").withColumn("all", F.split(F.col("row")["text"], "\n"))
-    stay = F.filter("all", lambda v, i: ~has_word(v) | F.coalesce(F.array_contains("kept", i), F.lit(False)))
+    stay = F.filter("all", lambda v, i: F.coalesce(F.array_contains("kept", i), F.lit(False)) | ~has_word(v))
     new = {"text": F.array_join(stay, "\n")}
     if counts:
         new |= {"n_lines": F.coalesce(F.size("all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("all") - F.size(stay), F.lit(0)).cast("long")}
