@@ -4,7 +4,7 @@ Every unit of an element's weight is a column onto which a hashed Poisson proces
 a coordinate. Darts under a document's rank bound that fall inside its region count, and each coordinate keeps the earliest, so two
 signatures agree at a coordinate with the probability of weighted Jaccard similarity. Signatures join in BANDS bands; equal texts are one
 node. What can't be linked is left out before pairs are formed: two nodes share at most the units that are not theirs alone, so a node with too many
-units of its own (among all nodes that share a bucket with another) has no partner, or none in buckets of nodes as large as these. Of what is left, the node
+units of its own (among all nodes that share a bucket with another) has no partner, or none in buckets of nodes as large as these; and two nodes differ in at least as many units as the bits of their parities. Of what is left, the node
 of each bucket with the fewest units of its own leads, and is compared with all others; then come all pairs of a bucket whose nodes are not yet
 connected. A link holds at similarity 0.8 or more, computed on the units themselves, and every pair of a bucket is compared, excluded by its
 bounds or already connected. Texts of under five words have one shingle, all their words; null,
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cindergrid.llm.graph import components
 from cindergrid.llm.textkit import blocks, discard, marked, mix, shingles, words, written
 
-K, BANDS, N = 120, 24, 5
+K, BANDS, N, BITS = 120, 24, 5, 1024
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,15 +97,27 @@ def sign(docs):
     return docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
 
 
+def parities(units, row, n):
+    """n x BITS / 64 longs: the parity of how many units of each row fall on each of BITS places; two rows differ in at least as many units as places."""
+    out = np.zeros((n, BITS // 64), np.int64)
+    for lo in range(0, n, 1024):
+        a, b = np.searchsorted(row, [lo, lo + 1024])
+        m = min(1024, n - lo)
+        odd = np.bincount((row[a:b] - lo) * BITS + (units[a:b] % np.uint64(BITS)).astype(np.int64), minlength=m * BITS) % 2
+        out[lo:lo + m] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(m, -1)
+    return out
+
+
 def with_units(texts):
-    """id and units of texts (id, text)."""
+    """id, units and parity of texts (id, text)."""
     def run(it):
         for batch in it:
             for lo, hi, data, offs in blocks(batch.column(1), 1 << 20):
                 u, row = elements(data, offs)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64)))], names=["id", "units"])
-    return texts.mapInArrow(run, "id long, units array<long>")
+                width = np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64))), pa.ListArray.from_arrays(pa.array(width), pa.array(parities(u, row, hi - lo).ravel()))], names=["id", "units", "parity"])
+    return texts.mapInArrow(run, "id long, units array<long>, parity array<long>")
 
 
 def similarity(a, b):
@@ -117,6 +129,8 @@ def similarity(a, b):
 
 #: What nodes of na and nb units, qa and qb of which no other node has, can have in common: at most na - qa and nb - qb.
 POSSIBLE = "9 * qa <= 5 * na - 4 * nb and 9 * qb <= 5 * nb - 4 * na and 9 * (qa + qb) <= na + nb"
+#: They differ in as many units as bits of their parities at least.
+NEAR = "9 * aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v) <= na + nb"
 
 
 def similar(pairs, units):
@@ -139,7 +153,9 @@ def linked(docs, nodes):
     alone = units.select("id", F.explode("units").alias("u")).groupBy("u").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("q"))
     able = rows.select("h", "id", "n").join(alone, "id", "left").select("h", "id", "n", F.coalesce("q", F.lit(0)).alias("q")).filter("5 * q <= n")
     bucket = able.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("k")).filter("k > 1")
-    able = written(able.join(bucket, "h").filter("5 * n - 9 * q >= 4 * least").select("h", "id", "n", "q"))
+    able = able.join(bucket, "h").filter("5 * n - 9 * q >= 4 * least").select("h", "id", "n", "q")
+    able = written(able.join(units.select("id", F.col("parity").alias("s")), "id"))
+    units = units.select("id", "units")
     first = able.groupBy("h").agg(F.min(F.struct("q", F.xxhash64("id").alias("x"), "id", "n")).alias("of")).selectExpr("h", "of.id b", "of.n nb", "of.q qb")
     pairs = able.selectExpr("h", "id a", "n na", "q qa").join(first, "h").filter("a <> b and " + POSSIBLE)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -148,11 +164,11 @@ def linked(docs, nodes):
     whole = components(links)
     open_ = able.join(whole.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     several = open_.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("h")
-    open_ = open_.join(several, "h").select("h", "id", "n", "q", "c")
-    pairs = open_.toDF("h", "a", "na", "qa", "ca").join(open_.toDF("h", "b", "nb", "qb", "cb"), "h").filter("a < b and ca <> cb and " + POSSIBLE)
+    open_ = open_.join(several, "h").select("h", "id", "n", "q", "s", "c")
+    pairs = open_.toDF("h", "a", "na", "qa", "sa", "ca").join(open_.toDF("h", "b", "nb", "qb", "sb", "cb"), "h").filter(f"a < b and ca <> cb and {POSSIBLE} and {NEAR}")
     pairs = written(pairs.select("a", "b").distinct())
     out = written(links.union(similar(pairs, units)))
-    discard(pairs, links, units, able)
+    discard(pairs, links, able)
     return out
 
 
