@@ -8,7 +8,9 @@ from cindergrid.functions.exprs import draw_sql
 def controls(cases, cells, first_day, days, ratio=20, seed=42, spare=2):
     """ratio controls for each case (cell, day), without repeats. Draws grow until there are enough; where over half of the free cell-days are wanted, all are listed and put in drawn order."""
     cases = cases.select("cell", "day").distinct()
-    n = cases.count()
+    n, draws = cases.count(), 999_983
+    if cells > draws or days > draws:
+        raise ValueError(f"draws have {draws} values: take at most so many cells and days")
     want = min(ratio * n, cells * days - n)
     if 2 * want > cells * days - n:
         every = cases.sparkSession.range(cells * days).select("id", F.expr(f"id div {days} AS cell"), F.expr(f"date_add(date'{first_day}', cast(id % {days} as int)) AS day"))

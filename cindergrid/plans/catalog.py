@@ -5,25 +5,12 @@ from pyspark.sql import functions as F
 from cindergrid.functions.exprs import albers_sql, confidence_label, draw_sql, prior_corrected, wind_from
 from cindergrid.operators.sampling import controls
 from cindergrid.operators.spread import burn_probability, ensemble
-from cindergrid.operators.windows import antecedent, keep_latest, percentile_rank
+from cindergrid.operators.windows import antecedent, every_day, keep_latest, percentile_rank
 from cindergrid.operators.zonal import zonal_mode, zonal_stats
+from cindergrid.plans.register import Q, SQL, both, query, rounded
 from cindergrid.sources.tables import table
 from cindergrid.streaming.dedupe import publish
 
-Q, SQL = {}, {}
-
-
-def query(sql):
-    def add(f):
-        Q[f.__name__], SQL[f.__name__] = f, sql
-        return f
-    return add
-
-
-def rounded(df, *keep):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
-
-
 def pixels(s, d):
     return table(s, d, "lineitem").select(
         F.col("l_suppkey").alias("cell"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("elev"), F.col("l_quantity").alias("slope"),
@@ -46,16 +33,23 @@ def zonal_mode_fuel(s, d):
 
 
 def wx(s, d):
-    return table(s, d, "orders").groupBy((F.col("o_custkey") % 25).alias("pixel"), F.to_date("o_orderdate").alias("day")).agg((F.sum("o_totalprice") / 1e5).alias("pr"))
+    """Whole cents, so that sums are exact in both engines; a row for each pixel and day."""
+    paid = table(s, d, "orders").groupBy((F.col("o_custkey") % 25).alias("pixel"), F.to_date("o_orderdate").alias("day")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("pr"))
+    return every_day(paid, "pixel", "day")
 
 
-WX = "WITH w AS (SELECT o_custkey%25 pixel, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice)/1e5 pr FROM orders GROUP BY 1,2), x AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY day) idx FROM w) "
+def wx_frame(n, f="sum"):
+    """A day's frame by comparing days, not by rows."""
+    return f"(SELECT {f}(b.pr) FROM x b WHERE b.pixel = a.pixel AND b.day BETWEEN a.day - {n - 1} AND a.day)"
 
 
-@query(WX + """SELECT pixel, day, round(pr,6) pr, CAST(idx AS INT) idx, round(sum(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 6 PRECEDING),6) sum_7d, round(sum(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 29 PRECEDING),6) sum_30d, round(sum(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 89 PRECEDING),6) sum_90d, round(avg(pr) OVER (PARTITION BY pixel ORDER BY day ROWS 6 PRECEDING),6) mean_7d,
- CAST(least(120, coalesce(idx-last_value(CASE WHEN pr>2.5 THEN idx END IGNORE NULLS) OVER (PARTITION BY pixel ORDER BY day ROWS UNBOUNDED PRECEDING),120)) AS INT) days_since_wet FROM x""")
+@query(f"""WITH w AS (SELECT o_custkey%25 pixel, CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS BIGINT) pr FROM orders GROUP BY 1,2),
+ x AS (SELECT p.pixel, CAST(t.day AS DATE) AS day, w.pr, CAST(date_diff('day', (SELECT min(day) FROM w), CAST(t.day AS DATE)) + 1 AS INT) AS idx FROM (SELECT DISTINCT pixel FROM w) p CROSS JOIN (SELECT unnest(generate_series((SELECT min(day) FROM w), (SELECT max(day) FROM w), INTERVAL 1 DAY)) AS day) t LEFT JOIN w ON w.pixel = p.pixel AND w.day = CAST(t.day AS DATE))
+ SELECT pixel, day, pr/1e7 AS pr, idx, CAST({wx_frame(7)} AS DOUBLE)/1e7 AS sum_7d, CAST({wx_frame(30)} AS DOUBLE)/1e7 AS sum_30d, CAST({wx_frame(90)} AS DOUBLE)/1e7 AS sum_90d, {wx_frame(7, 'avg')}/1e7 AS mean_7d,
+ CAST(least(120, coalesce(date_diff('day', (SELECT max(b.day) FROM x b WHERE b.pixel = a.pixel AND b.day <= a.day AND b.pr > 25000000), a.day), 120)) AS INT) AS days_since_wet FROM x a""")
 def antecedent_full(s, d):
-    return rounded(antecedent(wx(s, d), "pixel", "day", "pr"))
+    found = antecedent(wx(s, d), "pixel", "day", "pr", wet=25_000_000)
+    return found.select(*[(F.col(c).cast("double") / 1e7).alias(c) if c == "pr" or c[:4] in ("sum_", "mean") else c for c in found.columns])
 
 
 @query("SELECT o_orderkey, round((rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey)-1)/2.0)/count(*) OVER (),6) pct FROM orders")
@@ -91,16 +85,6 @@ def brier_corrected(s, d):
     return rounded(scored(s, d).agg(F.avg(F.pow(prior_corrected(F.col("p"), 0.1) - F.col("y"), 2)).alias("brier")))
 
 
-def both(name, sql):
-    """A query whose text both engines read alike; its tables become views of the same names."""
-    def run(s, d):
-        for t in ("nation customer supplier part orders lineitem events labels documents embeddings").split():
-            if f" {t}" in sql.replace("(", " "):
-                table(s, d, t).createOrReplaceTempView(t)
-        return s.sql(sql)
-    Q[name], SQL[name] = run, sql
-
-
 both("average_precision", "WITH s AS (SELECT CAST(n_chars AS DOUBLE) p, toxic y FROM labels JOIN documents USING(doc_id)), g AS (SELECT p, sum(y) t, count(*) n FROM s GROUP BY p), c AS (SELECT t, sum(t) OVER (ORDER BY p DESC) tp, sum(n) OVER (ORDER BY p DESC) k, sum(t) OVER (PARTITION BY n*0) pos FROM g) SELECT round(sum(CAST(t AS DOUBLE)/(SELECT sum(y) FROM s)*CAST(tp AS DOUBLE)/k),6) AS ap FROM c")
 both("roc_auc", "WITH s AS (SELECT n_chars p, toxic y FROM labels JOIN documents USING(doc_id)), g AS (SELECT p, sum(y) a, count(*)-sum(y) b FROM s GROUP BY p), c AS (SELECT a, b, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) below FROM g) SELECT round(CAST(sum(a*(below+b/2.0)) AS DOUBLE)/(sum(a)*sum(b)),6) AS auc FROM c")
 both("zonal_share", "SELECT l_suppkey cell, round(CAST(100 AS DOUBLE)*count(CASE WHEN l_partkey%114 BETWEEN 10 AND 18 THEN 1 END)/count(*),6) AS pct_grass, round(100-CAST(100 AS DOUBLE)*count(CASE WHEN l_partkey%114 < 9 THEN 1 END)/count(*),6) AS pct_burnable FROM lineitem GROUP BY l_suppkey")
@@ -109,14 +93,6 @@ both("first_arrival", "SELECT user_id AS cell, min(ts) AS arrival, count(*) AS n
 both("byte_ranges", "SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS range_end FROM events")
 
 
-@query("SELECT c_custkey, dense_rank() OVER (ORDER BY floor(c_acctbal/1000)) - 1 AS block FROM customer")
-def block_ids(s, d):
-    """Only the distinct bins are ranked in one task."""
-    table(s, d, "customer").createOrReplaceTempView("customer")
-    return s.sql("""WITH c AS (SELECT c_custkey, floor(c_acctbal/1000) AS b FROM customer), r AS (SELECT b, dense_rank() OVER (ORDER BY b NULLS LAST) - 1 AS block FROM (SELECT DISTINCT b FROM c))
-     SELECT c_custkey, CAST(block AS BIGINT) AS block FROM c JOIN r ON c.b <=> r.b""")
-
-
 both("frequency_table", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 both("pivot_counts", "SELECT CAST(ts AS DATE) AS day, count(CASE WHEN event_type='click' THEN 1 END) AS click, count(CASE WHEN event_type='error' THEN 1 END) AS error FROM events GROUP BY 1")
 both("season_terms", "SELECT o_orderkey, round(sin(2*pi()*extract(doy FROM o_orderdate)/365.25),6) AS doy_sin, round(cos(2*pi()*extract(doy FROM o_orderdate)/365.25),6) AS doy_cos FROM orders")
@@ -153,19 +129,6 @@ both("feed_summary", "SELECT user_id, count(*) AS total, count(CASE WHEN event_t
 both("overlay_share", "WITH c AS (SELECT p_partkey, CAST(p_partkey % 40 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part) SELECT p_partkey, round(greatest(0,least(x+1,30.25)-greatest(x,4.5))*greatest(0,least(y+1,40.75)-greatest(y,7.25)),6) AS share FROM c WHERE x+1 > 4.5 AND x < 30.25 AND y+1 > 7.25 AND y < 40.75")
 
 
-@query("SELECT c_custkey, min({'d': abs(c_acctbal - s_acctbal), 's': s_acctbal}).s AS near FROM customer LEFT JOIN supplier ON true GROUP BY c_custkey")
-def nearest_axis(s, d):
-    """Windows run within bins; the nearest suppliers outside come from the table of bins, of which there are as many as the axis is long."""
-    for t in ("customer", "supplier"):
-        table(s, d, t).createOrReplaceTempView(t)
-    return s.sql("""WITH u AS (SELECT c_custkey AS id, c_acctbal AS v, 1 AS ask FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 0 FROM supplier WHERE s_acctbal IS NOT NULL),
-     g AS (SELECT floor(v/1000) AS b, min(CASE WHEN ask=0 THEN v END) AS lo, max(CASE WHEN ask=0 THEN v END) AS hi FROM u WHERE v IS NOT NULL GROUP BY 1),
-     o AS (SELECT b, max(hi) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, min(lo) OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS above FROM g),
-     w AS (SELECT id, v, ask, floor(v/1000) AS b, max(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, min(CASE WHEN ask=0 THEN v END) OVER (PARTITION BY floor(v/1000) ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM u),
-     n AS (SELECT id, v, coalesce(lo, below) AS lo, coalesce(hi, above) AS hi FROM w LEFT JOIN o ON w.b = o.b WHERE ask=1)
-     SELECT id AS c_custkey, CASE WHEN hi IS NULL OR v-lo <= hi-v THEN lo ELSE hi END AS near FROM n""")
-
-
 both("stale_cells", "SELECT user_id, max(ts) AS latest, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS stale FROM events GROUP BY user_id")
 
 
@@ -194,7 +157,7 @@ def spread_ensemble(s, d):
 def case_control(s, d):
     e = table(s, d, "events")
     cases = e.filter("event_type = 'error'").select(F.col("user_id").alias("cell"), F.to_date("ts").alias("day"))
-    return controls(cases, e.agg(F.max("user_id")).first()[0] + 1, "2024-01-01", 366, ratio=2)
+    return controls(cases, (e.agg(F.max("user_id")).first()[0] or 0) + 1, "2024-01-01", 366, ratio=2)
 
 
 @query("WITH g AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, p_size = 1 AS dev FROM part) SELECT a.r, a.c, round(min(sqrt((a.r-b.r)**2 + (a.c-b.c)**2)) * 30 / 1000, 6) AS km FROM g a JOIN g b ON b.dev GROUP BY a.r, a.c")
@@ -211,3 +174,6 @@ def stream_dedupe(s, d):
     rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.rint("value").alias("lat"))
     return publish(rows, "ts", ["lat"], ["event_id"]).select("event_id", "lat", F.col("hour").cast("timestamp_ntz").alias("hr"))
+
+
+from cindergrid.plans import slices  # noqa: E402, F401  (registers the other queries)
