@@ -4,6 +4,8 @@ A neighbour graph of at most SAMPLE vectors (drawn by a hash of the id) is cut i
 directions, then moves of nodes to the part that holds most of their neighbours while sizes allow. A softmax classifier learns which parts hold
 a vector's neighbours. Every row is indexed in its most probable part, every query goes to its PROBES most probable parts, and candidates
 are scored exactly in double precision. Parts are split into chunks of ROWS rows and QUERIES queries, so a hot part is many bounded groups.
+A query whose parts hold too few rows goes on to further parts, so that it gets K or all there are. Scores are summed for each pair by itself, in one
+order, so that equal vectors have equal scores. A repeated vec_id is one query, with its least vector, and counts once, with its best score, among the neighbours.
 Null, zero and non-finite vectors and vectors of another length than the first sampled take no part; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
@@ -74,9 +76,10 @@ def fit(vectors):
     return router(X, target)
 
 
-def routed(vectors, model, probes):
-    """vec_id, vec, part: a row for each of the most probable parts."""
+def routed(vectors, model, probes, counts=None):
+    """vec_id, vec, part: a row for each of the most probable parts, and for more of them until their counts hold over K rows."""
     Wt, b = model
+    size = np.array([counts.get(p, 0) for p in range(PARTS)]) if counts else np.full(PARTS, 1 << 40)
 
     def run(it):
         for batch in it:
@@ -85,8 +88,10 @@ def routed(vectors, model, probes):
             if not keep:
                 continue
             X = np.array([vecs[i] for i in keep])
-            top = np.argsort(-(X / np.linalg.norm(X, axis=1, keepdims=True) @ Wt + b), axis=1, kind="stable")[:, :probes]
-            yield pa.record_batch([pa.array([ids[i] for i in keep for _ in range(probes)], pa.int64()), pa.array([vecs[i] for i in keep for _ in range(probes)], pa.list_(pa.float64())), pa.array(top.ravel(), pa.int32())], names=["vec_id", "vec", "part"])
+            order = np.argsort(-(X / np.linalg.norm(X, axis=1, keepdims=True) @ Wt + b), axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            row, at = np.nonzero((np.arange(PARTS) < probes) | (before <= K))
+            yield pa.record_batch([pa.array([ids[keep[i]] for i in row], pa.int64()), pa.array([vecs[keep[i]] for i in row], pa.list_(pa.float64())), pa.array(order[row, at], pa.int32())], names=["vec_id", "vec", "part"])
     return vectors.mapInArrow(run, "vec_id long, vec array<double>, part int")
 
 
@@ -102,6 +107,8 @@ def rerank(key, rows, queries):
     q, x = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
     out = [[], [], []]
     if len(q) and len(x):
+        repeated = True if len(np.unique(x)) < len(x) else None
+
         def matrix(t):
             return np.array(t.column("vec").to_pylist(), float)
         order = np.argsort(x, kind="stable")
@@ -109,10 +116,17 @@ def rerank(key, rows, queries):
         for lo in range(0, len(q), 256):
             s = Y[lo:lo + 256] @ X.T
             s[q[lo:lo + 256, None] == x[None]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :K]
+            # All that may be among the first K whatever the rounding, and the same ids' other rows.
+            least = np.partition(s, max(0, s.shape[1] - K), axis=1)[:, max(0, s.shape[1] - K)]
             for i in range(len(s)):
-                t = top[i][np.isfinite(s[i, top[i]])]
-                out[0].append(np.full(len(t), q[lo + i])), out[1].append(x[t]), out[2].append(s[i, t])
+                t = np.flatnonzero((s[i] >= least[i] - 1e-9 * (1 + abs(least[i]))) & np.isfinite(s[i])) if np.isfinite(least[i]) and repeated is None else np.flatnonzero(np.isfinite(s[i]))
+                exact = (X[t] * Y[lo + i]).sum(1)
+                t, exact = (v[np.lexsort((x[t], -exact))] for v in (t, exact))
+                if repeated is not None:
+                    first = np.sort(np.unique(x[t], return_index=True)[1])
+                    t, exact = t[first], exact[first]
+                t, exact = t[:K], exact[:K]
+                out[0].append(np.full(len(t), q[lo + i])), out[1].append(x[t]), out[2].append(exact)
     cat = [np.concatenate(o) if o else np.zeros(0) for o in out]
     return pa.table({"query_id": pa.array(cat[0].astype("i8")), "vec_id": pa.array(cat[1].astype("i8")), "score": pa.array(cat[2].astype("f8"))})
 
@@ -123,13 +137,15 @@ def search(rows, queries):
     model = fit(rows)
     if model is None:
         return rows.selectExpr("vec_id as query_id", "1 as rank", "vec_id", "1.0D as score").filter("false")
-    index, ask = written(routed(rows, model, 1)), written(routed(queries, model, PROBES))
+    index = written(routed(rows, model, 1))
     n = {r.part: r["count"] for r in index.groupBy("part").count().collect()}
+    ask = written(routed(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")), model, PROBES, n))
     m = {r.part: r["count"] for r in ask.groupBy("part").count().collect()}
     chunks = lambda c, size: {p: -(-k // size) for p, k in c.items()}
     a = chunked(index, n, ROWS, chunks(m, QUERIES), "rc").withColumnRenamed("other", "qc")
     b = chunked(ask, m, QUERIES, chunks(n, ROWS), "qc").withColumnRenamed("other", "rc")
     key = ["part", "rc", "qc"]
     near = a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", best).filter(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
