@@ -22,6 +22,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The same as IP and the end of EMAIL, without going back within a run.
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 NUMBERS = re.compile(r"[0-9+][0-9+ ().-]*")
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 RUN = re.compile(r"[(+]?[0-9][0-9 ().+-]{5,}[0-9]")
@@ -39,28 +42,35 @@ def luhn(digits):
     return total % 10 == 0
 
 
-def base_spans(text):
-    out, at, done = [], text.find("@"), 0
+def emails(text):
+    """Matches of EMAIL. A match starts where its run of local characters starts, or where the last match ended; so each at-sign is tried once."""
+    out, last, at = [], 0, text.find("@")
     while at >= 0:
-        lo, hi = at, at + 1
-        while lo > done and text[lo - 1] in LOCAL:
+        lo = at
+        while lo > last and text[lo - 1] in BEFORE:
             lo -= 1
-        while hi < len(text) and text[hi] in LOCAL:
-            hi += 1
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, lo, hi)]
-        done, at = hi, text.find("@", hi)
+        m = HOST.match(text, at + 1) if lo < at else None
+        if m:
+            out.append(("email", lo, m.end()))
+        last = m.end() if m else at + 1
+        at = text.find("@", last)
+    return out
+
+
+def base_spans(text):
+    """Matches of the fixed patterns, in linear time: a run of digits is tried from its start only, as a match from within would be one from the start."""
     ip, card, phone = [], [], []
     for r in NUMBERS.finditer(text):
         a, b = r.span()
         if b - a < 7:
             continue
-        ip += [("ip", m.start(), m.end()) for m in IP.finditer(text, a, b) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        ip += [("ip", m.start(), m.end()) for m in DOTTED.finditer(text, a, b) if all(len(n) < 4 and int(n or "0") < 256 for n in (p.lstrip("0") for p in m[0].split(".")))]
         for m in CARD.finditer(text, a, b):
             d = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(d) <= 19 and luhn(d):
                 card.append(("card", *m.span()))
         phone += [("phone", *m.span()) for m in PHONE.finditer(text, a, b) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
-    return out + ip + card + phone
+    return emails(text) + ip + card + phone
 
 
 DIGIT_RUN = re.compile(r"[0-9]+")
