@@ -3,8 +3,8 @@
 The template language has text, {{ expression }}, {% for x in name %}, {% if test %}, {% else %}, {% generation %} and {% end %}; expressions
 are strings, names, fields (x.y), == and + and nothing else, so a template reaches only the values it is given. A template is parsed to a tree,
 constants are folded, and the tree becomes nested Python closures that append to a list and note the spans of generation blocks.
-Control strings inside texts are escaped reversibly by a backslash-like mark. Null texts and roles are empty; turns are ordered by turn, role and
-text, repeated rows stay; a conversation of one row is fine; an empty table gives no rows.
+Control strings inside texts are escaped reversibly by a backslash-like mark. Null texts and roles are empty, and may hold line ends; turns are ordered by turn, and those of an equal turn by
+hashes of role and text; repeated rows stay; rows without conv_id are one conversation; a conversation of one row is fine; an empty table gives no rows.
 """
 
 import re
@@ -32,6 +32,15 @@ def unescape(text):
     return re.sub(f"{MARK}(.?)", lambda m: MARK if m[1] == MARK else m[1], text, flags=re.S)
 
 
+def escape_role(role):
+    """A role ends at the line's end, so its own line ends are written as the mark and an n (which no control string has in its second place)."""
+    return escape(role).replace("\n", f"{MARK}n")
+
+
+def unescape_role(role):
+    return re.sub(f"{MARK}(.?)", lambda m: MARK if m[1] == MARK else "\n" if m[1] == "n" else m[1], role, flags=re.S)
+
+
 def parse_expression(src):
     tokens = re.findall(r"'(?:[^'\\]|\\.)*'|[A-Za-z_][\w.]*|==|\+|\S", src)
 
@@ -178,7 +187,7 @@ def compile_template(template):
 
 def read_back(formatted):
     """(role, text) of each turn."""
-    return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
+    return [(unescape_role(r), unescape(t)) for r, t in TURN.findall(formatted)]
 
 
 def format_conversations(rows, template=TEMPLATE, limit=PART):
@@ -208,14 +217,15 @@ def format_conversations(rows, template=TEMPLATE, limit=PART):
                 if open_ and (c != conv or size > limit):
                     out.append(closed())
                 conv = c
-                open_.append({"role": escape(role), "text": escape(text)})
+                open_.append({"role": escape_role(role), "text": escape(text)})
                 size += len(text) + len(role)
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if open_:
             yield pa.RecordBatch.from_pylist([closed()], schema=schema)
-    key = ["conv_id", "turn", "role", "text"]
+    # Hashes stand for texts in the order: ranges are drawn from a sample of keys on the driver.
+    key = ["conv_id", "turn", F.xxhash64("role"), F.xxhash64("text")]
     plain = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return plain.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(run, SCHEMA)
+    return plain.repartitionByRange(*key).sortWithinPartitions(*key).select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
 
 
 def whole(parts, start, add, finish, schema):

@@ -52,9 +52,9 @@ def op8_chat_templates(spark, sf_dir):
 
     def add(state, part):
         text = part["formatted"]
-        state["n"] += part["n_turns"]
         state["chars"] += len(text)
         for r, t in chat.read_back(text):
+            state["n"] += 1
             state["turns"].update(f"{r}\n{t}\n".encode())
         for s in part["loss_spans"]:
             loss = chat.unescape(text[s["start"]:s["end"]])
