@@ -1,21 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-The test items are a stated query set, taken in blocks of at most BLOCK items (each block's seeds and words are broadcast, so what
-is broadcast has a fixed bound for items of bounded length); every document is scanned whole against each block, without a shuffle. Seeds are an
-item's runs of SEED words that occur in the fewest items: all that are in at most RARE items, or all its runs if it has none so rare.
-Windows around seed hits are aligned; the score is the alignment's score over the item's best possible, and a document leaks an item at
-THRESHOLD or more. Items of under SEED words are one seed, all their words. Null and empty texts and items match nothing; repeated rows
-are reported for each; an empty table gives no rows. Returns doc_id, item_id, score, start, end (words), the best window of each pair.
+"""Benchmark decontamination: rare n-gram seeds join texts to test items, then Smith-Waterman aligns words.
+
+Seeds are runs of SEED words of an item (all its words, if it has fewer). How many items have a run is counted over all items in Spark. Of each stretch of
+STRETCH runs an item keeps those that are in at most RARE items, or all if the stretch has none so rare, so that an item of a family of like ones keeps seeds
+everywhere. Documents are scanned whole against a bit table of the seeds, of BITS bits however many there are (a fuller one lets more runs through), and what it lets through
+joins with the seeds themselves; only texts with such runs are shuffled, equal ones once. Windows around the seeds' places are aligned; the score is the alignment's score over the item's best
+possible, and a document leaks an item at THRESHOLD or more. Null and empty texts and items match nothing; repeated rows
+are reported for each; rows without ids are reported without, and clean() finds them by their texts; columns of any names stay; an empty table gives no rows. Returns doc_id, item_id, score, start, end (words), the best window of each pair.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from cindergrid.llm.textkit import blocks, shingles, words
+from cindergrid.llm.textkit import blocks, discard, shingles, words, written
 
-SEED, RARE, BLOCK, THRESHOLD, MATCH, MISS, GAP = 4, 3, 2000, 0.6, 2, -1, -1
-SCHEMA = "doc_id long, item_id long, score double, start long, end long"
+SEED, STRETCH, RARE, BITS, PROBES, THRESHOLD, MATCH, MISS, GAP = 4, 12, 3, 1 << 24, 3, 0.6, 2, -1, -1
 
 
 def align(item, text):
@@ -42,77 +41,131 @@ def align(item, text):
     return best[0] / (MATCH * max(1, len(item))), best[1], best[2]
 
 
-def prepared(items):
-    """Sorted seed hashes with their items, and each item's words."""
-    seeds, own = {}, {}
-    for item_id, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        h, row, _, _ = words(raw, np.array([0, len(raw)]))
-        if not len(h):
-            continue
-        n = min(SEED, len(h))
-        own[item_id] = h
-        for s in set(shingles(h, row, n)[0].tolist()):
-            seeds.setdefault((n, s), []).append(item_id)
-    rare = {i for v in seeds.values() if len(v) <= RARE for i in v}
-    out = {}
-    for (n, s), v in seeds.items():
-        for i in v:
-            if len(v) <= RARE or i not in rare:
-                out.setdefault(n, []).append((s, i))
-    return {n: (np.array([x[0] for x in sorted(v)], np.uint64), [x[1] for x in sorted(v)]) for n, v in out.items()}, own
-
-
-def scan(docs, items):
-    seeds, own = prepared(items)
+def words_of(benchmark):
+    """item (a row of the benchmark), item_id, words (their hashes) of items that have some."""
+    def run(it):
+        for batch in it:
+            out = []
+            for lo, hi, data, offs in blocks(batch.column(2)):
+                h, row, _, _ = words(data, offs)
+                ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                out.append(pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["item", "item_id", "words"]))
+            yield from out
+    own = benchmark.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    return own.mapInArrow(run, "item long, item_id long, words array<long>").filter("size(words) > 0")
+
+
+def seeds_of(items):
+    """item, n, s of the runs of n words that seed each item."""
+    def run(it):
+        for batch in it:
+            for item, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = own.values.to_numpy().view(np.uint64)
+                n = min(SEED, len(h))
+                s, at = shingles(h, np.zeros(len(h), np.int64), n)
+                yield pa.record_batch([pa.array(np.full(len(s), item)), pa.array(np.full(len(s), n, np.int32)), pa.array(s.view(np.int64)), pa.array(at // STRETCH)], names=["item", "n", "s", "stretch"])
+    runs = written(items.select("item", "words").mapInArrow(run, "item long, n int, s long, stretch long"))
+    kinds = runs.select("item", "n", "s").distinct().groupBy("n", "s").agg(F.count("*").alias("c"))
+    least = F.min("c").over(W.partitionBy("item", "stretch"))
+    return runs.join(kinds, ["n", "s"]).withColumn("least", least).filter(f"c <= {RARE} or least > {RARE}").select("item", "n", "s").distinct()
+
+
+def probe(s, k):
+    return F.shiftrightunsigned(s, 20 * k).bitwiseAND(F.lit(BITS - 1).cast("bigint"))
+
+
+def bit_table(seeds):
+    """The seeds' bits as 64-bit words: at most BITS / 64 numbers reach the driver."""
+    place = seeds.select(F.explode(F.array(*[probe(F.col("s"), k) for k in range(PROBES)])).alias("p"))
+    rows = place.groupBy((F.col("p") / 64).cast("int").alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("v")).collect()
+    out = np.zeros(BITS // 64, np.int64)
+    for r in rows:
+        out[r.k] = r.v
+    return out.view(np.uint64)
+
+
+def hits(docs, seeds):
+    """doc_id, key (of the text), text, runs (n, s, at) of documents with runs that the bit table lets through."""
+    table, lengths = docs.sparkSession.sparkContext.broadcast(bit_table(seeds)), [r.n for r in seeds.select("n").distinct().collect()]
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("s", pa.int64()), ("at", pa.int64())]))
 
     def run(it):
+        bits = table.value
         for batch in it:
-            ids, out = batch.column(0).to_pylist(), []
-            for lo, hi, data, offs in blocks(batch.column(1)):
+            for lo, hi, data, offs in blocks(batch.column(2)):
                 h, row, _, _ = words(data, offs)
-                first = np.searchsorted(row, np.arange(hi - lo + 1))
-                hits = {}
-                for n, (keys, of) in seeds.items():
+                first, found = np.searchsorted(row, np.arange(hi - lo + 1)), [[] for _ in range(3)]
+                for n in lengths:
                     s, at = shingles(h, row, n)
-                    k = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    for p in np.flatnonzero(keys[k] == s):
-                        j = k[p]
-                        while j < len(keys) and keys[j] == s[p]:
-                            hits.setdefault((int(row[at[p]]), of[j]), []).append(int(at[p]))
-                            j += 1
-                for (r, item), places in hits.items():
-                    w, best = own[item], (0, 0, 0)
-                    reach = len(w) + len(w) // 2 + 4
-                    a = max(first[r], places[0] - reach)
-                    for p, q in zip(places, [*places[1:], None]):
-                        if q is None or q - p > 2 * reach:
-                            b = min(first[r + 1], p + reach)
-                            score, x, y = align(w, h[a:b])
-                            best = max(best, (score, int(a - first[r] + x), int(a - first[r] + y)), key=lambda z: z[0])
-                            a = max(first[r], q - reach) if q else 0
-                    if best[0] >= THRESHOLD:
-                        out.append((ids[lo + r], item, *best))
+                    ok = np.ones(len(s), bool)
+                    for k in range(PROBES):
+                        p = (s >> np.uint64(20 * k)) & np.uint64(BITS - 1)
+                        ok &= (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+                    for v, x in zip(found, (np.full(int(ok.sum()), n, np.int32), s[ok].view(np.int64), at[ok])):
+                        v.append(x)
+                n, s, at = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
+                if not len(s):
+                    continue
+                order = np.argsort(row[at], kind="stable")
+                n, s, at = n[order], s[order], at[order]
+                own, size = np.unique(row[at], return_counts=True)
+                runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(s), pa.array(at - first[row[at]])], fields=list(kind.value_type)))
+                pick = pa.array(own + lo)
+                yield pa.record_batch([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), runs], names=["doc_id", "key", "text", "runs"])
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, text string, runs array<struct<n:int,s:long,at:long>>")
+
+
+def text_key():
+    return F.unhex(F.md5("text"))
+
+
+def best_window(item, text, places):
+    """Score, first and last word of the item's best alignment around places of its seeds in the text."""
+    reach, best = len(item) + len(item) // 2 + 4, (0.0, 0, 0)
+    a = max(0, places[0] - reach)
+    for p, q in zip(places, [*places[1:], None]):
+        if q is None or q - p > 2 * reach:
+            score, x, y = align(item, text[a:p + reach])
+            best = max(best, (score, a + x, a + y), key=lambda z: z[0])
+            a = max(0, q - reach) if q is not None else 0
+    return best
+
+
+def aligned(pairs):
+    """key, item_id, score, start, end of pairs (key, item_id, text, words, places) at THRESHOLD or more."""
+    def run(it):
+        for batch in it:
+            out = []
+            for k in range(batch.num_rows):
+                raw = np.frombuffer(batch.column(2)[k].as_py().encode(), np.uint8)
+                found = best_window(batch.column(3)[k].values.to_numpy().view(np.uint64), words(raw, np.array([0, len(raw)]))[0], batch.column(4)[k].as_py())
+                if found[0] >= THRESHOLD:
+                    out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *found))
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "start", "end"])
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["key", "item_id", "score", "start", "end"])
+    return pairs.select("key", "item_id", "text", "words", "places").mapInArrow(run, "key binary, item_id long, score double, start long, end long")
+
+
+def leaks(docs, benchmark):
+    """(doc_id, key of documents with seeds, key, item_id, score, start, end of leaking texts)."""
+    items = written(words_of(benchmark))
+    seeds = written(seeds_of(items))
+    found = written(hits(docs, seeds))
+    texts = found.groupBy("key").agg(F.any_value(F.struct("text", "runs")).alias("of")).select("key", "of.*")
+    places = texts.select("key", F.inline("runs")).join(seeds, ["n", "s"]).groupBy("key", "item").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    out = written(aligned(places.join(items, "item").join(texts.select("key", "text"), "key")))
+    discard(items, seeds)
+    return found.select("doc_id", "key"), out
 
 
 def contaminated(docs, benchmark):
     """Leaking (document, item) pairs."""
-    out, block = None, []
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        block.append((r.item_id, r.text))
-        if len(block) == BLOCK:
-            part, block = scan(docs, block), []
-            out = part if out is None else out.union(part)
-    if block or out is None:
-        part = scan(docs, block)
-        out = part if out is None else out.union(part)
-    return out
+    found, out = leaks(docs, benchmark)
+    return found.join(out, "key").select("doc_id", "item_id", "score", "start", "end")
 
 
 def clean(docs, benchmark):
     """docs without those that leak an item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs.doc_id == bad._leak, "left_anti")
+    bad = leaks(docs, benchmark)[1].select("key").distinct()
+    rows = docs.select(F.coalesce(text_key(), F.lit(b"")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(bad, "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
