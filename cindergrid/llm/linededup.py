@@ -52,9 +52,9 @@ def lines(keyed_docs):
 
 
 def ranks(all_lines):
-    """Rarity of each bucket of words, 0 (rare) to 126, as the highest bits of a word key."""
+    """Rarity of each bucket of words, 0 (rare) to 126. (Small numbers keep the plan's text short, of which the driver holds many copies.)"""
     seen = all_lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), number(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    return bounded({r.b: min(126, int(3 * math.log2(1 + r.n))) << 56 for r in seen.collect()}, BUCKETS)
+    return bounded({r.b: min(126, int(3 * math.log2(1 + r.n))) for r in seen.collect()}, BUCKETS)
 
 
 def parity(keys):
@@ -66,7 +66,7 @@ def word_keys(line, rank):
     """Ordered keys of the distinct words."""
     def key(w):
         x = F.xxhash64(w)
-        return F.coalesce(F.get(rank, F.pmod(x, number(BUCKETS)).cast("int")), number(0)) + F.shiftrightunsigned(x, 8)
+        return F.shiftleft(F.coalesce(F.get(rank, F.pmod(x, number(BUCKETS)).cast("int")), number(0)), 56) + F.shiftrightunsigned(x, 8)
     return F.sort_array(F.array_distinct(F.transform(words(line), key)))
 
 

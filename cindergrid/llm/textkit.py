@@ -112,7 +112,7 @@ def bounded(numbers, size):
     return F.split(F.lit(",".join(str(numbers.get(b, 0)) for b in range(size))), ",").cast("array<bigint>")
 
 
-def marked(rows, *names, size=1 << 21):
+def marked(rows, *names, size=1 << 20):
     """A test for the names' values that is true of all that are in rows, and of few others unless there are more than size in rows.
 
     The table has size bits, however many rows there are; a full one only lets more through.
