@@ -2,17 +2,18 @@
 
 Bytes are embedded; filters of WIDTH bytes at every STRIDE-th place of overlapping chunks cover the whole text; the maxima and
 means of the chunks' filters are combined into one probability. It is trained on the driver by gradient descent on at most
-SAMPLE labelled rows (drawn by a hash of the id, so few that their ids are broadcast; texts over LONGEST bytes train by chunks spread over the whole text; scoring covers every byte).
-Null and empty texts get the score of an all-zero pooling; repeated rows get equal scores; an empty table gives no rows.
+SAMPLE labelled rows (drawn by a hash of the id, so few that their ids are broadcast), on their whole texts, and scores whole texts.
+A label is a doc_id's highest quality; rows of one doc_id share it. A column named score is replaced by score(); kept() returns the columns as they are. Null and empty texts get the score of an all-zero pooling; repeated rows get equal scores; an empty table gives no rows.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cindergrid.llm.textkit import blocks
 
-WIDTH, STRIDE, DIM, FILTERS, CHUNK, SAMPLE, LONGEST, EPOCHS = 8, 4, 8, 24, 1024, 2000, 4096, 6
+WIDTH, STRIDE, DIM, FILTERS, CHUNK, SAMPLE, EPOCHS = 8, 4, 8, 24, 1024, 2000, 6
 
 
 def pooled(net, data, keep=False):
@@ -44,20 +45,12 @@ def probability(net, feats):
     return 1 / (1 + np.exp(-np.clip(feats @ net["u"] + net["c"], -30, 30)))
 
 
-def spread(data, limit):
-    """At most limit bytes in four runs spread over the whole text."""
-    if len(data) <= limit:
-        return data
-    part = limit // 4
-    return np.concatenate([data[s:s + part] for s in np.linspace(0, len(data) - part, 4).astype(int)])
-
-
 def train(texts, labels, seed=7):
     rng = np.random.default_rng(seed)
     net = {"E": rng.normal(0, .5, (256, DIM)).astype("f4"), "W": rng.normal(0, .2, (WIDTH * DIM, FILTERS)).astype("f4"), "b": np.zeros(FILTERS, "f4"), "u": rng.normal(0, .1, 2 * FILTERS).astype("f4"), "c": np.float32(0)}
     labels = np.asarray(labels)
     share = labels.mean() if len(labels) else .5
-    data = [spread(np.frombuffer((t or "").encode(), np.uint8), LONGEST) for t in texts]
+    data = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
     seen = {k: np.zeros_like(v) for k, v in net.items()}
     for _ in range(EPOCHS if 0 < share < 1 else 0):
         for i in rng.permutation(len(data)):
@@ -88,25 +81,36 @@ def fit(docs, labels, fold):
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = docs.filter(fold).select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     names = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in drawn], "doc_id long, quality long")
-    size, part = F.length("text"), LONGEST // 4
-    spread_out = F.concat(*[F.substring(F.col("text"), F.floor((size - part) * k / 3).cast("int") + 1, F.lit(part)) for k in range(4)])
-    rows = docs.select("doc_id", "text").join(F.broadcast(names), "doc_id").select(F.when(size <= LONGEST, F.col("text")).otherwise(spread_out).alias("text"), "quality").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(names), "doc_id").select("text", "quality").collect()
     rows = sorted(rows, key=lambda r: (r.text or "", r.quality))
     return train([r.text for r in rows], [r.quality for r in rows])
 
 
+def kept(docs, net, least):
+    """The rows that score at least so much, with all their columns and no other."""
+    i = docs.columns.index("text")
+
+    def run(it):
+        for batch in it:
+            yield batch.filter(pa.array(probabilities(batch.column(i), net) >= least))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def probabilities(texts, net):
+    p = np.empty(len(texts))
+    for lo, hi, data, offs in blocks(texts):
+        for k in range(hi - lo):
+            p[lo + k] = probability(net, pooled(net, data[offs[k]:offs[k + 1]]))
+    return p
+
+
 def score(docs, net):
-    """docs with a score; every column is kept."""
+    """docs with a score, in place of a column of that name if there is one."""
     names = [c for c in docs.columns if c != "score"]
     i = names.index("text")
 
     def run(it):
         for batch in it:
-            p = np.empty(batch.num_rows)
-            for lo, hi, data, offs in blocks(batch.column(i)):
-                for k in range(hi - lo):
-                    p[lo + k] = probability(net, pooled(net, data[offs[k]:offs[k + 1]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, "score"])
-    kept = docs.select(*names)
-    from pyspark.sql.types import StructType
-    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("score", "double"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probabilities(batch.column(i), net))], names=[*names, "score"])
+    kept_ = docs.select(*names)
+    return kept_.mapInArrow(run, StructType(list(kept_.schema.fields)).add("score", "double"))
