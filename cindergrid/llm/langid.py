@@ -2,8 +2,8 @@
 
 Each language has a codeword; for each bit a binary classifier over hashed byte n-grams (1 to 3) gives a margin, trained on counts that
 one distributed pass gathers from all labelled texts (languages x buckets numbers reach the driver). Decoding weighs each bit's logistic loss
-by the bit's accuracy and takes the nearest codeword; a small gap to the second is flagged as ambiguous.
-Null texts and texts without a letter are `und` with score 0; ties go to the first language by name; an empty table gives no rows.
+by the bit's accuracy over all labelled texts, which a second pass counts, and takes the nearest codeword; a small gap to the second is flagged as ambiguous.
+Texts are counted in blocks of at most ROWS rows, so that memory is bounded for short ones too. Repeated rows count, and are predicted, each; null texts and texts without a letter are `und` with score 0; ties go to the first language by name; an empty table gives no rows.
 """
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.llm.textkit import LOWER, blocks
 
-BUCKETS = 1 << 13
+BUCKETS, ROWS = 1 << 13, 512
 
 
 def grams(data, offs):
@@ -54,7 +54,7 @@ def counts(labelled):
         total = {}
         for batch in it:
             lang = np.array(batch.column(0).to_pylist())
-            for lo, hi, data, offs in blocks(batch.column(1), 1 << 19):
+            for lo, hi, data, offs in blocks(batch.column(1), 1 << 19, ROWS):
                 g = grams(data, offs)
                 for x in set(lang[lo:hi]):
                     total[x] = total.get(x, 0) + g[lang[lo:hi] == x].sum(0, dtype=np.float64)
@@ -64,8 +64,30 @@ def counts(labelled):
     return labelled.select("lang", "text").mapInArrow(run, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def margins(W, data, offs):
+    """Each text's margin of each bit; short texts weigh less."""
+    g = grams(data, offs)
+    return g @ W * (60 / np.maximum(g.sum(1, keepdims=True), 60))
+
+
+def hits(labelled, langs, W, code):
+    """How many labelled texts each bit gets right, of how many: a row for each bit."""
+    place = {x: i for i, x in enumerate(langs)}
+
+    def run(it):
+        right, n = np.zeros(code.shape[1], np.int64), 0
+        for batch in it:
+            own = np.array([place[x] for x in batch.column(0).to_pylist()])
+            for lo, hi, data, offs in blocks(batch.column(1), 1 << 19, ROWS):
+                right += (margins(W, data, offs) * code[own[lo:hi]] > 0).sum(0)
+                n += hi - lo
+        yield pa.record_batch([pa.array(np.arange(len(right))), pa.array(right), pa.array(np.full(len(right), n))], names=["bit", "right", "n"])
+    return labelled.select("lang", "text").mapInArrow(run, "bit long, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n"))
+
+
 def fit(docs, fold):
-    rows = counts(docs.filter(fold & F.col("lang").isNotNull() & F.col("text").isNotNull())).collect()
+    labelled = docs.filter(fold & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = counts(labelled).collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return {"langs": [], "W": np.zeros((BUCKETS, 0), "f4"), "code": np.zeros((0, 0)), "weight": np.zeros(0)}
@@ -75,9 +97,12 @@ def fit(docs, fold):
     table = (table + .5) / (table + .5).sum(1, keepdims=True)
     code = codewords(len(langs))
     up, down = (code > 0).T @ table + 1e-9, (code < 0).T @ table + 1e-9
-    W = np.log(up / up.sum(1, keepdims=True)) - np.log(down / down.sum(1, keepdims=True))
-    own = np.sign(table @ W.T) == code
-    return {"langs": langs, "W": W.T.astype("f4"), "code": code, "weight": (own.mean(0) + .01) / (own.mean(0) + .01).sum()}
+    W = (np.log(up / up.sum(1, keepdims=True)) - np.log(down / down.sum(1, keepdims=True))).T.astype("f4")
+    right = np.full(code.shape[1], .5)
+    for r in hits(labelled.filter(F.col("lang").isin(langs)), langs, W, code).collect():
+        right[r.bit] = r.right / max(1, r.n)
+    weight = np.log((right + .001) / (1.001 - right)).clip(.01)
+    return {"langs": langs, "W": W, "code": code, "weight": weight / weight.sum()}
 
 
 def predict(docs, model):
@@ -88,9 +113,8 @@ def predict(docs, model):
         for batch in it:
             text, name, score, unsure = batch.column(1), [], [], []
             letter = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in blocks(text, 1 << 19):
-                g = grams(data, offs)
-                m = g @ model["W"] * (60 / np.maximum(g.sum(1, keepdims=True), 60))
+            for lo, hi, data, offs in blocks(text, 1 << 19, ROWS):
+                m = margins(model["W"], data, offs)
                 loss = np.stack([(np.logaddexp(0, -m * c) * model["weight"]).sum(1) for c in model["code"]], 1) if len(langs) else np.zeros((hi - lo, 0))
                 for k in range(hi - lo):
                     if not letter[lo + k] or not len(langs):

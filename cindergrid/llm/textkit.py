@@ -25,13 +25,13 @@ def utf8(column):
     return (np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)), offs
 
 
-def blocks(column, limit=1 << 21):
-    """(first row, last row, bytes, offsets) of runs of rows of about limit bytes; a longer text is a run of its own."""
+def blocks(column, limit=1 << 21, rows=1 << 16):
+    """(first row, last row, bytes, offsets) of runs of at most so many rows and about limit bytes; a longer text is a run of its own."""
     data, offs = utf8(column)
     lo, n = 0, len(column)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         lo = hi
 
