@@ -9,19 +9,20 @@ is never cut short; rows of equal doc_id are packed as separate documents; an em
 import json
 import re
 import unicodedata
+import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-SIZE, POOL, KEPT = 2048, 20000, 1 << 19
+SIZE, POOL, KEPT = 2048, 20000, 1 << 17
 #: Scripts whose letters, digits and spaces are the same in all versions of the tables that the patterns use.
 OTHER = re.compile(r"[^\u0000-\u052f]")
 SPACE = "\\t-\\r \x85\xa0"
 #: A word starts at every space, but for those between other white space.
 LOOSE = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
 
 
 def default_tokenizer():
@@ -137,7 +138,7 @@ def fill(lengths, size, final, slack=8):
     return bins, back
 
 
-def packer(path, size):
+def packer(path, size, with_ids):
     def run(it):
         encode = encoder(path)
         pool, done = [], TaskContext.get().partitionId() << 33
@@ -149,14 +150,15 @@ def packer(path, size):
             for own in bins:
                 at = 0
                 for i in own:
-                    rows.append((*pool[i], done, at))
-                    at += pool[i][3]
+                    *where, ids = pool[i]
+                    rows.append((*where, zlib.crc32(ids), done, at, ids))
+                    at += where[3]
                 done += 1
             pool = [pool[i] for i in back]
             for k in range(0, len(rows), 4096):
-                cols = list(zip(*rows[k:k + 4096]))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))],
-                                      names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+                cols = list(zip(*rows[k:k + 4096]))[:None if with_ids else -1]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")][:len(cols)])
 
         for batch in it:
             doc, text = batch.column(0).to_pylist(), batch.column(1)
@@ -172,6 +174,7 @@ def packer(path, size):
     return run
 
 
-def pack(docs, tokenizer=None, size=SIZE):
-    """Pieces with their ids and places."""
-    return docs.select("doc_id", "text").mapInArrow(packer(tokenizer or default_tokenizer(), size), SCHEMA)
+def pack(docs, tokenizer=None, size=SIZE, ids=True):
+    """Pieces with their places and the checksum of their ids, and the ids themselves unless they aren't asked for."""
+    schema = SCHEMA if ids else SCHEMA.rpartition(",")[0]
+    return docs.select("doc_id", "text").mapInArrow(packer(tokenizer or default_tokenizer(), size, ids), schema)

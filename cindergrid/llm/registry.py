@@ -1,9 +1,7 @@
 """Queries that apply the operators, with production parameters, to whole tables."""
 
 import hashlib
-import zlib
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cindergrid.llm import ann, chat, decontam, langid, linededup, lm, minhash, packing, pii, quality
@@ -68,15 +66,7 @@ def op8_chat_templates(spark, sf_dir):
 
 @op
 def op10_best_two_fit_packing(spark, sf_dir):
-    return with_crc(packing.pack(read(spark, sf_dir, "documents")))
-
-
-def with_crc(pieces):
-    def run(it):
-        for b in it:
-            crc = pa.array([zlib.crc32(x) for x in b.column(4).to_pylist()], pa.int64())
-            yield pa.record_batch([*b.columns[:4], crc, *b.columns[5:]], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-    return pieces.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packing.pack(read(spark, sf_dir, "documents"), ids=False)
 
 
 @op

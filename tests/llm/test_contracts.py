@@ -70,3 +70,21 @@ def test_roles_with_line_ends(spark, role, text):
     df = spark.createDataFrame([(1, 0, role, text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     parts = chat.format_conversations(df).collect()
     assert [t for p in parts for t in chat.read_back(p.formatted)] == [(role, text), ("assistant", text)]
+
+
+def test_checksums_and_hashes(spark):
+    """The digest columns of op4 and op10, from the operators' real outputs."""
+    import hashlib
+    import zlib
+
+    from cindergrid.llm import packing, registry
+    d = "/root/testdata/sf0.001"
+    docs = registry.read(spark, d, "documents")
+    ids = {(r.doc_id, r.piece): bytes(r.ids) for r in packing.pack(docs).collect()}
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id, r.piece]) and r.length * 4 == len(ids[r.doc_id, r.piece]) for r in registry.op10_best_two_fit_packing(spark, d).collect())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in registry.op4_semi_markov_pii(spark, d).collect():
+        want = brute(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[0] == k for x in want) for k in pii.KINDS)
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
