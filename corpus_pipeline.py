@@ -33,7 +33,7 @@ def decontam_stage(spark, docs, sf_dir):
 
 def packing_stage(spark, docs, sf_dir):
     """Pieces of the remaining documents and their places in sequences. Null and empty texts are one piece, the closing id."""
-    return registry.with_crc(packing.pack(docs))
+    return packing.pack(docs, ids=False)
 
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("minhash", minhash_stage), ("decontam", decontam_stage), ("packing", packing_stage)]
