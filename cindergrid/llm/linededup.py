@@ -101,19 +101,25 @@ def spread(lines_, prefix, *more):
     return rows.select(F.hash("w", "cell").alias("key"), F.expr("n * 2097152L + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p"), *more)
 
 
-#: Lines a and b meet in the home of the larger one; with their first common word at places pa and pb they share at most na - pa and nb - pb.
-PLACES = "((na < nb and q % 2 = 1) or (na > nb and p % 2 = 1) or (na = nb and p % 2 = 1 and q % 2 = 1)) and 9 * pa <= 5 * na - 4 * nb and 9 * pb <= 5 * nb - 4 * na"
-for _name, _value in (("na", "(p div 2097152)"), ("nb", "(q div 2097152)"), ("pa", "((p % 2097152) div 2)"), ("pb", "((q % 2097152) div 2)")):
-    PLACES = PLACES.replace(_name, _value)
+#: Sizes of two lines x and y, and the places of their first common word.
+NX, NY, PX, PY = "(x.p div 2097152)", "(y.p div 2097152)", "((x.p % 2097152) div 2)", "((y.p % 2097152) div 2)"
+#: They meet in the home of the larger one; they share at most NX - PX and NY - PY words.
+PLACES = f"(({NX} < {NY} and y.p % 2 = 1) or ({NX} > {NY} and x.p % 2 = 1) or ({NX} = {NY} and x.p % 2 = 1 and y.p % 2 = 1)) and 9 * {PX} <= 5 * {NX} - 4 * {NY} and 9 * {PY} <= 5 * {NY} - 4 * {NX}"
 #: The words that they differ in are at least as many as their signatures' bits.
-BITS = "9 * if(ha is null or hb is null, bit_count(sa ^ sb), bit_count(ha ^ hb) + bit_count(ha ^ sa ^ hb ^ sb)) <= (p div 2097152) + (q div 2097152)"
+BITS = f"9 * if(x.hi is null or y.hi is null, bit_count(x.sig ^ y.sig), bit_count(x.hi ^ y.hi) + bit_count(x.hi ^ x.sig ^ y.hi ^ y.sig)) <= {NX} + {NY}"
+MEET = f"x.key = y.key and {PLACES} and {BITS}"
+SIMILAR = "9 * size(array_intersect(x.keys, y.keys)) >= 4 * (size(x.keys) + size(y.keys))"
+
+
+def partnered(x, y, more):
+    """Ids of the lines x that have a partner y."""
+    return x.alias("x").join(y.alias("y"), F.expr(f"{MEET} and {more}"), "left_semi").select("x.id").distinct()
 
 
 def hopeful(reps):
     """Ids of lines that have a partner by all filters."""
     rows = spread(reps, "prefix", "id", "sig", "hi")
-    a, b = rows.toDF("key", "p", "a", "sa", "ha"), rows.toDF("keyb", "q", "b", "sb", "hb")
-    return a.join(b, (a.key == b.keyb) & F.expr(f"a <> b and {PLACES} and {BITS}"), "left_semi").select(F.col("a").alias("id")).distinct()
+    return partnered(rows, rows, "x.id <> y.id")
 
 
 def asked_lines(asked, all_lines, rank):
@@ -126,34 +132,26 @@ def asked_lines(asked, all_lines, rank):
     return written(own.select("*", *signature()))
 
 
-SIMILAR = "9 * size(array_intersect(keys, others)) >= 4 * (size(keys) + size(others))"
-
-
 def led(own):
     """Ids of lines that are similar to an earlier one among the leaders of their keys."""
     rows = spread(own, F.expr(PREFIX), "id", "at", "sig", "hi")
-    first = rows.groupBy("key", F.pmod("id", number(LEADERS)).alias("salt")).agg(F.min(F.struct("at", "id", "p", "sig", "hi")).alias("of"))
-    first = first.select(F.col("key").alias("keyb"), *[F.col(f"of.{c}").alias(d) for c, d in (("at", "before"), ("id", "b"), ("p", "q"), ("sig", "sb"), ("hi", "hb"))])
-    a = rows.toDF("key", "p", "id", "at", "sa", "ha")
-    pairs = a.join(first, (a.key == first.keyb) & F.expr(f"before < at and {PLACES} and {BITS}")).select("id", "b").distinct()
+    first = rows.groupBy("key", F.pmod("id", number(LEADERS)).alias("salt")).agg(F.min(F.struct("at", "id", "p", "sig", "hi")).alias("of")).select("key", "of.*")
+    pairs = rows.alias("x").join(first.alias("y"), F.expr(f"{MEET} and y.at < x.at")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     keys = own.select("id", "keys")
-    both = pairs.join(keys, "id").join(keys.toDF("b", "others"), "b")
-    return written(both.filter(SIMILAR).select("id").distinct())
+    both = pairs.join(keys.alias("x"), F.expr("a = x.id")).join(keys.alias("y"), F.expr("b = y.id"))
+    return written(both.filter(SIMILAR).select(F.col("a").alias("id")).distinct())
 
 
 def matched(own):
     """Ids of the lines that have an earlier match among them."""
     done = led(own)
-    rows = spread(own.join(done.withColumn("off", F.lit(True)), "id", "left").withColumn("open", F.col("off").isNull()), F.expr(PREFIX), "id", "at", "sig", "hi", "open")
-    a, b = rows.drop("open").toDF("key", "p", "id", "at", "sa", "ha"), rows.filter("open").drop("open").toDF("keyb", "q", "b", "after", "sb", "hb")
-    earlier = (a.key == b.keyb) & F.expr(f"at < after and {PLACES} and {BITS}")
-    late = written(b.join(a, earlier, "left_semi").select(F.col("b").alias("id")).distinct())
-    b = spread(own.join(late, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi").toDF("keyb", "q", "b", "after", "sb", "hb")
-    early = written(a.join(b, (a.key == b.keyb) & F.expr(f"at < after and {PLACES} and {BITS}"), "left_semi").select("id").distinct())
-    a = spread(own.join(late, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "keys").toDF("key", "p", "id", "at", "sa", "ha", "keys")
-    b = spread(own.join(early, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "keys").toDF("keyb", "q", "b", "before", "sb", "hb", "others")
-    more = a.join(b, (a.key == b.keyb) & F.expr(f"before < at and {PLACES} and {BITS} and {SIMILAR}"), "left_semi").select("id").distinct()
-    return done.union(written(more))
+
+    def rows(of=None, *more):
+        return spread(own if of is None else own.join(of, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", *more)
+    still = written(own.select("id").join(done, "id", "left_anti"))
+    late = written(partnered(rows(still), rows(), "y.at < x.at"))
+    early = written(partnered(rows(), rows(late), "x.at < y.at"))
+    return done.union(written(partnered(rows(late, "keys"), rows(early, "keys"), f"y.at < x.at and {SIMILAR}")))
 
 
 def dedup_lines(docs, counts=False):
