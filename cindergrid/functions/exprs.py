@@ -50,3 +50,22 @@ def albers_sql(lon, lat, parallels=(34, 40.5), origin=(0, -120), false_northing=
     qs = f"({1 - e2!r} * ({s} / (1 - {e2!r} * {s} * {s}) - ln((1 - {e!r} * {s}) / (1 + {e!r} * {s})) / {2 * e!r}))"
     rho, theta = f"({a} * sqrt({c!r} - {n!r} * {qs}) / {n!r})", f"({n!r} * radians({lon} - ({origin[1]})))"
     return f"{rho} * sin({theta})", f"{base!r} - {rho} * cos({theta}) + ({false_northing})"
+
+
+def lonlat_sql(x, y, parallels=(34, 40.5), origin=(0, -120), false_northing=-4e6):
+    """Longitude and latitude of the same projection's x and y (Snyder 1987, with three terms of the series), as SQL text."""
+    a, e2 = 6378137.0, 0.00669438002290
+    e = math.sqrt(e2)
+
+    def q(s):
+        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    (s1, m1), (s2, m2) = ((math.sin(p), math.cos(p) ** 2 / (1 - e2 * math.sin(p) ** 2)) for p in map(math.radians, parallels))
+    n = (m1 - m2) / (q(s2) - q(s1))
+    c = m1 + n * q(s1)
+    base = a * math.sqrt(c - n * q(math.sin(math.radians(origin[0])))) / n
+    down = f"({base!r} - ({y} - ({false_northing})))"
+    rho2 = f"(({x}) * ({x}) + {down} * {down})"
+    beta = f"asin(({c!r} - {rho2} * {(n / a) ** 2!r}) / {n * q(1.0)!r})"
+    terms = ((2, e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040), (4, 23 * e2**2 / 360 + 251 * e2**3 / 3780), (6, 761 * e2**3 / 45360))
+    lat = f"degrees({beta}" + "".join(f" + {v!r} * sin({k} * {beta})" for k, v in terms) + ")"
+    return f"({origin[1]} + degrees(atan2({x}, {down})) / {n!r})", lat

@@ -88,6 +88,11 @@ def neighbours(cells, *values, reach=MOORE):
     return a.join(cells.select("row", "col", *[F.col(v).alias(f"dst_{v}") for v in values]), ["row", "col"])
 
 
+def dense(cells, values):
+    """Every cell with its values, null where there are none: a raster to draw. Both have row and col."""
+    return cells.join(values, ["row", "col"], "left")
+
+
 def slope(rise, dr, dc, size):
     """Rise over run between neighbouring cells."""
     return rise / (F.hypot(dr, dc) * size)

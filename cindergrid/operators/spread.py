@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.functions.exprs import draw_sql
 from cindergrid.operators.geometry import neighbours, slope
+from cindergrid.operators.joins import nearest_to
 from cindergrid.operators.metrics import confusion, objective, timing
 from cindergrid.operators.state import written
 
@@ -94,6 +95,16 @@ def scenario_summary(found, cells, origin, likely=0.5, acres=247.105):
     return found.join(cells, "cell").crossJoin(F.broadcast(at)).agg(F.count_if(ok).alias("likely_cells"), F.floor(F.count_if(ok) * acres).alias("acres"), F.count_if(F.col("prob") > 0).alias("any_cells"), F.coalesce(F.max(F.when(ok, d)), F.lit(0.0)).alias("reach"))
 
 
+def scenario(cells, place, winds, params, steps, runs=20, burn=2, size=1000, seed=11):
+    """(probabilities, one row of summary) of a fire that starts in the cell nearest to a place. cells: cell, row, col, x, y, fuel, elev; winds: hour, cell, u, v; each step takes the wind of the nearest hour."""
+    origin = nearest_to(cells, "x", "y", place, "cell").first()["cell"]
+    hours = hour_of_step(steps, winds.select("hour"))
+    by_step = written(F.broadcast(hours).join(winds, "hour").select("step", "cell", "u", "v"))
+    start = cells.sparkSession.range(runs).select(F.col("id").alias("run"), F.lit(origin).alias("cell"))
+    found = written(burn_probability(ensemble(start, edges(cells, size), steps, burn, seed, hourly(by_step, params)), runs))
+    return found, scenario_summary(found, cells.select("cell", "row", "col"), origin)
+
+
 RANGES = {"p0": (0.05, 0.6), "k_wind": (0.0, 0.3), "k_slope": (0.0, 1.0)}
 
 

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from cindergrid.functions import feed, times
-from cindergrid.functions.exprs import prior_corrected
+from cindergrid.functions.exprs import albers_sql, lonlat_sql, prior_corrected
 from cindergrid.operators import geometry, joins, metrics, model, spread, windows
+from cindergrid.operators.state import numbered
 from cindergrid.operators.zonal import zonal_stats
 from cindergrid.plans.register import SQL, query, rounded, rows_only
 from cindergrid.sources import sinks, tables
@@ -406,3 +407,34 @@ def spread_search(s, d):
 @query("SELECT doc_id, round(1/(1+exp(-(ln(p/(1-p))+ln(0.1)))),6) AS risk FROM (SELECT doc_id, 1.0/(1.0+n_chars) AS p FROM documents) t")
 def corrected_risk(s, d):
     return rounded(table(s, d, "documents").select("doc_id", prior_corrected(1.0 / (1.0 + F.col("n_chars")), .1).alias("risk")))
+
+
+@query("SELECT n_nationkey, round(-124 + 0.4e0*n_nationkey, 7) AS lon, round(33 + 0.3e0*n_nationkey, 7) AS lat, round(-124 + 0.4e0*n_nationkey, 7) AS lon_5070, round(33 + 0.3e0*n_nationkey, 7) AS lat_5070 FROM nation")
+def albers_round_trip(s, d):
+    """To both projections and back."""
+    out = table(s, d, "nation")
+    for name, how in (("", {}), ("_5070", {"parallels": (29.5, 45.5), "origin": (23, -96), "false_northing": 0})):
+        x, y = albers_sql("(-124 + 0.4e0 * n_nationkey)", "(33 + 0.3e0 * n_nationkey)", **how)
+        out = out.withColumns({f"x{name}": F.expr(x), f"y{name}": F.expr(y)})
+        lon, lat = lonlat_sql(f"x{name}", f"y{name}", **how)
+        out = out.withColumns({f"lon{name}": F.round(F.expr(lon), 7), f"lat{name}": F.round(F.expr(lat), 7)})
+    return out.select("n_nationkey", "lon", "lat", "lon_5070", "lat_5070")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey) - 1 AS id FROM customer")
+def surrogate_keys(s, d):
+    return numbered(table(s, d, "customer").select("c_mktsegment", "c_custkey"), [F.desc("c_mktsegment"), F.col("c_custkey")], "id").select("c_custkey", "id")
+
+
+@query("WITH g AS (SELECT r.range AS row, c.range AS col FROM range(10) r CROSS JOIN range(10) c), v AS (SELECT p_partkey//10 AS row, p_partkey%10 AS col, p_size AS v FROM part WHERE p_partkey%3=0 AND p_partkey<100) SELECT g.row, g.col, v.v FROM g LEFT JOIN v USING(row, col)")
+def dense_raster(s, d):
+    values = table(s, d, "part").filter("p_partkey % 3 = 0 and p_partkey < 100").select(F.expr("p_partkey div 10").alias("row"), (F.col("p_partkey") % 10).alias("col"), F.col("p_size").alias("v"))
+    return geometry.dense(geometry.lattice(s, (0, 0, 10, 10), 1).select("row", "col"), values)
+
+
+@rows_only
+def fire_scenario(s, d):
+    """The summary of a fire from a place, under two hours of wind."""
+    own = cells(s, d).withColumns({"x": F.col("col") * 1.0, "y": F.col("row") * 1.0})
+    winds = own.crossJoin(s.createDataFrame([(0, 2.0, 0.5), (4, -1.0, 1.0)], "hour int, u double, v double")).select("hour", "cell", "u", "v")
+    return spread.scenario(own, (20.2, 10.4), winds, {"p0": .3, "k_wind": .2, "k_slope": .5}, 8, runs=5)[1]

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W, functions as F
 
+from cindergrid.functions.exprs import nan_to_null
+
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -105,4 +107,4 @@ def cube(parts, keys, day="day"):
 
 def masked(value, scale=1.0, nodata=-9000):
     """A raster's value times its scale; NaN and no-data (at most -9000 before scaling) are null."""
-    return F.when(~F.isnan(value) & (value > nodata), value * scale)
+    return F.when(nan_to_null(value) > nodata, value * scale)

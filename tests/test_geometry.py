@@ -110,3 +110,12 @@ def test_search_finds_the_known_run(spark):
 def test_candidates_stay_in_their_ranges(spark):
     rows = spread.candidates(spark, 50).collect()
     assert all(lo <= r[name] <= hi for r in rows for name, (lo, hi) in spread.RANGES.items()) and len({r.p0 for r in rows}) == 50
+
+
+def test_scenario_follows_the_wind(spark):
+    own = lattice(spark, 9).withColumns({"x": F.col("col") * 1.0, "y": F.col("row") * 1.0})
+    winds = own.select(F.lit(0).alias("hour"), "cell", F.lit(9.0).alias("u"), F.lit(0.0).alias("v"))
+    found, summary = spread.scenario(own, (1.2, 3.9), winds, {"p0": 1e-6, "k_wind": 3.0, "k_slope": 0.0}, 3, runs=4, burn=1)
+    assert {r.cell for r in found.collect()} >= {37, 38, 39, 40} and all(r.cell % 9 >= 1 for r in found.collect())
+    r = summary.first()
+    assert r.reach >= 3 and r.acres == int(r.likely_cells * 247.105)
