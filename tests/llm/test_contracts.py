@@ -88,3 +88,21 @@ def test_checksums_and_hashes(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[0] == k for x in want) for k in pii.KINDS)
         assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
+
+
+def test_recall_on_the_test_vectors(spark):
+    from cindergrid.llm import registry
+    d = "/root/testdata/sf0.01"
+    rows = registry.read(spark, d, "embeddings").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in registry.op1_learned_partitions(spark, d).collect():
+        got.setdefault(r.query_id, []).append(r)
+    hit = 0
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        own = sorted(got[q], key=lambda r: r["rank"])
+        assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own) and len(own) == 20
+        hit += len({r.vec_id for r in own} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit >= .9 * 20 * len(got)
