@@ -371,9 +371,9 @@ FEATURES = ["quantity", "discount", "tax"]
 def gbt_score(s, d):
     """Out-of-fold metrics of boosted trees, one year held out at a time, and of the logistic baseline."""
     rows = risk_rows(s, d)
-    rows = rows.join(model.group_folds(rows, "year", 3), "year")
+    rows = model.written(rows.join(model.group_folds(rows, "year", 3), "year"))
     out = []
-    for name, est in (("boosted", model.boosted(FEATURES, "label", trees=10, least=5)), ("logistic", model.logistic(FEATURES, "label"))):
+    for name, est in (("boosted", model.boosted(FEATURES, "label", trees=5, least=5)), ("logistic", model.logistic(FEATURES, "label"))):
         found = model.written(model.out_of_fold(rows, est, FEATURES, "label"))
         out.append(metrics.average_precision(found, "label", "score").withColumn("model", F.lit(name)).crossJoin(metrics.roc_auc(found, "label", "score")).crossJoin(metrics.brier(found, "label", "score")))
     return out[0].unionByName(out[1])
@@ -381,9 +381,9 @@ def gbt_score(s, d):
 
 @rows_only
 def permutation_importance(s, d):
-    rows = risk_rows(s, d)
+    rows = model.written(risk_rows(s, d))
     fitted = model.logistic(FEATURES, "label").fit(model.prepared(rows, FEATURES))
-    return model.permutation_importance(fitted, model.written(rows), FEATURES, "label", "id", repeats=2)
+    return model.permutation_importance(fitted, rows, FEATURES, "label", "id", repeats=2)
 
 
 @rows_only
