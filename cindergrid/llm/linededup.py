@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.llm.textkit import bounded, marked, written
 
-BUCKETS, WIDE, LEADERS = 1 << 16, 96, 8
+BUCKETS, WIDE, PARTS, LEADERS = 1 << 16, 96, 8, 8
 LEAST = -(1 << 63)
 #: White space within a line.
 SPACE = " \t\r\x0b\f"
@@ -79,6 +79,11 @@ def signature():
     return parity("keys").alias("sig"), F.when(F.col("n") > WIDE, parity(F.filter("keys", lambda k: k.bitwiseAND(number(64)) > 0))).alias("hi")
 
 
+def fine_signature():
+    """The parity of the keys in each of PARTS classes by hash: closer than signature(), for the few lines that are asked for."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: parity(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(number(PARTS - 1)) == j)))
+
+
 def represented(all_lines, rank):
     """One row for each class of lines of equal sets: id, first line, size n, signature (sig; for long lines also that of half of the words, hi) and prefix."""
     out = all_lines.select("doc", "h", "no", word_keys(F.col("line"), rank).alias("keys"))
@@ -107,6 +112,7 @@ NX, NY, PX, PY = "(x.p div 2097152)", "(y.p div 2097152)", "((x.p % 2097152) div
 PLACES = f"(({NX} < {NY} and y.p % 2 = 1) or ({NX} > {NY} and x.p % 2 = 1) or ({NX} = {NY} and x.p % 2 = 1 and y.p % 2 = 1)) and 9 * {PX} <= 5 * {NX} - 4 * {NY} and 9 * {PY} <= 5 * {NY} - 4 * {NX}"
 #: The words that they differ in are at least as many as their signatures' bits.
 BITS = f"9 * if(x.hi is null or y.hi is null, bit_count(x.sig ^ y.sig), bit_count(x.hi ^ y.hi) + bit_count(x.hi ^ x.sig ^ y.hi ^ y.sig)) <= {NX} + {NY}"
+FINE = f"9 * aggregate(zip_with(x.fine, y.fine, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) <= {NX} + {NY}"
 MEET = f"x.key = y.key and {PLACES} and {BITS}"
 SIMILAR = "9 * size(array_intersect(x.keys, y.keys)) >= 4 * (size(x.keys) + size(y.keys))"
 
@@ -129,7 +135,7 @@ def asked_lines(asked, all_lines, rank):
     """
     own = all_lines.filter(marked(asked, "doc", "h", "no")).join(asked, ["doc", "h", "no"]).dropDuplicates(["id"])
     own = own.select("id", F.struct("doc", "h", "no").alias("at"), word_keys(F.col("line"), rank).alias("keys")).withColumn("n", F.size("keys"))
-    return written(own.select("*", *signature()))
+    return written(own.select("*", *signature(), fine_signature().alias("fine")))
 
 
 def led(own):
@@ -147,11 +153,11 @@ def matched(own):
     done = led(own)
 
     def rows(of=None, *more):
-        return spread(own if of is None else own.join(of, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", *more)
+        return spread(own if of is None else own.join(of, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "fine", *more)
     still = written(own.select("id").join(done, "id", "left_anti"))
-    late = written(partnered(rows(still), rows(), "y.at < x.at"))
-    early = written(partnered(rows(), rows(late), "x.at < y.at"))
-    return done.union(written(partnered(rows(late, "keys"), rows(early, "keys"), f"y.at < x.at and {SIMILAR}")))
+    late = written(partnered(rows(still), rows(), f"y.at < x.at and {FINE}"))
+    early = written(partnered(rows(), rows(late), f"x.at < y.at and {FINE}"))
+    return done.union(written(partnered(rows(late, "keys"), rows(early, "keys"), f"y.at < x.at and {FINE} and {SIMILAR}")))
 
 
 def dedup_lines(docs, counts=False):
