@@ -154,9 +154,10 @@ def matched(own):
 
     def rows(of=None, *more):
         return spread(own if of is None else own.join(of, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "fine", *more)
-    still = written(own.select("id").join(done, "id", "left_anti"))
-    late = written(partnered(rows(still), rows(), f"y.at < x.at and {FINE}"))
-    early = written(partnered(rows(), rows(late), f"x.at < y.at and {FINE}"))
+    still = own.join(done.withColumn("off", F.lit(True)), "id", "left").withColumn("open", F.col("off").isNull())
+    both = spread(still, F.expr(PREFIX), "id", "at", "sig", "hi", "fine", "open")
+    late = written(partnered(both, both, f"x.open and y.at < x.at and {FINE}"))
+    early = written(partnered(rows().filter(marked(rows(late), "key")), rows(late), f"x.at < y.at and {FINE}"))
     return done.union(written(partnered(rows(late, "keys"), rows(early, "keys"), f"y.at < x.at and {FINE} and {SIMILAR}")))
 
 
