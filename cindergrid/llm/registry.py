@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import ann, chat, decontam, langid, linededup, lm, minhash, packing, pii, quality
+from cindergrid.llm import ann, bpe, chat, decontam, langid, linededup, lm, minhash, packing, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,3 +97,10 @@ def op7_prefix_line_dedup(spark, sf_dir):
 @op
 def op9_hashed_maxent_scores(spark, sf_dir):
     return lm.score(read(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
+@op
+def op13_sentencepiece_byte_bpe(spark, sf_dir):
+    spec = bpe.codec_spec()
+    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), spec), spec)
+    return decoded.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
