@@ -11,15 +11,18 @@ The model (a few MB for 50,000 tokens) goes to each task with the code, so execu
 """
 
 import base64
+import re
+import unicodedata
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
-from cindergrid.llm.packing import Kept
+from cindergrid.llm.packing import OTHER, SPACE
 
-BASE, BLOCK = 0x100, 1 << 22
+#: Matches of at most SHORT characters are kept, with their ids, until there are more than KEPT.
+BASE, BLOCK, KEPT, SHORT = 0x100, 1 << 22, 1 << 17, 64
 SIGNS = {b: chr(BASE + b) for b in range(256)}
 
 
@@ -55,7 +58,7 @@ def model_of(ranks):
 
 
 @cache
-def odd_characters(kind):
+def differing(kind):
     """Ranges, as in a set of a pattern, of the characters that this pattern library has in a class and the rank files' library has not, and the reverse.
 
     The two libraries carry tables of different years, so newly assigned letters and digits are cut differently.
@@ -73,20 +76,27 @@ def odd_characters(kind):
     return ranges(ours - theirs), ranges(theirs - ours)
 
 
-def patterns(pattern):
-    """The pattern; the same with both classes as the rank files' library has them; one that finds characters for which they differ (or None)."""
-    exact, odd = pattern, ""
+def exactly(pattern):
+    """The pattern with both classes as the rank files' library has them."""
     for kind in (r"\p{L}", r"\p{N}"):
-        less, more = odd_characters(kind)
-        odd += less + more
-        exact = exact.replace(kind, f"[{kind}{f'--[{less}]' if less else ''}{f'||[{more}]' if more else ''}]")
-    return pattern, f"(?V1){exact}", f"[{odd}]" if odd else None
+        less, more = differing(kind)
+        pattern = pattern.replace(kind, f"[{kind}{f'--[{less}]' if less else ''}{f'||[{more}]' if more else ''}]")
+    return f"(?V1){pattern}"
+
+
+def narrowed(pattern):
+    """The pattern with its classes written out for texts in which OTHER finds nothing; the standard library is faster at that."""
+    def of(kind):
+        return "".join(re.escape(c) for c in map(chr, range(0x530)) if unicodedata.category(c)[0] == kind)
+    classes = {r"\p{L}": of("L"), r"\p{N}": of("N"), r"\s": SPACE}
+    inside = lambda m: re.sub(r"\\p\{[LN]\}|\\s", lambda k: classes[k[0]], m)
+    return re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\s|\\S", lambda m: inside(m[0]) if m[0][0] == "[" else f"[^{SPACE}]" if m[0] == r"\S" else f"[{classes[m[0]]}]", pattern)
 
 
 class Codec:
-    """Encodes and decodes by a serialised model; one for each task."""
+    """Encodes and decodes by a serialised model; one for each task's worker."""
 
-    def __init__(self, model, plain, exact, odd):
+    def __init__(self, model, exact, narrow):
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -96,18 +106,37 @@ class Codec:
         tokens = [self.pieces.id_to_piece(i).translate(back).encode("latin-1") for i in range(n)]
         self.bytes_of = dict(zip(self.ids.tolist(), tokens))
         self.whole = {t: self.ids[i].tobytes() for i, t in enumerate(tokens)}
-        self.kept = Kept(self.match)
-        self.plain, self.exact, self.odd = regex.compile(plain), regex.compile(exact), odd and regex.compile(odd)
-
-    def match(self, text):
-        """Ids of one match of the pattern, as bytes."""
-        token = text.encode()
-        return self.whole.get(token) or self.ids[self.pieces.encode(signs(token))].tobytes()
+        self.exact, self.narrow, self.kept = regex.compile(exact), re.compile(narrow), {}
+
+    def learn(self, matches):
+        """Keeps the ids of matches, found in one call; a match that is a token needs no merges. No byte of UTF-8 is 255, so it can part them."""
+        matches = [(m, m.encode()) for m in matches]
+        self.kept.update((m, self.whole[b]) for m, b in matches if b in self.whole)
+        matches = [(m, b) for m, b in matches if b not in self.whole]
+        if not matches:
+            return
+        # A sign that no piece holds keeps the matches apart; it comes out as the unknown piece.
+        joined = np.append(np.frombuffer(b"\xff".join(b for _, b in matches), "u1").astype("<u2"), np.uint16(255))
+        text = np.where(joined == 255, BASE + 256, joined + BASE).astype("<u2").tobytes().decode("utf-16-le")
+        found = np.array(self.pieces.encode(text))
+        cut, data, at = np.flatnonzero(found == len(self.ids)), self.ids[found % len(self.ids)].tobytes(), 0
+        for (m, _), end in zip(matches, cut.tolist()):
+            self.kept[m] = data[4 * at:4 * end]
+            at = end + 1
 
     def encode(self, text):
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        cut = self.exact if self.odd and not text.isascii() and self.odd.search(text) else self.plain
-        return b"".join(map(self.kept.__getitem__, cut.findall(text)))
+        matches = (self.exact if OTHER.search(text) else self.narrow).findall(text)
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = set(matches).difference(self.kept)
+        if new:
+            self.learn(new)
+        out = b"".join(map(self.kept.__getitem__, matches))
+        for m in new:
+            if len(m) > SHORT:
+                del self.kept[m]
+        return out
 
     def decode(self, ids):
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -139,7 +168,7 @@ def codec_spec(path=None, pattern=None):
     if pattern is None:
         import public_tokenizers
         pattern = public_tokenizers.PATTERN
-    return model_of(read_ranks(path or default_vocabulary())), *patterns(pattern)
+    return model_of(read_ranks(path or default_vocabulary())), exactly(pattern), narrowed(pattern)
 
 
 def encode(docs, spec):

@@ -41,7 +41,7 @@ def test_ids_are_the_librarys(path):
 def test_tokens_that_no_merge_reaches():
     """A match that is a token as a whole is that token."""
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"cd": 300}
-    codec, other = bpe.codec(bpe.model_of(ranks), *bpe.patterns(public_tokenizers.PATTERN)), tiktoken.Encoding("o", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, other = bpe.codec(bpe.model_of(ranks), bpe.exactly(public_tokenizers.PATTERN), bpe.narrowed(public_tokenizers.PATTERN)), tiktoken.Encoding("o", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for t in ("abc", "abcd", "cd", "xcd abc"):
         assert np.frombuffer(codec.encode(t), "<u4").tolist() == other.encode_ordinary(t)
 
