@@ -1,10 +1,11 @@
 """Queries that apply the operators, with production parameters, to whole tables."""
 
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import ann, bpe, chat, decontam, langid, linededup, lm, minhash, packing, pii, quality
+from cindergrid.llm import ann, bpe, chat, decontam, langid, linededup, lm, minhash, packing, periodic, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -104,3 +105,21 @@ def op13_sentencepiece_byte_bpe(spark, sf_dir):
     spec = bpe.codec_spec()
     decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), spec), spec)
     return decoded.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@op
+def op11_repeated_gram_runs(spark, sf_dir):
+    def words(doc_id, text):
+        """The words, of which those of one document in ten are made periodic from a place on."""
+        own, h = periodic.words_of(doc_id, text), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        if h % 10 or not own:
+            return own
+        n, g = len(own), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return own[:a] + [own[a + (i - a) % p] for i in range(a, n)]
+    found = periodic.find_runs(read(spark, sf_dir, "documents"), words)
+    best = "aggregate(runs, cast(null as struct<start:long,length:long,period:long>), (b, r) -> case when b is null or r.length * b.period > b.length * r.period then r else b end)"
+    found = found.select("*", F.size("runs").cast("long").alias("n_runs"), F.expr(best).alias("best"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
