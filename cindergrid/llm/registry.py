@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from cindergrid.llm import ann, bpe, chat, decontam, langid, linededup, lm, minhash, packing, periodic, pii, quality
+from cindergrid.llm import ann, bpe, chat, decontam, langid, linededup, lm, minhash, negatives, packing, periodic, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -123,3 +123,9 @@ def op11_repeated_gram_runs(spark, sf_dir):
     found = found.select("*", F.size("runs").cast("long").alias("n_runs"), F.expr(best).alias("best"))
     lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
     return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+@op
+def op12_dual_tree_negatives(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end").alias("label"))
+    return negatives.mine(rows, F.expr("vec_id % 100 = 0"))
