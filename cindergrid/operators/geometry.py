@@ -47,19 +47,6 @@ def valid(ring):
     return F.coalesce((F.size(F.array_distinct(ring)) >= 3) & finite & (area(ring) > 0), F.lit(False))
 
 
-def clipped(df, ring, box):
-    """df with its ring cut to a box: one side after the other, each edge giving its crossing and its inner end. box: the columns x0, y0, x1, y1."""
-    for axis, bound, sign in (("x", box[0], 1), ("y", box[1], 1), ("x", box[2], -1), ("y", box[3], -1)):
-        def part(e):
-            a, b = e["a"], e["b"]
-            da, db = (sign * (v[axis] - F.col(bound)) for v in (a, b))
-            t = F.try_divide(da, da - db)
-            cut = F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
-            return F.concat(F.when((da >= 0) != (db >= 0), F.array(cut)).otherwise(F.slice(F.array(cut), 1, 0)), F.when(db >= 0, F.array(F.struct(b["x"].alias("x"), b["y"].alias("y")))).otherwise(F.slice(F.array(cut), 1, 0)))
-        df = df.withColumn(ring, F.flatten(F.transform(edges(F.col(ring)), part)))
-    return df
-
-
 def lattice(spark, bounds, size):
     """cell squares that cover bounds snapped outward: row, col, x0, y0, x1, y1, x, y (the centre). Made in parallel, a row of cells at a time."""
     c0, r0 = int(bounds[0] // size), int(bounds[1] // size)
@@ -69,17 +56,6 @@ def lattice(spark, bounds, size):
     return out.select("row", "col", *[v.cast("double").alias(n) for v, n in ((x, "x0"), (y, "y0"), (x + size, "x1"), (y + size, "y1"), (x + size / 2, "x"), (y + size / 2, "y"))])
 
 
-def covered(cells, polygons, ring, least=0.0):
-    """Each cell and polygon that overlap, with area and share of the cell; shares of at most least are left out.
-
-    Polygons are put to the cells of their bounds first, so that no other pairs are formed; polygons are few beside cells and are broadcast only if Spark finds them small.
-    """
-    ends = {n: f(F.transform(ring, lambda v: v[c])) for n, f, c in (("px0", F.array_min, "x"), ("py0", F.array_min, "y"), ("px1", F.array_max, "x"), ("py1", F.array_max, "y"))}
-    both = cells.join(polygons.withColumns(ends), F.expr("x1 > px0 and x0 < px1 and y1 > py0 and y0 < py1"))
-    both = clipped(both, ring, ("x0", "y0", "x1", "y1")).withColumn("area", area(F.col(ring)))
-    return both.withColumn("share", F.col("area") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).filter(F.col("share") > least).drop("px0", "py0", "px1", "py1", ring)
-
-
 def neighbours(cells, *values, reach=MOORE):
     """src_row, src_col, row, col, dr, dc, dir and the values of both ends (src_ and dst_) of every cell and its neighbours; there are none over the edge."""
     step = F.explode(F.array(*[F.struct(F.lit(k).alias("dir"), F.lit(i).alias("dr"), F.lit(j).alias("dc")) for k, (i, j) in enumerate(reach, 1)])).alias("s")

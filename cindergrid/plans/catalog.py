@@ -176,4 +176,4 @@ def stream_dedupe(s, d):
     return publish(rows, "ts", ["lat"], ["event_id"]).select("event_id", "lat", F.col("hour").cast("timestamp_ntz").alias("hr"))
 
 
-from cindergrid.plans import slices  # noqa: E402, F401  (registers the other queries)
+from cindergrid.plans import shapes, slices  # noqa: E402, F401  (registers the other queries)

@@ -156,13 +156,6 @@ def grid_build(s, d):
 TRIANGLE = ((2.0, 1.0), (44.0, 9.0), (11.0, 38.0))
 
 
-@query("WITH g AS (SELECT r.range AS row, c.range AS col FROM range(10) r CROSS JOIN range(10) c) SELECT row, col, round(greatest(0,least(col*5+5,30.25)-greatest(col*5,4.5))*greatest(0,least(row*5+5,40.75)-greatest(row*5,7.25))/25,6) AS share FROM g"
-       " WHERE least(col*5+5,30.25) > greatest(col*5,4.5) AND least(row*5+5,40.75) > greatest(row*5,7.25) AND (least(col*5+5,30.25)-greatest(col*5,4.5))*(least(row*5+5,40.75)-greatest(row*5,7.25))/25 > 0.01")
-def polygon_area_clip(s, d):
-    box = rings(s, [(4.5, 7.25), (30.25, 7.25), (30.25, 40.75), (4.5, 40.75)])
-    return rounded(geometry.covered(geometry.lattice(s, (0, 0, 50, 50), 5), box, "ring", .01).select("row", "col", "share"))
-
-
 @query("WITH t AS (SELECT p_partkey, x, y FROM (%s) q), e(x1,y1,x2,y2) AS (VALUES %s) SELECT p_partkey, count(*) %% 2 = 1 AS inside FROM t JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2-x1)*(y-y1)/(y2-y1)+x1 GROUP BY p_partkey HAVING count(*) %% 2 = 1"
        % (PLACES, ", ".join(f"({a[0]},{a[1]},{b[0]},{b[1]})" for a, b in zip(TRIANGLE, TRIANGLE[1:] + TRIANGLE[:1]))))
 def points_in_ring(s, d):

@@ -22,16 +22,6 @@ def test_areas_and_validity(spark):
     assert got[:4] == [(100, True), (100, True), (0, False), (0, False)] and not got[4][1] and not got[5][1]
 
 
-def test_clip_of_a_triangle_adds_up(spark):
-    triangle = [(2.0, 1.0), (44.0, 9.0), (11.0, 38.0)]
-    whole = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(triangle, triangle[1:] + triangle[:1]))) / 2
-    cells = geometry.lattice(spark, (0, 0, 50, 50), 7)
-    got = geometry.covered(cells, ring(spark, triangle), "ring").collect()
-    assert sum(r.area for r in got) == pytest.approx(whole) and all(0 < r.share <= 1 + 1e-12 for r in got)
-    inside = [r for r in got if (r.row, r.col) == (1, 1)]
-    assert inside[0].share == pytest.approx(1)
-
-
 def test_concave_and_outside(spark):
     hook = [(0., 0.), (10., 0.), (10., 10.), (5., 2.), (0., 10.)]
     pts = spark.createDataFrame([(5., 1.), (5., 5.), (1., 6.), (20., 5.)], "x double, y double").join(ring(spark, hook), F.lit(True))
