@@ -12,16 +12,16 @@ def by_score(scored, label, score):
 
 
 def average_precision(scored, label, score):
-    """One row, ap: the sum over distinct thresholds, from the highest, of recall gained times precision."""
+    """One row, ap: the sum over distinct thresholds, from the highest, of recall gained times precision; null without positives."""
     rows = running(by_score(scored, label, score), [F.desc("score")], "pos", "neg")
     hits = F.col("pos_before") + F.col("pos")
-    return rows.agg((F.sum(F.col("pos") * hits / (hits + F.col("neg_before") + F.col("neg"))) / F.sum("pos")).alias("ap"))
+    return rows.agg(F.try_divide(F.sum(F.try_divide(F.col("pos") * hits, hits + F.col("neg_before") + F.col("neg"))), F.sum("pos")).alias("ap"))
 
 
 def roc_auc(scored, label, score):
-    """One row, auc: the share of pairs of a positive and a negative that are in order, equals by half."""
+    """One row, auc: the share of pairs of a positive and a negative that are in order, equals by half; null without positives or without negatives."""
     rows = running(by_score(scored, label, score), ["score"], "neg")
-    return rows.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return rows.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def brier(scored, label, score):

@@ -43,7 +43,7 @@ def edges(cells, size, receptive="source"):
 def hour_of_step(steps, hours):
     """step and the hour nearest to it (the earlier of equals) of the wind's hours, which are few. steps: how many; hours: column hour."""
     at = hours.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("step")).crossJoin(F.broadcast(hours.select("hour").distinct()))
-    return at.groupBy("step").agg(F.min(F.struct(F.abs(F.col("hour") - (F.col("step") - 1)), "hour"))["hour"].alias("hour"))
+    return at.groupBy("step").agg(F.min(F.struct(F.abs(F.col("hour") - F.col("step")), "hour"))["hour"].alias("hour"))
 
 
 def step(parts, edges, t, burn, seed, wind=None):

@@ -212,9 +212,10 @@ def spread_domain(s, d):
     return spread.domain(own.select("cell", "row", "col"), own.filter("elev > 9000"), 2).select("cell", "r", "c")
 
 
-@query("SELECT CAST(t.range AS INT) AS step, (SELECT min({'d': abs(h - (t.range - 1)), 'h': h}).h FROM (VALUES (0),(3),(6),(9)) AS w(h)) AS hour FROM range(1, 15) t")
+@query("WITH w AS (SELECT DISTINCT l_partkey * 7 % 110 AS h FROM lineitem WHERE l_linenumber = 7) SELECT CAST(t.range AS INT) AS step, min({'d': abs(h - t.range), 'h': h}).h AS hour FROM range(1, 105) t CROSS JOIN w GROUP BY t.range")
 def wind_hours(s, d):
-    return spread.hour_of_step(14, s.createDataFrame([(0,), (3,), (6,), (9,)], "hour int"))
+    hours = table(s, d, "lineitem").filter("l_linenumber = 7").select((F.col("l_partkey") * 7 % 110).alias("hour"))
+    return spread.hour_of_step(104, hours)
 
 
 @query(f"WITH g AS ({CELLS}), f AS (SELECT cell, row, col, (cell%100)/100.0 AS prob FROM g WHERE cell%3=0), o AS (SELECT row, col FROM g WHERE cell=50) SELECT count(*) FILTER (prob>=0.5) AS likely_cells, CAST(floor(count(*) FILTER (prob>=0.5)*247.105) AS BIGINT) AS acres, count(*) FILTER (prob>0) AS any_cells, round(max(CASE WHEN prob>=0.5 THEN sqrt((f.row-o.row)**2+(f.col-o.col)**2) END),6) AS reach FROM f, o")
@@ -340,14 +341,14 @@ def sampling_meta(s, d):
     return rounded(model.prevalence(cases, 150, 30, 20))
 
 
-@query("WITH b AS (SELECT floor(c_acctbal/1000) AS g, count(*) AS n FROM customer GROUP BY 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, CAST(5 AS BIGINT) AS folds, true AS whole FROM b")
+@query("""WITH RECURSIVE o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM (SELECT floor(c_acctbal / 250) AS g, count(*) AS n FROM customer GROUP BY 1) c),
+ f AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS BIGINT) AS n, 0 AS fold UNION ALL
+  SELECT o.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + o.n ELSE x END), o.g, o.n, list_position(load, list_min(load)) - 1 FROM f JOIN o ON o.i = f.i + 1)
+ SELECT CAST(g AS BIGINT) AS g, n, CAST(fold AS INT) AS fold FROM f WHERE i > 0""")
 def group_folds(s, d):
-    """Every group is whole in one fold; sizes differ by one group at most."""
-    rows = table(s, d, "customer").select(F.floor(F.col("c_acctbal") / 1000).alias("g"))
-    folds = model.group_folds(rows, "g")
-    n = rows.join(folds, "g").groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("g").alias("k"))
-    most = rows.groupBy("g").count().agg(F.max("count")).first()[0]
-    return n.agg(F.sum("k").alias("groups"), F.sum("n").alias("n"), F.count("*").alias("folds"), (F.max("n") - F.min("n") <= most).alias("whole"))
+    """The fold of every group, and its rows."""
+    rows = table(s, d, "customer").select(F.floor(F.col("c_acctbal") / 250).alias("g"))
+    return rows.groupBy("g").agg(F.count("*").alias("n")).join(model.group_folds(rows, "g"), "g")
 
 
 def risk_rows(s, d):

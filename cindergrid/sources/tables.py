@@ -1,11 +1,13 @@
 """Sources; columns and filters are pruned by Catalyst at the scan."""
 
+import csv
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window as W, functions as F
 
 from cindergrid.functions.exprs import nan_to_null
+from cindergrid.streaming.feed import Rejected
 
 
 def table(spark, sf_dir, name):
@@ -41,16 +43,21 @@ def detections_csv(spark, path, schema, box=None, first_day=None, last_day=None)
 
 
 def csv_body(spark, body, schema):
-    """Rows of a CSV text as a service sends it: blank or without a comma is an empty table, one that begins with 'invalid' is an error."""
-    if body.lstrip().lower().startswith("invalid"):
-        raise ValueError(body.strip()[:200])
-    if "," not in body:
+    """Rows of a CSV text as a service sends it: blank or with no comma in its first line is an empty table, one that begins with 'invalid' is rejected.
+
+    Fields may be quoted, with commas inside. Columns are told by their names; those that the text lacks are null, as are values that don't fit.
+    """
+    body = body.strip()
+    if body.lower().startswith("invalid"):
+        raise Rejected(body.splitlines()[0][:200])
+    head, *lines = body.splitlines() or [""]
+    if "," not in head:
         return spark.createDataFrame([], schema)
-    head, *lines = body.strip().splitlines()
-    names = head.split(",")
-    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(F.split("line", ",", -1).alias("v"))
+    names = next(csv.reader([head]))
+    texts = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    rows = spark.createDataFrame([(x,) for x in lines if x.strip()], "line string").select(F.from_csv("line", F.lit(texts), {"escape": '"'}).alias("v"))
     kinds = {f.name: f.dataType for f in schema.fields}
-    return rows.select(*[F.get("v", names.index(n)).try_cast(t).alias(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in kinds.items()])
+    return rows.select(*[F.col(f"v.c{names.index(n)}").try_cast(t).alias(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in kinds.items()])
 
 
 def pages(spark, root, schema):
@@ -73,7 +80,7 @@ def first_of(spark, sources, schema):
             rows = read()
             rows.take(1)
             return rows, {"source": name, "ok": True, "tried": tried}
-        except (AnalysisException, ValueError, OSError) as e:
+        except (AnalysisException, ValueError, OSError, Rejected) as e:
             tried.append((name, str(e).splitlines()[0][:200]))
         except Exception as e:  # what a failed Spark job raises
             if "SparkException" not in type(e).__name__ and "Py4J" not in type(e).__name__:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cindergrid.functions import feed, times
 from cindergrid.functions.exprs import confidence_label
 from cindergrid.operators.windows import keep_latest
-from cindergrid.streaming.feed import exit_code, fetched, poll
+from cindergrid.streaming.feed import Rejected, exit_code, fetched, poll
 
 RAW = "latitude double, longitude double, acq_date string, acq_time string, confidence string, frp double"
 
@@ -79,14 +79,31 @@ def test_sources_stand_alone(spark):
         return raw(spark, (39.8, -121.4, "2024-07-25", "5", "n", 1.0))
 
     def closed():
-        raise ValueError("Invalid MAP_KEY")
+        raise Rejected("HTTP 403 of https://host/KEY-1/area", 403)
 
     def down():
         raise OSError("no route")
-    rows, status = poll(spark, {"flaky": flaky, "closed": closed, "down": down}, sleep=waits.append)
+    rows, status = poll(spark, {"flaky": flaky, "closed": closed, "down": down}, sleep=waits.append, secret="KEY-1")
     got = {r.source: (r.ok, r.rows, r.permanent) for r in status.collect()}
     assert got == {"flaky": (True, 1, False), "closed": (False, 0, True), "down": (False, 0, False)} and waits == [4.0, 8.0, 4.0, 8.0] and rows.count() == 1
     assert fetched(closed, sleep=waits.append)[0] is None and len(waits) == 4
+    assert not any("KEY-1" in (r.error or "") for r in status.collect()) and status.filter("error like '%***%'").count() == 1
+
+
+@pytest.mark.parametrize("error, tries, permanent", [(Rejected("HTTP 404", 404), 1, True), (Rejected("HTTP 503", 503), 3, False), (Rejected("invalid request"), 1, False), (OSError("message 401 of the feed"), 3, False), (OSError("\n"), 3, False)])
+def test_errors_are_told_by_status(error, tries, permanent):
+    asked = []
+
+    def read():
+        asked.append(1)
+        raise error
+    rows, status = fetched(read, sleep=lambda s: None, secret="")
+    assert rows is None and len(asked) == tries and status["permanent"] is permanent
+
+
+def test_some_source_came_beside_a_rejected_one(spark):
+    status = spark.createDataFrame([("a", True, 3, None, False), ("b", False, 0, "HTTP 403", True)], "source string, ok boolean, rows long, error string, permanent boolean")
+    assert exit_code(status, None) == 0 and exit_code(status.filter("not ok"), 1) == 1
 
 
 @pytest.mark.parametrize("ok, permanent, age, key, want", [(False, False, 100, True, 0), (False, False, 200, True, 1), (False, False, None, True, 1), (False, True, 10, True, 1), (True, False, None, True, 0), (True, False, 1, False, 2)])

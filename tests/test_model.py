@@ -38,6 +38,9 @@ def test_metrics_by_hand(spark):
     s = spark.createDataFrame([(1, .9), (0, .8), (1, .8), (0, .1), (1, None)], "y int, p double")
     assert metrics.average_precision(s, "y", "p").first().ap == pytest.approx(.5 * 1 + .5 * 2 / 3)
     assert metrics.roc_auc(s, "y", "p").first().auc == pytest.approx((2 + 1.5) / 4)
+    for one in (s.filter("y = 0"), s.filter("y = 1"), s.limit(0)):
+        assert metrics.roc_auc(one, "y", "p").first().auc is None
+        assert metrics.average_precision(one, "y", "p").first().ap == (1 if one.filter("y = 1").count() else None)
     e = metrics.confusion(spark.createDataFrame([], "t boolean, f boolean"), "t", "f").first()
     assert (e.iou, e.precision, e.recall, e.f1) == (0, 0, 0, 0)
     q = metrics.quantiles(spark.createDataFrame([("a", float(x)) for x in (1, 2, 4, 8)] + [("b", 5.0), ("b", None)], "g string, v double"), "g", "v", [.25, .5, 1])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindergrid.functions import feed
+from cindergrid.streaming.feed import Rejected
 from cindergrid.sources import sinks, tables
 
 
@@ -19,7 +20,9 @@ def test_bodies(spark):
     schema = spark.createDataFrame([], "a int, b string, c double").schema
     assert [tuple(r) for r in tables.csv_body(spark, "b,a\nx,1\ny,no\n", schema).collect()] == [(1, "x", None), (None, "y", None)]
     assert tables.csv_body(spark, "  \n", schema).count() == 0 and tables.csv_body(spark, "nothing here", schema).count() == 0
-    with pytest.raises(ValueError, match="Invalid"):
+    assert tables.csv_body(spark, "no table\n1,2\n", schema).count() == 0
+    assert [tuple(r) for r in tables.csv_body(spark, 'b,"a"\n"x, ""y""",1\n\n,2\n', schema).collect()] == [(1, 'x, "y"', None), (2, None, None)]
+    with pytest.raises(Rejected, match="Invalid"):
         tables.csv_body(spark, "Invalid key, sorry", schema)
 
 
