@@ -3,11 +3,12 @@
 Values are put to bins once. In each round every task sums gradients by node, feature and bin for the nodes that are asked for, Spark adds the tasks' sums, and
 the driver, which holds the trees alone, picks the splits: always the leaf of the greatest gain next, up to a number of leaves. To need few rounds, all nodes that
 this order would split by what is known are opened at once; what it doesn't take in the end is dropped, so the tree is that of one split at a time. Models of all folds grow in
-the same jobs. Sums are whole numbers (gradients times SCALE), so their order doesn't matter. Missing values have a bin of their own and go to the better side of each split.
+the same jobs. A table of at most ALONE rows isn't worth a job for each round: there each model is grown by one task, to the same trees, as
+sums are whole numbers (gradients times SCALE) and their order doesn't matter. Missing values have a bin of their own and go to the better side of each split.
 """
 
 import heapq
-from functools import reduce
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.operators.state import written
 
-SCALE, MISSING, KEEP = 1 << 26, 255, 20
+SCALE, MISSING, KEEP, ALONE = 1 << 26, 255, 20, 1 << 20
 
 
 def cuts_of(df, features, bins=MISSING):
@@ -144,7 +145,49 @@ class Growing:
         return Tree([c[1] for c in cut], [c[2] for c in cut], np.array([c[3] for c in cut], bool), [max(0, x) for x in self.left], value)
 
 
-def tasks_sums(rows, models, growing, recent):
+def gradients(raw, y):
+    p = 1 / (1 + np.exp(-raw))
+    return np.rint(SCALE * (p - y)), np.rint(SCALE * p * (1 - p)), np.ones(len(y))
+
+
+def loss_of(raw, y):
+    return int(np.rint(SCALE * np.logaddexp(0, np.where(y == 1, -raw, raw))).sum())
+
+
+def done_at(losses, patience):
+    return len(losses) - 1 - int(np.argmin(losses)) >= patience
+
+
+def grown_alone(bins, y, valid, start, trees, rate, leaves, least, l2, patience):
+    """The trees of one model whose rows are all here."""
+    raw, losses, made = np.full(len(y), start), [], []
+    train, wide = np.flatnonzero(~valid), np.arange(bins.shape[1]) * 256
+
+    def sums(rows, values):
+        code = (bins[rows] + wide).ravel()
+        return [np.bincount(code, np.repeat(v[rows], len(wide)), 256 * len(wide)).astype(np.int64).reshape(-1, 256) for v in values]
+    for turn in range(trees + 1):
+        losses.append(loss_of(raw[valid], y[valid]) / valid.sum() if valid.any() else -turn)
+        if turn == trees or done_at(losses, patience) or turn and (made[-1].feature < 0).all():
+            break
+        values, tree, rows = gradients(raw, y), Growing(leaves, l2, least), {0: train}
+        while tree.asked:
+            for node in tree.asked:
+                g, h, n = sums(rows[node], values)
+                tree.tell(node, g / SCALE, h / SCALE, n)
+            before = len(tree.left)
+            tree.open()
+            for k in [k for k, x in enumerate(tree.left) if x >= before]:
+                _, f, cut, missing_left = tree.split[k]
+                b = bins[rows[k], f]
+                left = np.where(b == MISSING, missing_left, b <= cut)
+                rows[tree.left[k]], rows[tree.left[k] + 1] = rows[k][left], rows.pop(k)[~left]
+        made.append(tree.tree(rate))
+        raw += made[-1].add(bins)
+    return made[:int(np.argmin(losses))]
+
+
+def task_sums(rows, models, growing, recent):
     """model, node, feature, bin and sums of g, h, n over the rows of each task, and (as node -1) the loss of the validation rows."""
     asked = {m: t.asked for m, t in growing.items()}
     trees = {m: t.tree() for m, t in growing.items()}
@@ -152,111 +195,129 @@ def tasks_sums(rows, models, growing, recent):
     def run(batches):
         sums, loss = {}, {m: [0, 0] for m in asked}
         for batch in batches:
-            fold, valid, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(y), -1)
-            raws = batch.column(4).flatten().to_numpy().reshape(len(y), len(models))
+            fold, valid, y, bins, raws = arrays(batch, models)
             for m, nodes in asked.items():
-                raw = raws[:, m] + sum((t.add(bins) for t in recent[m]), np.zeros(len(y)))
-                other = fold != m
+                raw, other = raws[:, m] + sum((t.add(bins) for t in recent[m]), np.zeros(len(y))), fold != m
                 if nodes == [0]:
                     at = other & valid
-                    loss[m][0] += int(np.rint(SCALE * np.logaddexp(0, np.where(y[at] == 1, -raw[at], raw[at]))).sum())
+                    loss[m][0] += loss_of(raw[at], y[at])
                     loss[m][1] += int(at.sum())
                 at = np.flatnonzero(other & ~valid)
                 where = trees[m].place(bins[at])
                 slot = np.full(len(trees[m].feature), -1)
                 slot[nodes] = np.arange(len(nodes))
                 at, where = at[slot[where] >= 0], slot[where[slot[where] >= 0]]
-                p = 1 / (1 + np.exp(-raw[at]))
                 code = ((where[:, None] * bins.shape[1] + np.arange(bins.shape[1])) * 256 + bins[at]).ravel()
-                for k, v in enumerate((np.rint(SCALE * (p - y[at])), np.rint(SCALE * p * (1 - p)), np.ones(len(at)))):
-                    new = np.bincount(code, np.repeat(v, bins.shape[1]), len(nodes) * bins.shape[1] * 256).astype(np.int64)
-                    sums[m, k] = sums.get((m, k), 0) + new
+                for k, v in enumerate(gradients(raw[at], y[at])):
+                    sums[m, k] = sums.get((m, k), 0) + np.bincount(code, np.repeat(v, bins.shape[1]), len(nodes) * bins.shape[1] * 256).astype(np.int64)
         out = [([m], [-1], [0], [0], [a], [b], [0]) for m, (a, b) in loss.items()]
         for m in {m for m, _ in sums}:
             some = np.flatnonzero(sums[m, 2])
             wide = len(sums[m, 2]) // (256 * len(asked[m]))
             out.append((np.full(len(some), m), np.array(asked[m])[some // (256 * wide)], some // 256 % wide, some % 256, *[sums[m, k][some] for k in range(3)]))
-        if out:
-            yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["model", "node", "feature", "bin", "g", "h", "n"])
+        yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["model", "node", "feature", "bin", "g", "h", "n"])
     return rows.mapInArrow(run, "model long, node long, feature long, bin long, g long, h long, n long")
 
 
-def boost(df, features, label, fold, trees=400, rate=.06, leaves=31, least=40, l2=1.0, share=.15, patience=30, seed=42, key=None):
-    """A model for each value k of fold (whole numbers from 0), trained on the rows of other folds; with fold None one model of all rows.
+KIND = "f int, v boolean, y int, bins binary, raw array<double>"
 
-    A share of the training rows, drawn by a hash of key (of all features if None), is left out to stop: a model ends when their loss hasn't fallen for so many trees, and keeps the trees
-    up to the least. Rows with a null label are not used. Training rows with one label give a model without trees.
-    """
-    df = df.filter(F.col(label).isNotNull())
-    group = F.lit(-1) if fold is None else F.col(fold).cast("int")
-    cuts = cuts_of(df, features)
-    counts = {r.f: (r.n, r.p) for r in df.groupBy(group.alias("f")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).collect()}
-    models = sorted(k for k in counts if k is not None) if fold is not None else [0]
-    start = []
-    for m in models:
-        n, p = (sum(v[i] for k, v in counts.items() if fold is None or k != m) for i in (0, 1))
-        start.append(float(np.log(p / (n - p))) if 0 < p < n else float("inf") if n and p == n else float("-inf"))
-    own = {k: i for i, k in enumerate(models)}
-    draw = F.pmod(F.xxhash64(F.lit(seed), *([key] if key else features)), F.lit(10_000)) < int(10_000 * share)
-    base = df.select(group.alias("f"), draw.alias("v"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
-    first = [x if np.isfinite(x) else 0.0 for x in start]
 
-    def put(batches):
+def arrays(batch, models):
+    """fold, validation flag, label, bins and scores so far of a batch of KIND."""
+    fold, valid, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+    bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(y), -1)
+    return fold, valid, y, bins, batch.column(4).flatten().to_numpy().reshape(len(y), models)
+
+
+def with_trees(rows, recent):
+    """rows with the recent trees in their scores."""
+    def run(batches):
         for batch in batches:
-            bins = binned(numbers(batch, [f"x{i}" for i in range(len(features))]), cuts)
-            f = np.array([own.get(x, -1) for x in batch.column(0).to_pylist()], np.int32)
-            yield pa.record_batch([pa.array(f), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([first] * len(f), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "raw"])
-    kind = "f int, v boolean, y int, bins binary, raw array<double>"
-    rows = written(base.mapInArrow(put, kind)).persist()
-    done, recent = {i: [] for i in range(len(models))}, {i: [] for i in range(len(models))}
-    losses = {i: [] for i in range(len(models)) if np.isfinite(start[i])}
-    live = set(losses)
+            *_, bins, raw = arrays(batch, len(recent))
+            raw = np.column_stack([raw[:, m] + sum((t.add(bins) for t in trees), np.zeros(len(raw))) for m, trees in recent.items()])
+            yield pa.record_batch([*batch.columns[:4], pa.array(list(raw), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "raw"])
+    return rows.mapInArrow(run, KIND)
+
+
+def grown_apart(rows, start, trees, rate, leaves, least, l2, patience):
+    """The trees of each model of start (by its number), by jobs over all rows."""
+    count = 1 + max(start)
+    rows = rows.persist()
+    done, recent, losses, live = {m: [] for m in range(count)}, {m: [] for m in range(count)}, {m: [] for m in start}, set(start)
     for turn in range(trees + 1):
         growing = {m: Growing(leaves, l2, least) for m in live}
         while any(t.asked for t in growing.values()):
-            found = tasks_sums(rows, models, {m: t for m, t in growing.items() if t.asked}, recent).groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+            sums = task_sums(rows, count, {m: t for m, t in growing.items() if t.asked}, recent)
+            found = sums.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
             cols = [found.column(i).to_numpy() for i in range(7)]
             for m, t in list(growing.items()):
                 if t.asked == [0]:
                     at = (cols[0] == m) & (cols[1] == -1)
                     # Without validation rows each tree counts as better than the one before.
                     losses[m].append(cols[4][at].sum() / cols[5][at].sum() if cols[5][at].sum() else -turn)
-                    if len(losses[m]) - 1 - int(np.argmin(losses[m])) >= patience:
+                    if done_at(losses[m], patience) or turn and (done[m][-1].feature < 0).all():
                         live.discard(m)
                         del growing[m]
                         continue
+                wide = int(cols[2].max()) + 1
                 for node in t.asked:
                     at = (cols[0] == m) & (cols[1] == node)
-                    sums = np.zeros((3, len(features), 256), np.int64)
+                    own = np.zeros((3, wide, 256), np.int64)
                     for k in range(3):
-                        sums[k][cols[2][at], cols[3][at]] = cols[4 + k][at]
-                    t.tell(node, sums[0] / SCALE, sums[1] / SCALE, sums[2])
+                        own[k][cols[2][at], cols[3][at]] = cols[4 + k][at]
+                    t.tell(node, own[0] / SCALE, own[1] / SCALE, own[2])
                 t.open()
         if turn == trees or not live:
             break
         for m, t in growing.items():
-            made = t.tree(rate)
-            done[m].append(made)
-            recent[m].append(made)
-            if (made.feature < 0).all():
-                live.discard(m)
+            done[m].append(t.tree(rate))
+            recent[m].append(done[m][-1])
         if max(map(len, recent.values())) >= KEEP:
-            before, rows, recent = rows, written(with_trees(rows, recent, kind)).persist(), {i: [] for i in recent}
+            before, rows, recent = rows, written(with_trees(rows, recent)).persist(), {m: [] for m in recent}
             before.unpersist()
     rows.unpersist()
-    keep = {m: int(np.argmin(losses[m])) if m in losses and losses[m] else 0 for m in done}
-    out = {k: Model(features, cuts, start[i], done[i][:keep[i]]) for i, k in enumerate(models)}
-    return out if fold is not None else out[0]
+    return {m: done[m][:int(np.argmin(losses[m]))] for m in start}
 
 
-def with_trees(rows, recent, kind):
-    """rows with the recent trees in their raw scores."""
-    def run(batches):
+def boost(df, features, label, fold, trees=400, rate=.06, leaves=31, least=40, l2=1.0, share=.15, patience=30, seed=42, key=None):
+    """A model for each value k of fold (whole numbers from 0), trained on the rows of other folds; with fold None one model of all rows.
+
+    A share of the training rows, drawn by a hash of key (of all features if None), is left out to stop: a model ends when their loss hasn't fallen for so many trees, and keeps the trees
+    up to the least. Rows with a null label are not used. Training rows with one label give a model without trees.
+    """
+    df = df.filter(F.col(label).isNotNull())
+    group = F.lit(-1) if fold is None else F.col(fold).cast("int")
+    cuts = cuts_of(df, features)
+    counts = {r.f: (r.n, r.p) for r in df.groupBy(group.alias("f")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).collect()}
+    models = sorted(k for k in counts if k is not None) if fold is not None else [0]
+    start = []
+    for m in models:
+        n, p = (sum(v[i] for k, v in counts.items() if fold is None or k != m) for i in (0, 1))
+        start.append(float(np.log(p / (n - p))) if 0 < p < n else float("inf") if n and p == n else float("-inf"))
+    own = {k: i for i, k in enumerate(models)}
+    draw = F.pmod(F.xxhash64(F.lit(seed), *([key] if key else features)), F.lit(10_000)) < int(10_000 * share)
+    base = df.select(group.alias("f"), draw.alias("v"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    first = [x if np.isfinite(x) else 0.0 for x in start]
+
+    def put(batches):
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            raw = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, len(recent)).copy()
-            for m, trees in recent.items():
-                raw[:, m] = reduce(lambda s, t: s + t.add(bins), trees, raw[:, m])
-            yield pa.record_batch([*batch.columns[:4], pa.array(list(raw), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "raw"])
-    return rows.mapInArrow(run, kind)
+            bins = binned(numbers(batch, [f"x{i}" for i in range(len(features))]), cuts)
+            f = np.array([own.get(x, -1) for x in batch.column(0).to_pylist()], np.int32)
+            yield pa.record_batch([pa.array(f), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([first] * len(f), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "raw"])
+    rows = written(base.mapInArrow(put, KIND))
+    how = {"trees": trees, "rate": rate, "leaves": leaves, "least": least, "l2": l2, "patience": patience}
+    able = {i: x for i, x in enumerate(start) if np.isfinite(x)}
+
+    def alone(key, table):
+        m, parts = key[0].as_py(), [arrays(b, len(models)) for b in table.select(["f", "v", "y", "bins", "raw"]).to_batches()]
+        _, valid, y, bins, _ = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({"m": pa.array([m], pa.int32()), "made": pa.array([pickle.dumps(grown_alone(bins, y, valid, able[m], **how))], pa.binary())})
+    if not able:
+        made = {}
+    elif sum(n for n, _ in counts.values()) <= ALONE:
+        each = rows.withColumn("m", F.explode(F.array(*map(F.lit, able)))).filter("f <> m")
+        made = {r.m: pickle.loads(r.made) for r in each.groupBy("m").applyInArrow(alone, "m int, made binary").collect()}
+    else:
+        made = grown_apart(rows, able, **how)
+    out = {k: Model(features, cuts, start[i], made.get(i, [])) for i, k in enumerate(models)}
+    return out if fold is not None else out[0]

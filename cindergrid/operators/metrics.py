@@ -18,6 +18,17 @@ def average_precision(scored, label, score):
     return rows.agg(F.try_divide(F.sum(F.try_divide(F.col("pos") * hits, hits + F.col("neg_before") + F.col("neg"))), F.sum("pos")).alias("ap"))
 
 
+def average_precisions(scored, groups, label, score):
+    """ap of each group; null without positives. Counts of distinct scores are summed in ranges of group and score."""
+    y = F.col(label).cast("long")
+    per = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*groups, F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    rows = running(per, [*groups, F.desc("score")], "pos", "neg")
+    start = rows.groupBy(*groups).agg(F.min("pos_before").alias("_p"), F.min("neg_before").alias("_n"))
+    rows = rows.join(start, groups)
+    hits, misses = F.col("pos_before") - F.col("_p") + F.col("pos"), F.col("neg_before") - F.col("_n") + F.col("neg")
+    return rows.groupBy(*groups).agg(F.try_divide(F.sum(F.try_divide(F.col("pos") * hits, hits + misses)), F.sum("pos")).alias("ap"))
+
+
 def roc_auc(scored, label, score):
     """One row, auc: the share of pairs of a positive and a negative that are in order, equals by half; null without positives or without negatives."""
     rows = running(by_score(scored, label, score), ["score"], "neg")

@@ -3,13 +3,14 @@
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cindergrid.functions.exprs import prior_corrected, wind_from
-from cindergrid.operators.metrics import average_precision
+from cindergrid.operators import boosting
+from cindergrid.operators.metrics import average_precision, average_precisions
 from cindergrid.operators.state import numbered, written
 from cindergrid.operators.windows import percentile_rank
 
@@ -43,27 +44,20 @@ def features_of(df, drop):
     return [c for c in df.columns if c not in set(drop)]
 
 
-def boosted(features, label, trees=400, rate=0.06, depth=5, least=40, seed=42):
-    """Boosted trees; missing values take the median and have a flag of their own."""
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=[f"{c}_in" for c in features]),
-                            VectorAssembler(inputCols=[f"{c}_in" for c in features] + [f"{c}_missing" for c in features], outputCol="features"),
-                            GBTClassifier(labelCol=label, maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed)])
-
-
 def logistic(features, label, penalty=1e-4):
     """Logistic baseline on scaled values; missing values are 0."""
     return Pipeline(stages=[VectorAssembler(inputCols=[f"{c}_zero" for c in features], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol=label, regParam=penalty)])
 
 
 def prepared(df, features):
-    """The columns that boosted and logistic read."""
-    value = {c: F.col(c).cast("double") for c in features}
-    new = {f"{c}_missing": (v.isNull() | F.isnan(v)).cast("double") for c, v in value.items()} | {f"{c}_zero": F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)) for c, v in value.items()}
-    return df.withColumns(value).withColumns(new)
+    """The columns that logistic reads."""
+    return df.withColumns({f"{c}_zero": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features})
 
 
 def scored(model, df, features):
     """df with score, the probability of label 1."""
+    if isinstance(model, boosting.Model):
+        return boosting.scored(df, model)
     out = model.transform(prepared(df, features))
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
@@ -78,30 +72,42 @@ def out_of_fold(df, estimator, features, label, fold="fold"):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def shuffled(df, column, key, seed):
-    """df with one column's values dealt out anew: rows in one drawn order take the values of rows in another."""
-    draw = lambda s: F.xxhash64(F.lit(s), key)
-    to = numbered(df.drop(column), [draw(seed), F.col(key)], "_n")
-    values = numbered(df.select(key, F.col(column)), [draw(-seed - 1), F.col(key)], "_n").select("_n", column)
-    return to.join(values, "_n").select(*df.columns)
+def boosted_out_of_fold(df, features, label, fold="fold", **how):
+    """Each row scored by boosted trees of the other folds; all folds grow in the same jobs. how: as of boosting.boost."""
+    return boosting.scored(df, boosting.boost(df, features, label, fold, **how), fold)
+
+
+def prior_out_of_fold(df, label, fold="fold"):
+    """Each row scored by the share of positives in the other folds."""
+    each = df.groupBy(fold).agg(F.sum(label).alias("_p"), F.count(label).alias("_n"))
+    whole = each.agg(F.sum("_p").alias("_wp"), F.sum("_n").alias("_wn"))
+    share = each.crossJoin(whole).select(fold, F.try_divide(F.col("_wp") - F.col("_p"), F.col("_wn") - F.col("_n")).alias("score"))
+    return df.join(share, fold)
+
+
+def shuffled(df, columns, key, repeats, seed=42):
+    """key, repeat and _dealt, a struct of the columns of another row: in every repeat the rows in one drawn order take the values of rows in another, so each row's values are dealt once."""
+    rows = df.select(key, F.struct(*columns).alias("_dealt"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    draw = lambda s: F.xxhash64(F.lit(s), "repeat", key)
+    to, of = (numbered(rows, [F.col("repeat"), draw(s), F.col(key)], "_n") for s in (seed, -seed - 1))
+    return to.select(key, "repeat", "_n").join(of.select("_n", "_dealt"), "_n").drop("_n")
 
 
 def permutation_importance(model, df, features, label, key, repeats=10, seed=42):
-    """feature, mean and sd of the loss in average precision over the repeats. key: a column without equal values."""
-    def ap(rows):
-        return average_precision(scored(model, rows, features), label, "score").first()[0]
-    whole, out = ap(df), []
-    for c in features:
-        lost = [whole - ap(shuffled(df, c, key, seed + r)) for r in range(repeats)]
-        mean = sum(lost) / repeats
-        out.append((c, float(mean), float((sum((x - mean) ** 2 for x in lost) / repeats) ** .5)))
-    return df.sparkSession.createDataFrame(out, "feature string, mean double, sd double").orderBy(F.desc("mean"))
-
-
-def risk_surface(model, cells, features, fraction):
-    """cells with risk (score after undoing the sampling), rank (0 to 100, ties averaged) and per_10000."""
-    out = scored(model, cells, features).withColumn("risk", prior_corrected(F.col("score"), fraction))
-    out = percentile_rank(written(out), "risk")
+    """feature, mean and sd of the loss in average precision over the repeats. key: a column without equal values. All features and repeats are scored in one pass."""
+    df = written(df.select(key, label, *features))
+    whole = average_precision(scored(model, df, features), label, "score").first()[0]
+    own = df.join(written(shuffled(df, features, key, repeats, seed)), key)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"_dealt.{x}" if x == c else x).alias(x) for x in features]) for c in features])).alias("_row")
+    rows = own.select(label, "repeat", each).select(label, "repeat", "_row.*")
+    lost = average_precisions(scored(model, rows, features), ["feature", "repeat"], label, "score").select("feature", (F.lit(whole) - F.col("ap")).alias("lost"))
+    return lost.groupBy("feature").agg(F.avg("lost").alias("mean"), F.stddev_pop("lost").alias("sd")).orderBy(F.desc("mean"))
+
+
+def risk_surface(model, cells, features, fraction, by=()):
+    """cells with risk (score after undoing the sampling), rank (0 to 100, ties averaged; within each value of by, such as dates) and per_10000."""
+    out = written(scored(model, cells, features).withColumn("risk", prior_corrected(F.col("score"), fraction)))
+    out = percentile_rank(out, "risk", by)
     return out.withColumn("rank", F.col("pct") * 100).withColumn("per_10000", F.col("risk") * 10_000).drop("pct")
 
 

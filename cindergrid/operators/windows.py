@@ -23,12 +23,17 @@ def every_day(df, pixel, day):
     return spine.join(df, [pixel, day], "left")
 
 
-def percentile_rank(df, value):
-    """pct: rank over n with ties averaged, of the rows that have a value; null for others. Counts of distinct values are summed in ranges."""
-    per = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    total = per.agg(F.sum("k").alias("n"))
-    per = running(per, [value], "k").crossJoin(F.broadcast(total)).select(F.col(value).alias("_value"), ((F.col("k_before") + (F.col("k") + 1) / 2) / F.col("n")).alias("pct"))
-    return df.join(per, df[value] == per._value, "left").drop("_value")
+def percentile_rank(df, value, by=()):
+    """pct: rank over n with ties averaged, of the rows that have a value, within each value of the columns by; null for others. Counts of distinct values are summed in ranges."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    total = per.groupBy(*by).agg(F.sum("k").alias("n"))
+    rows = running(per, [*by, value], "k")
+    if by:
+        rows = rows.join(rows.groupBy(*by).agg(F.min("k_before").alias("_start")).join(total, list(by)), list(by)).withColumn("k_before", F.col("k_before") - F.col("_start"))
+    else:
+        rows = rows.crossJoin(F.broadcast(total))
+    per = rows.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(value).alias("_value"), ((F.col("k_before") + (F.col("k") + 1) / 2) / F.col("n")).alias("pct"))
+    return df.join(per, [df[value] == per._value, *[df[c] == per[f"_{c}"] for c in by]], "left").drop("_value", *[f"_{c}" for c in by])
 
 
 def keep_latest(df, keys, order):

@@ -47,7 +47,9 @@ def table(spark, n=300, seed=1):
     return spark.createDataFrame(rows, "id long, a double, b double, c double, y int, fold int"), x, y
 
 
-def test_equals_a_plain_loop(spark):
+@pytest.mark.parametrize("alone", [0, 1 << 20])
+def test_equals_a_plain_loop(spark, monkeypatch, alone):
+    monkeypatch.setattr(boosting, "ALONE", alone)
     df, x, y = table(spark)
     how = {"rate": .3, "leaves": 6, "least": 10, "l2": 1.0}
     model = boosting.boost(df, ["a", "b", "c"], "y", None, trees=4, share=0, patience=99, key="id", **how)
@@ -58,7 +60,9 @@ def test_equals_a_plain_loop(spark):
     assert np.allclose([got[i] for i in range(len(y))], want, atol=1e-5)
 
 
-def test_folds_grow_at_once(spark):
+@pytest.mark.parametrize("alone", [0, 1 << 20])
+def test_folds_grow_at_once(spark, monkeypatch, alone):
+    monkeypatch.setattr(boosting, "ALONE", alone)
     df, _, _ = table(spark)
     how = {"trees": 3, "rate": .3, "leaves": 5, "least": 8, "share": 0, "patience": 99, "key": "id"}
     all_at_once = boosting.boost(df, ["a", "b", "c"], "y", "fold", **how)
@@ -71,11 +75,17 @@ def test_folds_grow_at_once(spark):
 
 
 def test_stops_early_and_keeps_the_best(spark, monkeypatch):
+    """Both ways stop at the same tree, and have the same trees."""
     monkeypatch.setattr(boosting, "KEEP", 3)
     df, _, _ = table(spark, 400)
-    noise = df.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
-    model = boosting.boost(noise, ["a", "b", "c"], "y", None, trees=60, rate=.5, leaves=8, least=5, patience=4, key="id")
-    assert len(model.trees) < 20
+    noise = df.withColumn("y", F.when(F.pmod(F.xxhash64("id"), F.lit(12)) == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    made = []
+    for alone in (0, 1 << 20):
+        monkeypatch.setattr(boosting, "ALONE", alone)
+        made.append(boosting.boost(noise, ["a", "b", "c"], "y", None, trees=60, rate=.5, leaves=8, least=5, patience=4, key="id"))
+    assert 0 < len(made[0].trees) == len(made[1].trees) < 50
+    for a, b in zip(*(m.trees for m in made)):
+        assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist() and a.value.tolist() == b.value.tolist()
 
 
 @pytest.mark.parametrize("label", [0, 1])

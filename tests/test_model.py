@@ -59,8 +59,7 @@ def test_models(spark, rows, tmp_path):
     f = model.features_of(rows, ["id", "year", "label"])
     assert f == ["a", "b", "c"]
     own = rows.join(model.group_folds(rows, "year", 3), "year")
-    for est in (model.boosted(f, "label", trees=4, least=5), model.logistic(f, "label")):
-        out = model.out_of_fold(own, est, f, "label")
+    for out in (model.boosted_out_of_fold(own, f, "label", trees=20, rate=.3, least=5, key="id"), model.out_of_fold(own, model.logistic(f, "label"), f, "label")):
         assert out.count() == 600 and set(out.columns) == {*own.columns, "score"}
         assert metrics.roc_auc(out, "label", "score").first().auc > .9
     fitted = model.logistic(f, "label").fit(model.prepared(rows, f))
@@ -76,8 +75,26 @@ def test_models(spark, rows, tmp_path):
 
 def test_shuffled_keeps_the_values(spark, rows):
     a = [r.a for r in rows.orderBy("id").collect()]
-    b = [r.a for r in model.shuffled(rows, "a", "id", 3).orderBy("id").collect()]
-    assert a != b and sorted(x or -1 for x in a) == sorted(x or -1 for x in b)
+    dealt = model.shuffled(rows, ["a"], "id", 3).orderBy("repeat", "id").collect()
+    each = [[r._dealt.a for r in dealt if r.repeat == k] for k in range(3)]
+    assert len(dealt) == 1800 and a not in each and each[0] != each[1] != each[2]
+    assert all(sorted(x or -1 for x in a) == sorted(x or -1 for x in b) for b in each)
+
+
+def test_metrics_by_group(spark, rows):
+    own = rows.withColumn("g", F.col("id") % 4).withColumn("s", F.round(F.coalesce("a", F.lit(0.0)), 1)).withColumn("y", F.when(F.col("g") == 3, 0).otherwise(F.col("label")))
+    got = {r.g: r.ap for r in metrics.average_precisions(own, ["g"], "y", "s").collect()}
+    for g in range(4):
+        want = metrics.average_precision(own.filter(F.col("g") == g), "y", "s").first().ap
+        assert got[g] == (want if want is None else pytest.approx(want))
+    ranks = {(r.g, r.id): r.pct for r in windows.percentile_rank(own.select("g", "id", "s"), "s", ["g"]).collect()}
+    for g in range(4):
+        assert {(r.g, r.id): r.pct for r in windows.percentile_rank(own.filter(F.col("g") == g).select("g", "id", "s"), "s").collect()}.items() <= ranks.items()
+
+
+def test_prior_of_the_other_folds(spark):
+    df = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0)], "fold int, y int")
+    assert {(r.fold, r.score) for r in model.prior_out_of_fold(df, "y").collect()} == {(0, .5), (1, 1 / 3), (2, 2 / 3)}
 
 
 def test_one_label_only(spark):
