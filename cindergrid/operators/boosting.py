@@ -171,9 +171,10 @@ def grown_alone(bins, y, valid, start, trees, rate, leaves, least, l2, patience)
         if turn == trees or done_at(losses, patience) or turn and (made[-1].feature < 0).all():
             break
         values, tree, rows = gradients(raw, y), Growing(leaves, l2, least), {0: train}
+        known = {0: sums(train, values)}
         while tree.asked:
             for node in tree.asked:
-                g, h, n = sums(rows[node], values)
+                g, h, n = known[node]
                 tree.tell(node, g / SCALE, h / SCALE, n)
             before = len(tree.left)
             tree.open()
@@ -181,7 +182,12 @@ def grown_alone(bins, y, valid, start, trees, rate, leaves, least, l2, patience)
                 _, f, cut, missing_left = tree.split[k]
                 b = bins[rows[k], f]
                 left = np.where(b == MISSING, missing_left, b <= cut)
-                rows[tree.left[k]], rows[tree.left[k] + 1] = rows[k][left], rows.pop(k)[~left]
+                i, j = tree.left[k], tree.left[k] + 1
+                rows[i], rows[j] = rows[k][left], rows.pop(k)[~left]
+                # The larger child has what the smaller one leaves of its parent.
+                i, j = (i, j) if len(rows[i]) <= len(rows[j]) else (j, i)
+                known[i] = sums(rows[i], values)
+                known[j] = [x - y for x, y in zip(known.pop(k), known[i])]
         made.append(tree.tree(rate))
         raw += made[-1].add(bins)
     return made[:int(np.argmin(losses))]
@@ -315,7 +321,8 @@ def boost(df, features, label, fold, trees=400, rate=.06, leaves=31, least=40, l
     if not able:
         made = {}
     elif sum(n for n, _ in counts.values()) <= ALONE:
-        each = rows.withColumn("m", F.explode(F.array(*map(F.lit, able)))).filter("f <> m")
+        # A task for each model; a count that is given isn't merged again.
+        each = rows.withColumn("m", F.explode(F.array(*map(F.lit, able)))).filter("f <> m").repartitionByRange(len(able), "m")
         made = {r.m: pickle.loads(r.made) for r in each.groupBy("m").applyInArrow(alone, "m int, made binary").collect()}
     else:
         made = grown_apart(rows, able, **how)
