@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences.
 
 Each task tokenises its rows and packs their pieces in pools, so nothing is shuffled: bins of a pool that stay loose go back
-to the next pool, and a task leaves at most a few loose bins. Ids of words that a worker has met are kept (at most KEPT short words), as
+to the next pool, and a task leaves at most a few loose bins. Ids of words that a worker has met are kept (about KEPT short words), as
 the tokenizer encodes each word by itself; texts with other scripts or with its special tokens are encoded whole. Null and empty texts are one piece (the closing id 0). A text
 is never cut short; rows of equal doc_id are packed as separate documents; an empty table gives no rows.
 """
@@ -16,12 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
-SIZE, POOL, KEPT = 2048, 20000, 1 << 17
+#: Words of at most SHORT characters are kept, with their ids, until there are more than KEPT.
+SIZE, POOL, KEPT, SHORT = 2048, 20000, 1 << 17, 64
 #: Scripts whose letters, digits and spaces are the same in all versions of the tables that the patterns use.
 OTHER = re.compile(r"[^\u0000-\u052f]")
 SPACE = "\\t-\\r \x85\xa0"
-#: A word starts at every space, but for those between other white space.
-LOOSE = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
 
 
@@ -30,21 +29,6 @@ def default_tokenizer():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Kept(dict):
-    """Ids of short strings that were asked for before; at most KEPT of them."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, key):
-        ids = self.encode(key)
-        if len(key) <= 64:
-            if len(self) >= KEPT:
-                self.clear()
-            self[key] = ids
-        return ids
-
-
 def word_pattern():
     """The byte-level pre-tokenizer's pattern, with classes written out for the scripts that OTHER lets through."""
     def class_of(kind):
@@ -68,21 +52,33 @@ def encoder(path):
 
     shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
     signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-    merge = tok.model.tokenize
-    words = Kept(lambda w: np.array([t.id for t in merge(w.encode().decode("latin-1").translate(signs))], "<u4").tobytes())
-
-    def by_words(text):
-        return b"".join(map(words.__getitem__, pattern.findall(text)))
-
-    after_space = Kept(lambda t: by_words(" " + t))
+    merge, gap, kept = tok.model.tokenize, signs[255], {}
+    # No byte of UTF-8 is 255; words can be encoded together with it between them if no token but its own holds it.
+    between = tok.token_to_id(gap)
+    plain = plain and between is not None and sum(gap in t for t in tok.get_vocab()) == 1
+
+    def learn(new):
+        """Keeps the ids of words, all encoded in one call."""
+        ids = np.array([t.id for t in merge(b"\xff".join([w.encode() for w in new]).decode("latin-1").translate(signs))], "<u4")
+        data, at = ids.tobytes(), 0
+        for w, end in zip(new, [*np.flatnonzero(ids == between).tolist(), len(ids)]):
+            kept[w] = data[4 * at:4 * end]
+            at = end + 1
 
     def encode(text):
         if not plain or OTHER.search(text) or any(t in text for t in special):
             return whole(text)
-        if LOOSE.search(text):
-            return by_words(text)
-        first, *rest = text.split(" ")
-        return by_words(first) + b"".join(map(after_space.__getitem__, rest))
+        if len(kept) > KEPT:
+            kept.clear()
+        words = pattern.findall(text)
+        new = set(words).difference(kept)
+        if new:
+            learn(new)
+        ids = b"".join(map(kept.__getitem__, words))
+        for w in new:
+            if len(w) > SHORT:
+                del kept[w]
+        return ids
     return encode
 
 
