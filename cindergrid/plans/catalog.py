@@ -3,13 +3,17 @@
 from pyspark.sql import functions as F
 
 from cindergrid.functions.exprs import albers_sql, confidence_label, draw_sql, prior_corrected, wind_from
+from cindergrid.operators import geometry
 from cindergrid.operators.sampling import controls
+from cindergrid.operators.state import shared_dir
 from cindergrid.operators.spread import burn_probability, ensemble
 from cindergrid.operators.windows import antecedent, every_day, keep_latest, percentile_rank
 from cindergrid.operators.zonal import zonal_mode, zonal_stats
 from cindergrid.plans.register import Q, SQL, both, query, rounded
 from cindergrid.sources.tables import table
+from cindergrid.sources.grids import raster, write_rasters
 from cindergrid.streaming.dedupe import publish
+from cindergrid.streaming.publish import publish_batches, published
 
 def pixels(s, d):
     return table(s, d, "lineitem").select(
@@ -162,10 +166,8 @@ def case_control(s, d):
 
 @query("WITH g AS (SELECT p_partkey // 50 AS r, p_partkey % 50 AS c, p_size = 1 AS dev FROM part) SELECT a.r, a.c, round(min(sqrt((a.r-b.r)**2 + (a.c-b.c)**2)) * 30 / 1000, 6) AS km FROM g a JOIN g b ON b.dev GROUP BY a.r, a.c")
 def distance_transform(s, d):
-    table(s, d, "part").createOrReplaceTempView("part")
-    return s.sql("""WITH g AS (SELECT p_partkey DIV 50 AS r, p_partkey % 50 AS c, CASE WHEN p_size = 1 THEN p_partkey DIV 50 END AS dev FROM part),
-     v AS (SELECT r, c, least(r - max(dev) OVER (PARTITION BY c ORDER BY r), min(dev) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - r) AS dr FROM g)
-     SELECT a.r, a.c, round(min(sqrt(b.dr*b.dr + (a.c-b.c)*(a.c-b.c))) * 30 / 1000, 6) AS km FROM v a JOIN v b ON a.r = b.r AND b.dr IS NOT NULL GROUP BY a.r, a.c""")
+    cells = table(s, d, "part").select(F.expr("p_partkey div 50").alias("row"), (F.col("p_partkey") % 50).alias("col"), (F.col("p_size") == 1).alias("hit"))
+    return rounded(geometry.distance_transform(cells, "hit", 30).select(F.col("row").alias("r"), F.col("col").alias("c"), (F.col("distance") / 1000).alias("km")))
 
 
 @query(SQL["dedupe_latest"])
@@ -176,4 +178,26 @@ def stream_dedupe(s, d):
     return publish(rows, "ts", ["lat"], ["event_id"]).select("event_id", "lat", F.col("hour").cast("timestamp_ntz").alias("hr"))
 
 
+@query(SQL["dedupe_latest"])
+def published_detections(s, d):
+    """The latest row of each place and hour, from a table that a stream replaces whole."""
+    root = shared_dir(s)
+    rows = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.rint("value").alias("lat"), F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("hr"))
+
+    def merged(before, batch):
+        return keep_latest(batch if before is None else before.unionByName(batch), ["lat", "hr"], [F.desc("ts"), F.desc("event_id")])
+    publish_batches(rows, f"{root}/live", f"{root}/progress", merged).awaitTermination()
+    return published(s, f"{root}/live").select("event_id", "lat", "hr")
+
+
+@query("SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, p_retailprice AS value FROM part")
+def raster_files(s, d):
+    """A raster of all parts, written in files of 16 rows and read from their strips."""
+    root = f"{shared_dir(s)}/raster"
+    cells = table(s, d, "part").select(F.expr("p_partkey div 50").alias("row"), (F.col("p_partkey") % 50).alias("col"), F.col("p_retailprice").alias("value"))
+    write_rasters(cells, root, 0.0, 0.0, 1.0, 50, band=16).agg(F.sum("rows")).collect()
+    return raster(s, root).filter("value is not null and y < 0").select(F.floor(-F.col("y")).alias("row"), "col", "value")
+
+
 from cindergrid.plans import shapes, slices  # noqa: E402, F401  (registers the other queries)

@@ -109,3 +109,20 @@ def test_scenario_follows_the_wind(spark):
     assert {r.cell for r in found.collect()} >= {37, 38, 39, 40} and all(r.cell % 9 >= 1 for r in found.collect())
     r = summary.first()
     assert r.reach >= 3 and r.acres == int(r.likely_cells * 247.105)
+
+
+def test_distances_are_exact(spark):
+    rng = random.Random(6)
+    cells = [(r, c, rng.random() < .06) for r in range(25) for c in range(30) if rng.random() < .9]
+    got = {(r.row, r.col): r.distance for r in geometry.distance_transform(spark.createDataFrame(cells, "row int, col int, hit boolean"), "hit", 3.0).collect()}
+    hits = [(r, c) for r, c, h in cells if h]
+    assert got.keys() == {(r, c) for r, c, _ in cells}
+    assert all(got[r, c] == pytest.approx(3 * min(math.hypot(r - a, c - b) for a, b in hits)) for r, c, _ in cells)
+    none = geometry.distance_transform(spark.createDataFrame([(0, 1, False), (0, 2, None)], "row int, col int, hit boolean"), "hit").collect()
+    assert [r.distance for r in none] == [None, None]
+
+
+def test_a_row_of_100000_columns(spark):
+    cells = spark.range(100_000).select(F.lit(0).alias("row"), F.col("id").alias("col"), F.col("id").isin(0, 40_000, 99_000).alias("hit"))
+    got = geometry.distance_transform(cells, "hit").filter("distance <> least(col, abs(col - 40000), abs(col - 99000))").count()
+    assert got == 0
