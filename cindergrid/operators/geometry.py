@@ -25,6 +25,13 @@ def area(ring):
     return F.abs(signed_area(ring))
 
 
+def centroid(ring):
+    """The centre of a ring's area as a struct x, y; null for a ring without one."""
+    def moment(c):
+        return F.try_divide(total(F.transform(edges(ring), lambda e: (e["a"][c] + e["b"][c]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))), 6 * signed_area(ring))
+    return F.struct(moment("x").alias("x"), moment("y").alias("y"))
+
+
 def holds(ring, x, y):
     """Whether a ring holds a point, by the parity of crossings to the right."""
     def crosses(e):

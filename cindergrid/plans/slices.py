@@ -150,9 +150,12 @@ def first_arrival_cells(s, d):
     return joins.first_arrivals(joins.points_to_cells(places(s, d), half_grid(s), "x", "y", (0, 0), 10, strict=True), "y")
 
 
-@query("SELECT r.range AS row, c.range AS col, CAST((c.range-3)*10+5 AS DOUBLE) AS x, CAST((r.range-1)*10+5 AS DOUBLE) AS y FROM range(6) r CROSS JOIN range(8) c")
+@query("WITH b AS (SELECT CAST(floor(min(o_orderkey % 977 - 300.5) / 10) AS BIGINT) AS c0, CAST(ceil(max(o_orderkey % 977 - 300.5) / 10) AS BIGINT) AS c1, CAST(floor(min(o_custkey / 4.0 - 90) / 10) AS BIGINT) AS r0, CAST(ceil(max(o_custkey / 4.0 - 90) / 10) AS BIGINT) AS r1 FROM orders)"
+       " SELECT r.v - r0 AS row, c.v - c0 AS col, CAST(c.v * 10 + 5 AS DOUBLE) AS x, CAST(r.v * 10 + 5 AS DOUBLE) AS y FROM b, unnest(generate_series(r0, r1 - 1)) AS r(v), unnest(generate_series(c0, c1 - 1)) AS c(v)")
 def grid_build(s, d):
-    return geometry.lattice(s, (-25.5, -3, 50, 50), 10).select("row", "col", "x", "y")
+    """The squares over the bounds of all places of orders."""
+    ends = geometry.bounds(table(s, d, "orders"), F.col("o_orderkey") % 977 - 300.5, F.col("o_custkey") / 4 - 90).first()
+    return geometry.lattice(s, tuple(ends), 10).select("row", "col", "x", "y")
 
 
 TRIANGLE = ((2.0, 1.0), (44.0, 9.0), (11.0, 38.0))
@@ -233,16 +236,22 @@ def perimeter_overlap(s, d):
     return rounded(spread.overlap(own.select("cell", ((F.col("cell") % 100) / 100).alias("prob")), own.filter("cell % 4 = 0")))
 
 
-@query(f"WITH p AS ({PLACES}), q AS (SELECT * FROM p WHERE p_partkey%10=0) SELECT q.p_partkey AS ask, round(min({{'d': sqrt((q.x-p.x)**2+(q.y-p.y)**2), 'p': p.p_partkey}}).d,6) AS distance, min({{'d': sqrt((q.x-p.x)**2+(q.y-p.y)**2), 'p': p.p_partkey}}).p AS point FROM q JOIN p ON p.p_partkey%7=3 GROUP BY 1")
+NEAREST = f"WITH p AS ({PLACES}), q AS (SELECT s_suppkey AS id, s_suppkey * 5 % 47 + 0.75 AS x, s_suppkey * 7 % 50 + 0.5 AS y FROM supplier), n AS (SELECT p_partkey AS ask, min({{'d': sqrt((q.x-p.x)**2+(q.y-p.y)**2), 'p': id}}) AS of FROM p JOIN q ON NEAR GROUP BY 1) SELECT ask, round(of.d, 6) AS distance, of.p AS point FROM n"
+
+
+def nearest_supplier(s, d, **how):
+    own = table(s, d, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 5 % 47 + .75).alias("x"), (F.col("s_suppkey") * 7 % 50 + .5).alias("y"))
+    return rounded(joins.nearest_points(places(s, d).withColumnRenamed("p_partkey", "ask"), own, "ask", "point", "x", "y", 4.0, **how))
+
+
+@query(NEAREST.replace("NEAR ", "true "))
 def nearest_vector(s, d):
-    own = places(s, d)
-    return rounded(joins.nearest_points(own.filter("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "ask"), own.filter("p_partkey % 7 = 3").withColumnRenamed("p_partkey", "point"), "ask", "point", "x", "y", 1.0))
+    return nearest_supplier(s, d)
 
 
-@query(f"WITH p AS ({PLACES}), q AS (SELECT * FROM p WHERE p_partkey%10=0) SELECT q.p_partkey AS ask, round(min({{'d': sqrt((q.x-p.x)**2+(q.y-p.y)**2), 'p': p.p_partkey}}).d,6) AS distance, min({{'d': sqrt((q.x-p.x)**2+(q.y-p.y)**2), 'p': p.p_partkey}}).p AS point FROM q JOIN p ON p.p_partkey%70=3 AND sqrt((q.x-p.x)**2+(q.y-p.y)**2)<=3 GROUP BY 1")
+@query(NEAREST.replace("NEAR ", "sqrt((q.x-p.x)**2+(q.y-p.y)**2) <= 2.3 "))
 def nearest_cutoff(s, d):
-    own = places(s, d)
-    return rounded(joins.nearest_points(own.filter("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "ask"), own.filter("p_partkey % 70 = 3").withColumnRenamed("p_partkey", "point"), "ask", "point", "x", "y", 1.0, cutoff=3.0))
+    return nearest_supplier(s, d, cutoff=2.3)
 
 
 @query(f"SELECT cell FROM ({CELLS}) g ORDER BY (row-11.3)**2+(col-17.8)**2, cell LIMIT 1")
@@ -297,11 +306,13 @@ def cube_merge(s, d):
     return tables.cube({"a": [n("click", "a", "user_id < 50"), n("click", "a", "user_id >= 50")], "b": [n("error", "b")]}, ["user_id", "day"]).fillna(0)
 
 
-@query("SELECT ((event_id-1)//4) AS path, 'V' || CAST((event_id-1)%4 AS VARCHAR) AS message, event_id*100 AS first, CASE WHEN (event_id-1)%4 < 3 THEN event_id*100+99 END AS last FROM events WHERE (event_id-1)//4 < 100 AND (event_id-1)%4 > 0")
+@query("SELECT event_id // 4 AS path, 'V' || CAST(event_id % 4 AS VARCHAR) AS message, event_id * 100 AS first, CASE WHEN event_id % 4 < 3 THEN event_id * 100 + 99 END AS last FROM events WHERE event_id // 4 < (SELECT count(*) // 4 FROM events) AND event_id % 4 > 0")
 def index_ranges(s, d):
-    """From lines of an index, four messages to a file, three of them wanted."""
-    k = F.col("event_id") - 1
-    e = table(s, d, "events").filter(F.floor(k / 4) < 100).select(F.expr("(event_id - 1) div 4").alias("path"), F.concat_ws(":", (k % 4).cast("string"), (F.col("event_id") * 100).cast("string"), F.lit("d=2024"), F.concat(F.lit("V"), (k % 4).cast("string")), F.lit("10 m"), F.lit("anl")).alias("line"))
+    """From lines of an index, four messages to a file, three of them wanted; a last file that isn't whole is left out."""
+    e = table(s, d, "events").select("event_id")
+    k = F.col("event_id") % 4
+    line = F.concat_ws(":", k.cast("string"), (F.col("event_id") * 100).cast("string"), F.lit("d=2024"), F.concat(F.lit("V"), k.cast("string")), F.lit("10 m"), F.lit("anl"))
+    e = e.select(F.expr("event_id div 4").alias("path"), line.alias("line")).filter(F.col("path") < e.count() // 4)
     return tables.byte_ranges(e, wanted=("V1", "V2", "V3")).select("path", "message", "first", "last")
 
 
@@ -337,10 +348,13 @@ def conditions(s, d):
     return rounded(model.conditions(rows, "quantity", "tax")).withColumn("wind_from", F.round("wind_from", 3))
 
 
-@query("SELECT count(*) AS positives, 150*30 AS cell_days, round(count(*)/4500.0,6) AS prevalence, count(*)*20 AS controls, round(1/21.0,6) AS sampled_prevalence, round(count(*)*20/(4500.0-count(*)),6) AS fraction FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events WHERE event_type='error')")
+@query("WITH w AS (SELECT count(DISTINCT user_id) AS cells, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 AS days FROM events), c AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events WHERE event_type='error') e)"
+       " SELECT n AS positives, CAST(cells * days AS INT) AS cell_days, round(n / CAST(cells * days AS DOUBLE), 6) AS prevalence, n * 20 AS controls, round(1 / 21.0, 6) AS sampled_prevalence, round(n * 20 / (CAST(cells * days AS DOUBLE) - n), 6) AS fraction FROM w, c")
 def sampling_meta(s, d):
-    cases = table(s, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("cell"), F.to_date("ts").alias("day"))
-    return rounded(model.prevalence(cases, 150, 30, 20))
+    """Of all cells and all days between the first and the last."""
+    e = table(s, d, "events").select(F.col("user_id").alias("cell"), F.to_date("ts").alias("day"), "event_type")
+    whole = e.agg(F.countDistinct("cell").alias("cells"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("days")).first()
+    return rounded(model.prevalence(e.filter("event_type = 'error'"), whole.cells, whole.days, 20))
 
 
 @query("""WITH RECURSIVE o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM (SELECT floor(c_acctbal / 250) AS g, count(*) AS n FROM customer GROUP BY 1) c),
@@ -437,10 +451,11 @@ def surrogate_keys(s, d):
     return numbered(table(s, d, "customer").select("c_mktsegment", "c_custkey"), [F.desc("c_mktsegment"), F.col("c_custkey")], "id").select("c_custkey", "id")
 
 
-@query("WITH g AS (SELECT r.range AS row, c.range AS col FROM range(10) r CROSS JOIN range(10) c), v AS (SELECT p_partkey//10 AS row, p_partkey%10 AS col, p_size AS v FROM part WHERE p_partkey%3=0 AND p_partkey<100) SELECT g.row, g.col, v.v FROM g LEFT JOIN v USING(row, col)")
+@query("WITH g AS (SELECT r.range AS row, c.range AS col FROM range((SELECT max(p_partkey) // 40 + 1 FROM part)) r CROSS JOIN range(40) c), v AS (SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, p_size AS v FROM part) SELECT g.row, g.col, v.v FROM g LEFT JOIN v USING(row, col)")
 def dense_raster(s, d):
-    values = table(s, d, "part").filter("p_partkey % 3 = 0 and p_partkey < 100").select(F.expr("p_partkey div 10").alias("row"), (F.col("p_partkey") % 10).alias("col"), F.col("p_size").alias("v"))
-    return geometry.dense(geometry.lattice(s, (0, 0, 10, 10), 1).select("row", "col"), values)
+    """All parts as a raster of 40 columns; the places before the first and after the last part are null."""
+    values = table(s, d, "part").select(F.expr("p_partkey div 40").alias("row"), (F.col("p_partkey") % 40).alias("col"), F.col("p_size").alias("v"))
+    return geometry.dense(geometry.lattice(s, (0, 0, 40, (values.agg(F.max("row")).first()[0] or 0) + 1), 1).select("row", "col"), values)
 
 
 @rows_only
