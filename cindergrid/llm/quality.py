@@ -77,11 +77,12 @@ def train(texts, labels, seed=7):
 
 
 def fit(docs, labels, fold):
-    """A network from labelled rows for which fold is true."""
+    """A network from at most SAMPLE labelled ids for which fold is true; of an id's rows the least text counts, once."""
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    drawn = docs.filter(fold).select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    drawn = docs.filter(fold).select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     names = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in drawn], "doc_id long, quality long")
-    rows = docs.select("doc_id", "text").join(F.broadcast(names), "doc_id").select("text", "quality").collect()
+    # Names are at most SAMPLE rows.
+    rows = docs.select("doc_id", "text").join(F.broadcast(names), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).collect()
     rows = sorted(rows, key=lambda r: (r.text or "", r.quality))
     return train([r.text for r in rows], [r.quality for r in rows])
 

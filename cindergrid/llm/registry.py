@@ -25,13 +25,13 @@ def remainder(n):
 
 @op
 def op2_error_correcting_language(spark, sf_dir):
-    docs, held = read(spark, sf_dir, "documents"), remainder(3) == 1
+    docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder(3) == 1, F.lit(False))
     return langid.predict(docs, langid.fit(docs, ~held)).withColumn("held_out", held)
 
 
 @op
 def op5_byte_cnn_quality(spark, sf_dir):
-    docs, held = read(spark, sf_dir, "documents"), remainder(4) == 2
+    docs, held = read(spark, sf_dir, "documents"), F.coalesce(remainder(4) == 2, F.lit(False))
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, read(spark, sf_dir, "labels"), ~held))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -14,3 +14,24 @@ def test_near_copies_without_ids(spark):
     assert kept.columns == docs.columns
     kept = [r.n for r in kept.collect()]
     assert len(kept) == 6 and {0, 5, 6, 8} <= set(kept) and len({2, 3, 4} & set(kept)) == 1 and len({9, 10} & set(kept)) == 1
+
+
+def test_repeated_and_null_ids_in_the_models(spark, tmp_path):
+    """A repeated id is one labelled text, however many rows it has; rows without an id are never held out."""
+    from cindergrid.llm import quality, registry
+    own = [(i, f"good text number {i} of the corpus" if i % 2 else "zz# " * (i + 1), "en" if i % 2 else "de") for i in range(24)]
+    rows = own + [(5, f"copy {k}", "en") for k in range(30)] + [(None, "no id here", "en"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen, train = [], quality.train
+    quality.train = lambda texts, marks: seen.append(list(zip(texts, marks))) or train(texts, marks)
+    try:
+        got = registry.op5_byte_cnn_quality(spark, str(tmp_path)).collect()
+    finally:
+        quality.train = train
+    fold = {r.doc_id for r in docs.filter("doc_id is not null").filter(registry.remainder(4) != 2).collect()}
+    assert len(seen[0]) == len(fold) and sum(t.startswith("copy") for t, _ in seen[0]) == (5 in fold)
+    assert len(got) == len(rows) and all(r.held_out is False for r in got if r.doc_id is None)
+    assert all(r.held_out is not None for r in registry.op2_error_correcting_language(spark, str(tmp_path)).collect())
