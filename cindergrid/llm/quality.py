@@ -1,6 +1,6 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded; filters of WIDTH bytes at every STRIDE-th place of overlapping chunks cover the whole text; the maxima and
+Bytes are embedded; filters of WIDTH bytes at every place (STRIDE = 1) of overlapping chunks cover the whole text; the maxima and
 means of the chunks' filters are combined into one probability. It is trained on the driver by gradient descent on at most
 SAMPLE labelled rows (drawn by a hash of the id, so few that their ids are broadcast), on their whole texts, and scores whole texts.
 A label is a doc_id's highest quality; rows of one doc_id share it. A column named score is replaced by score(); kept() returns the columns as they are. Null and empty texts get the score of an all-zero pooling; repeated rows get equal scores; an empty table gives no rows.
@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from cindergrid.llm.textkit import blocks
 
-WIDTH, STRIDE, DIM, FILTERS, CHUNK, SAMPLE, EPOCHS = 8, 4, 8, 24, 1024, 2000, 6
+WIDTH, STRIDE, DIM, FILTERS, CHUNK, SAMPLE, EPOCHS = 8, 1, 8, 24, 1024, 2000, 6
 
 
 def pooled(net, data, keep=False):
