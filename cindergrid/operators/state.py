@@ -6,8 +6,13 @@ from pyspark.sql import Window as W, functions as F
 
 
 def shared_dir(spark):
-    """The folder that tasks share: spark.checkpoint.dir, or the warehouse where the session names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/s-{uuid.uuid4().hex}"
+    """A new folder that tasks share: in spark.checkpoint.dir, or in the warehouse where the session names none; an error where that is a machine's own folder and the session isn't local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if (root.startswith("/") or root.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is not set, and executors don't share {root}")
+    return f"{root}/s-{uuid.uuid4().hex}"
 
 
 def written(df):

@@ -93,3 +93,15 @@ def test_writers(spark, tmp_path):
 def test_masked_before_scaled(spark):
     rows = spark.createDataFrame([(-9999.0,), (float("nan"),), (None,), (25.0,)], "v double")
     assert [r[0] for r in rows.select(tables.masked(F.col("v"), .1)).collect()] == [None, None, None, 2.5]
+
+
+def test_no_machines_own_folder_on_a_cluster(spark):
+    from types import SimpleNamespace as N
+
+    from cindergrid.operators.state import shared_dir
+    session = lambda master, **conf: N(conf=N(get=lambda k, d=None: conf.get(k.replace(".", "_"), d)), sparkContext=N(master=master))
+    assert shared_dir(session("local[2]", spark_sql_warehouse_dir="file:/w")).startswith("file:/w/s-")
+    assert shared_dir(session("spark://h", spark_sql_warehouse_dir="hdfs://w")).startswith("hdfs://w/s-")
+    assert shared_dir(session("spark://h", spark_checkpoint_dir="file:/shared", spark_sql_warehouse_dir="file:/w")).startswith("file:/shared/s-")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session("spark://h", spark_sql_warehouse_dir="file:/w"))
