@@ -1,12 +1,12 @@
 """Numpy views of Arrow text: whole batches are handled as bytes, in blocks of bounded size."""
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from cindergrid.operators import state
+
 _rng = np.random.default_rng(20240607)
 TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
@@ -78,9 +78,8 @@ def shingles(h, row, n):
 
 
 def shared_dir(spark):
-    """Folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/t-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, as the other operators' tables have."""
+    return state.shared_dir(spark)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
