@@ -1,5 +1,8 @@
 """Points to cells, and nearest neighbours on an axis and in the plane, as equi joins on bins."""
 
+import math
+from functools import reduce
+
 from pyspark.sql import Window as W, functions as F
 
 from cindergrid.operators.state import written
@@ -67,31 +70,38 @@ def nearest_on_axis(asks, points, value, point, width):
 def nearest_points(asks, points, ask_id, point_id, x, y, reach, cutoff=None):
     """ask_id, point_id, distance of the nearest point in the plane, the least point_id of equals; no row where there is none within the cutoff.
 
-    Squares of the reach join with their eight neighbours; asks without a point within the reach go on with twice the reach, until none is left. A good reach finds some points.
+    Each place is asked for once, and of the points at one place only the least counts. Squares of a reach join with their eight neighbours; places without a point within the
+    reach go on with twice the reach, up to the cutoff, or until none is left. The reach given is lowered to the mean gap between points, so that squares hold few.
     """
     asks = asks.select(F.col(ask_id).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay")).filter("ax is not null and ay is not null")
-    points = points.select(F.col(point_id).alias("p"), F.col(x).alias("px"), F.col(y).alias("py")).filter("px is not null and py is not null")
-    ends = asks.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(points.select("px", "py")).agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).first()
-    if points.isEmpty() or ends[0] is None:
+    points = written(points.select(F.col(point_id).alias("p"), F.col(x).alias("px"), F.col(y).alias("py")).filter("px is not null and py is not null").groupBy("px", "py").agg(F.min("p").alias("p")))
+    left, count = written(asks.select("ax", "ay").distinct()), points.count()
+    ends = left.union(points.select("px", "py")).agg(*[f(c) for c in ("ax", "ay") for f in (F.min, F.max)]).first()
+    if not count or ends[0] is None:
         return asks.select(F.col("a").alias(ask_id), F.lit(None).cast(points.schema["p"].dataType).alias(point_id), F.lit(0.0).alias("distance")).filter("false")
-    whole, found, near = max(ends[1] - ends[0], ends[3] - ends[2]), [], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    wide, high = float(ends[1]) - float(ends[0]), float(ends[3]) - float(ends[2])
+    whole, found, near = max(wide, high), [], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    if cutoff is None and not math.isfinite(wide + high):
+        raise ValueError("places are not finite")
     reach = cutoff if cutoff is not None else reach
+    gap = max(math.sqrt(wide * high / count), whole / count)
+    reach = gap if 0 < gap < reach else reach
     while True:
         square = lambda v: F.floor(F.col(v) / reach)  # noqa: B023, E731
         around = points.select("p", "px", "py", near.alias("o")).select("p", "px", "py", (square("px") + F.col("o.i")).alias("r"), (square("py") + F.col("o.j")).alias("c"))
         d = F.sqrt((F.col("ax") - F.col("px")) ** 2 + (F.col("ay") - F.col("py")) ** 2)
-        best = asks.select("*", square("ax").alias("r"), square("ay").alias("c")).join(around, ["r", "c"]).select("a", "p", d.alias("d")).filter(F.col("d") <= reach)
-        best = written(best.groupBy("a").agg(F.min(F.struct("d", "p")).alias("of")).select("a", "of.p", "of.d"))
+        best = left.select("*", square("ax").alias("r"), square("ay").alias("c")).join(around, ["r", "c"]).select("ax", "ay", "p", d.alias("d")).filter(F.col("d") <= reach)
+        best = written(best.groupBy("ax", "ay").agg(F.min(F.struct("d", "p")).alias("of")).select("ax", "ay", "of.p", "of.d"))
         found.append(best)
-        asks = written(asks.join(best, "a", "left_anti"))
-        if cutoff is not None or asks.isEmpty():
+        if reach == cutoff:
+            break
+        left = written(left.join(best, ["ax", "ay"], "left_anti"))
+        if left.isEmpty():
             break
-        if reach > 2 * whole:
+        if cutoff is None and reach > 2 * whole:
             raise ValueError("places are not finite")
-        reach *= 2
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+        reach = 2 * reach if cutoff is None else min(2 * reach, cutoff)
+    out = asks.join(reduce(lambda f, g: f.union(g), found), ["ax", "ay"])
     return out.select(F.col("a").alias(ask_id), F.col("p").alias(point_id), F.col("d").alias("distance"))
 
 
