@@ -47,24 +47,26 @@ def labelled(code, names, default="Not recorded"):
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code), F.lit(default))
 
 
-def nearest_on_axis(asks, points, value, point, width):
+def nearest_on_axis(asks, points, value, point):
     """asks with nearest: the nearest of the points' values, the smaller of equals; null for null values and where there are no points.
 
-    Each bin of the width is searched by itself; the nearest points outside come from a table of one row for each bin, so the width should make bins of some
-    thousands of rows.
+    Distinct values are dealt to ranges of the axis, each of which is searched by itself in both directions; the nearest points outside come from a table of one row for each range.
     """
-    bins = lambda c: F.floor(F.col(c) / width)
-    points = points.select(F.col(point).alias("_v")).filter("_v is not null").distinct()
-    rows = asks.withColumns({"_v": F.col(value), "_ask": F.lit(True)}).unionByName(points.withColumn("_ask", F.lit(False)), allowMissingColumns=True).withColumn("_b", bins("_v"))
-    own = F.when(~F.col("_ask"), F.col("_v"))
-    ends = rows.filter("_b is not null").groupBy("_b").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
-    line = W.partitionBy(F.lit(0)).orderBy("_b")
-    ends = ends.select("_b", F.max("hi").over(line.rowsBetween(W.unboundedPreceding, -1)).alias("_below"), F.min("lo").over(line.rowsBetween(1, W.unboundedFollowing)).alias("_above"))
-    inner = W.partitionBy("_b").orderBy("_v")
-    rows = rows.withColumns({"_lo": F.max(own).over(inner.rangeBetween(W.unboundedPreceding, 0)), "_hi": F.min(own).over(inner.rangeBetween(0, W.unboundedFollowing))}).filter("_ask")
-    rows = rows.join(ends, "_b", "left").withColumns({"_lo": F.coalesce("_lo", "_below"), "_hi": F.coalesce("_hi", "_above")})
+    known = points.select(F.col(point).alias("_v"), F.lit(True).alias("_known"))
+    rows = asks.select(F.col(value).alias("_v"), F.lit(False).alias("_known")).union(known).filter("_v is not null").groupBy("_v").agg(F.max("_known").alias("_known"), F.bool_or(~F.col("_known")).alias("_ask"))
+    rows = written(rows.repartitionByRange("_v").withColumn("_b", F.spark_partition_id()))
+    own = F.when(F.col("_known"), F.col("_v"))
+    ends = rows.groupBy("_b").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    # Frames begin at the first row in both directions; one that ends at the last would be summed anew for each row.
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    line = W.partitionBy(F.lit(0))
+    ends = ends.select("_b", F.max("hi").over(before(line.orderBy("_b"))).alias("_below"), F.min("lo").over(before(line.orderBy(F.desc("_b")))).alias("_above"))
+    here = lambda order: W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"_lo": F.max(own).over(here(F.asc("_v"))), "_hi": F.min(own).over(here(F.desc("_v")))}).filter("_ask")
+    rows = rows.join(F.broadcast(ends), "_b", "left").withColumns({"_lo": F.coalesce("_lo", "_below"), "_hi": F.coalesce("_hi", "_above")})
     low = F.col("_hi").isNull() | (F.col("_v") - F.col("_lo") <= F.col("_hi") - F.col("_v"))
-    return rows.select(*asks.columns, F.when(F.col("_v").isNotNull(), F.when(low, F.col("_lo")).otherwise(F.col("_hi"))).alias("nearest"))
+    near = rows.select("_v", F.when(low, F.col("_lo")).otherwise(F.col("_hi")).alias("nearest"))
+    return asks.withColumn("_v", F.col(value)).join(near, "_v", "left").select(*asks.columns, "nearest")
 
 
 def nearest_points(asks, points, ask_id, point_id, x, y, reach, cutoff=None):

@@ -60,7 +60,7 @@ def block_ids(s, d):
 @query("SELECT c_custkey, min({'d': abs(c_acctbal - s_acctbal), 's': s_acctbal}).s AS near FROM customer LEFT JOIN supplier ON true GROUP BY c_custkey")
 def nearest_axis(s, d):
     asks = table(s, d, "customer").select("c_custkey", "c_acctbal")
-    return joins.nearest_on_axis(asks, table(s, d, "supplier"), "c_acctbal", "s_acctbal", 1000).select("c_custkey", F.col("nearest").alias("near"))
+    return joins.nearest_on_axis(asks, table(s, d, "supplier"), "c_acctbal", "s_acctbal").select("c_custkey", F.col("nearest").alias("near"))
 
 
 @query("SELECT event_id, (SELECT min({'d': abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(ts AS DATE))), 't': CAST(o_orderdate AS DATE)}).t FROM orders WHERE o_custkey = user_id) AS nearest FROM events")
