@@ -3,11 +3,12 @@
 Values are put to bins once. In each round every task sums gradients by node, feature and bin for the nodes that are asked for, Spark adds the tasks' sums, and
 the driver, which holds the trees alone, picks the splits: always the leaf of the greatest gain next, up to a number of leaves. To need few rounds, all nodes that
 this order would split by what is known are opened at once; what it doesn't take in the end is dropped, so the tree is that of one split at a time. Models of all folds grow in
-the same jobs. A table of at most ALONE rows isn't worth a job for each round: there each model is grown by one task, to the same trees, as
-sums are whole numbers (gradients times SCALE) and their order doesn't matter. Missing values have a bin of their own and go to the better side of each split.
+the same jobs. Rows of equal bins, label, fold and use have equal gradients in all rounds, so they are one row with a count. A table that has at most ALONE of these isn't worth a job
+for each round: there each model is grown by one task, to the same trees, as sums are whole numbers (gradients times SCALE) and their order doesn't matter. Missing values have a bin of their own and go to the better side of each split.
 """
 
 import heapq
+import math
 import pickle
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.operators.state import written
 
-SCALE, MISSING, KEEP, ALONE = 1 << 26, 255, 20, 1 << 20
+SCALE, MISSING, KEEP, ALONE, TABLE = 1 << 26, 255, 20, 1 << 20, 1 << 14
 
 
 def cuts_of(df, features, bins=MISSING):
@@ -63,16 +64,36 @@ class Model:
     """Features, their cuts, the first score and trees."""
 
     def __init__(self, features, cuts, start, trees):
-        self.features, self.cuts, self.start, self.trees = features, cuts, start, trees
+        self.features, self.cuts, self.start, self.trees, self.all = features, cuts, start, trees, None
 
-    def probability(self, values):
-        bins = binned(values, self.cuts)
+    def of_bins(self, bins):
         return 1 / (1 + np.exp(-(self.start + sum((t.add(bins) for t in self.trees), np.zeros(len(bins))))))
 
+    def tabled(self):
+        """The model with the probabilities of all bins, where they are few."""
+        sizes = [len(c) + 2 for c in self.cuts]
+        if self.all is None and self.cuts and math.prod(sizes) <= TABLE:
+            at = np.indices(sizes).reshape(len(sizes), -1).T
+            self.all = self.of_bins(np.where(at == np.array(sizes) - 1, MISSING, at).astype(np.uint8))
+        return self
+
+    def probability(self, values):
+        """Of each row; rows of equal bins are scored once."""
+        bins, sizes = binned(values, self.cuts), [len(c) + 2 for c in self.cuts]
+        if not self.cuts or math.prod(sizes) >= 1 << 62:
+            return self.of_bins(bins)
+        code = np.ravel_multi_index(tuple(np.where(b == MISSING, n - 1, b) for b, n in zip(bins.T.astype(int), sizes)), sizes)
+        if self.all is not None:
+            return self.all[code]
+        _, first, own = np.unique(code, return_index=True, return_inverse=True)
+        return self.of_bins(bins[first])[own]
+
 
 def scored(df, models, fold=None):
     """df with score, the probability of label 1. models: one model, or one for each value of the column fold; rows of a value without a model have a null score."""
     names = df.columns
+    for m in [models] if fold is None else models.values():
+        m.tabled()
 
     def run(batches):
         for batch in batches:
@@ -145,32 +166,40 @@ class Growing:
         return Tree([c[1] for c in cut], [c[2] for c in cut], np.array([c[3] for c in cut], bool), [max(0, x) for x in self.left], value)
 
 
-def gradients(raw, y):
+def gradients(raw, y, count):
+    """Whole numbers: first and second derivatives times SCALE, and ones, each times the row's count."""
     p = 1 / (1 + np.exp(-raw))
-    return np.rint(SCALE * (p - y)), np.rint(SCALE * p * (1 - p)), np.ones(len(y))
+    return [np.rint(v).astype(np.int64) * count for v in (SCALE * (p - y), SCALE * p * (1 - p), np.ones(len(y)))]
+
+
+def loss_of(raw, y, count):
+    return int((np.rint(SCALE * np.logaddexp(0, np.where(y == 1, -raw, raw))).astype(np.int64) * count).sum())
 
 
-def loss_of(raw, y):
-    return int(np.rint(SCALE * np.logaddexp(0, np.where(y == 1, -raw, raw))).sum())
+def added(code, values, size):
+    """Sums of whole numbers by code; in two parts where doubles could not hold them."""
+    if np.abs(values).sum(dtype=float) < 1 << 52:
+        return np.bincount(code, values, size).astype(np.int64)
+    return (added(code, values >> 24, size) << 24) + added(code, values & (1 << 24) - 1, size)
 
 
 def done_at(losses, patience):
     return len(losses) - 1 - int(np.argmin(losses)) >= patience
 
 
-def grown_alone(bins, y, valid, start, trees, rate, leaves, least, l2, patience):
+def grown_alone(bins, y, valid, count, start, trees, rate, leaves, least, l2, patience):
     """The trees of one model whose rows are all here."""
     raw, losses, made = np.full(len(y), start), [], []
     train, wide = np.flatnonzero(~valid), np.arange(bins.shape[1]) * 256
 
     def sums(rows, values):
         code = (bins[rows] + wide).ravel()
-        return [np.bincount(code, np.repeat(v[rows], len(wide)), 256 * len(wide)).astype(np.int64).reshape(-1, 256) for v in values]
+        return [added(code, np.repeat(v[rows], len(wide)), 256 * len(wide)).reshape(-1, 256) for v in values]
     for turn in range(trees + 1):
-        losses.append(loss_of(raw[valid], y[valid]) / valid.sum() if valid.any() else -turn)
+        losses.append(loss_of(raw[valid], y[valid], count[valid]) / count[valid].sum() if valid.any() else -turn)
         if turn == trees or done_at(losses, patience) or turn and (made[-1].feature < 0).all():
             break
-        values, tree, rows = gradients(raw, y), Growing(leaves, l2, least), {0: train}
+        values, tree, rows = gradients(raw, y, count), Growing(leaves, l2, least), {0: train}
         known = {0: sums(train, values)}
         while tree.asked:
             for node in tree.asked:
@@ -201,21 +230,21 @@ def task_sums(rows, models, growing, recent):
     def run(batches):
         sums, loss = {}, {m: [0, 0] for m in asked}
         for batch in batches:
-            fold, valid, y, bins, raws = arrays(batch, models)
+            fold, valid, y, bins, count, raws = arrays(batch, models)
             for m, nodes in asked.items():
                 raw, other = raws[:, m] + sum((t.add(bins) for t in recent[m]), np.zeros(len(y))), fold != m
                 if nodes == [0]:
                     at = other & valid
-                    loss[m][0] += loss_of(raw[at], y[at])
-                    loss[m][1] += int(at.sum())
+                    loss[m][0] += loss_of(raw[at], y[at], count[at])
+                    loss[m][1] += int(count[at].sum())
                 at = np.flatnonzero(other & ~valid)
                 where = trees[m].place(bins[at])
                 slot = np.full(len(trees[m].feature), -1)
                 slot[nodes] = np.arange(len(nodes))
                 at, where = at[slot[where] >= 0], slot[where[slot[where] >= 0]]
                 code = ((where[:, None] * bins.shape[1] + np.arange(bins.shape[1])) * 256 + bins[at]).ravel()
-                for k, v in enumerate(gradients(raw[at], y[at])):
-                    sums[m, k] = sums.get((m, k), 0) + np.bincount(code, np.repeat(v, bins.shape[1]), len(nodes) * bins.shape[1] * 256).astype(np.int64)
+                for k, v in enumerate(gradients(raw[at], y[at], count[at])):
+                    sums[m, k] = sums.get((m, k), 0) + added(code, np.repeat(v, bins.shape[1]), len(nodes) * bins.shape[1] * 256)
         out = [([m], [-1], [0], [0], [a], [b], [0]) for m, (a, b) in loss.items()]
         for m in {m for m, _ in sums}:
             some = np.flatnonzero(sums[m, 2])
@@ -225,23 +254,23 @@ def task_sums(rows, models, growing, recent):
     return rows.mapInArrow(run, "model long, node long, feature long, bin long, g long, h long, n long")
 
 
-KIND = "f int, v boolean, y int, bins binary, raw array<double>"
+KIND = "f int, v boolean, y int, bins binary, n long, raw array<double>"
 
 
 def arrays(batch, models):
-    """fold, validation flag, label, bins and scores so far of a batch of KIND."""
-    fold, valid, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+    """fold, validation flag, label, bins, count and scores so far of a batch of KIND."""
+    fold, valid, y, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
     bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(y), -1)
-    return fold, valid, y, bins, batch.column(4).flatten().to_numpy().reshape(len(y), models)
+    return fold, valid, y, bins, count, batch.column(5).flatten().to_numpy().reshape(len(y), models)
 
 
 def with_trees(rows, recent):
     """rows with the recent trees in their scores."""
     def run(batches):
         for batch in batches:
-            *_, bins, raw = arrays(batch, len(recent))
+            *_, bins, _, raw = arrays(batch, len(recent))
             raw = np.column_stack([raw[:, m] + sum((t.add(bins) for t in trees), np.zeros(len(raw))) for m, trees in recent.items()])
-            yield pa.record_batch([*batch.columns[:4], pa.array(list(raw), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "raw"])
+            yield pa.record_batch([*batch.columns[:5], pa.array(list(raw), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "n", "raw"])
     return rows.mapInArrow(run, KIND)
 
 
@@ -309,18 +338,19 @@ def boost(df, features, label, fold, trees=400, rate=.06, leaves=31, least=40, l
         for batch in batches:
             bins = binned(numbers(batch, [f"x{i}" for i in range(len(features))]), cuts)
             f = np.array([own.get(x, -1) for x in batch.column(0).to_pylist()], np.int32)
-            yield pa.record_batch([pa.array(f), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in bins], pa.binary()), pa.array([first] * len(f), pa.list_(pa.float64()))], names=["f", "v", "y", "bins", "raw"])
-    rows = written(base.mapInArrow(put, KIND))
+            yield pa.record_batch([pa.array(f), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in bins], pa.binary())], names=["f", "v", "y", "bins"])
+    rows = base.mapInArrow(put, "f int, v boolean, y int, bins binary").groupBy("f", "v", "y", "bins").agg(F.count("*").alias("n"))
+    rows = written(rows.withColumn("raw", F.array(*map(F.lit, first)).cast("array<double>")))
     how = {"trees": trees, "rate": rate, "leaves": leaves, "least": least, "l2": l2, "patience": patience}
     able = {i: x for i, x in enumerate(start) if np.isfinite(x)}
 
     def alone(key, table):
-        m, parts = key[0].as_py(), [arrays(b, len(models)) for b in table.select(["f", "v", "y", "bins", "raw"]).to_batches()]
-        _, valid, y, bins, _ = (np.concatenate(x) for x in zip(*parts))
-        return pa.table({"m": pa.array([m], pa.int32()), "made": pa.array([pickle.dumps(grown_alone(bins, y, valid, able[m], **how))], pa.binary())})
+        m, parts = key[0].as_py(), [arrays(b, len(models)) for b in table.select(["f", "v", "y", "bins", "n", "raw"]).to_batches()]
+        _, valid, y, bins, count, _ = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({"m": pa.array([m], pa.int32()), "made": pa.array([pickle.dumps(grown_alone(bins, y, valid, count, able[m], **how))], pa.binary())})
     if not able:
         made = {}
-    elif sum(n for n, _ in counts.values()) <= ALONE:
+    elif rows.count() <= ALONE:
         # A task for each model; a count that is given isn't merged again.
         each = rows.withColumn("m", F.explode(F.array(*map(F.lit, able)))).filter("f <> m").repartitionByRange(len(able), "m")
         made = {r.m: pickle.loads(r.made) for r in each.groupBy("m").applyInArrow(alone, "m int, made binary").collect()}
