@@ -53,13 +53,25 @@ def step(parts, edges, t, burn, seed, wind=None):
     return hit.join(union(parts), ["run", "cell"], "left_anti").withColumn("arrival", F.lit(t))
 
 
+def by_source(edges):
+    """edges in ranges of their source, so that a step reads those near what burns alone."""
+    return written(edges.repartitionByRange("src").sortWithinPartitions("src"))
+
+
+def near(edges, burning):
+    """The edges of by_source between the least and the greatest burning cell; None if nothing burns."""
+    ends = burning.agg(F.min("cell"), F.max("cell")).first()
+    return None if ends[0] is None else edges.filter(F.col("src").between(*ends))
+
+
 def ensemble(origins, edges, steps, burn=2, seed=11, wind=None):
     """run, cell, arrival. origins: run, cell. A cell spreads in the burn steps after its arrival; it stops early when nothing burns. wind: gives p to the edges of a step."""
-    edges, parts = written(edges), [written(origins.select("run", "cell", F.lit(0).alias("arrival")))]
+    edges, parts = by_source(edges), [written(origins.select("run", "cell", F.lit(0).alias("arrival")))]
     for t in range(1, steps + 1):
-        parts.append(written(step(parts, edges, t, burn, seed, wind)))
-        if all(p.isEmpty() for p in parts[-burn:]):
+        some = near(edges, union(parts[-burn:]))
+        if some is None:
             break
+        parts.append(written(step(parts, some, t, burn, seed, wind)))
         if len(parts) > burn + MERGE:
             parts = [written(union(parts[:-burn]).coalesce(4)), *parts[-burn:]]
     return union(parts)
@@ -120,12 +132,15 @@ def search(tried, edges, origin, observed, steps, repeats=6, burn=2, seed=11, le
     tried: cand, p0, k_wind, k_slope; edges: src, dst, dir, dr, dc, fuel, steep, u, v; observed: cell, arrival. A cell counts as reached at a probability of one half.
     """
     p = probability(F.col("fuel"), F.col("u"), F.col("v"), F.col("steep"), F.col("dr"), F.col("dc"), F.col("p0"), F.col("k_wind"), F.col("k_slope"))
-    each = written(tried.crossJoin(edges).select("cand", "src", "dst", "dir", p.alias("p")))
+    edges, params = by_source(edges), tried.select("cand", "p0", "k_wind", "k_slope")
     parts = [written(tried.select("cand").crossJoin(tried.sparkSession.range(repeats).select(F.col("id").alias("rep"))).select("cand", (F.col("cand") * repeats + F.col("rep")).alias("run"), F.lit(origin).alias("cell"), F.lit(0).alias("arrival")))]
     for t in range(1, steps + 1):
         burning = union(parts[-burn:])
-        hit = burning.join(each, (burning.cell == each.src) & (burning.cand == each.cand)).filter(f"arrival >= {t - burn} AND {draw_sql('run', 'src', f'dir + 8 * {t}', seed)} < p")
-        hit = hit.select(burning.cand, "run", F.col("dst").alias("cell")).distinct()
+        some = near(edges, burning)
+        if some is None:
+            break
+        hit = burning.join(params, "cand").join(some, F.col("cell") == F.col("src")).withColumn("p", p).filter(f"arrival >= {t - burn} AND {draw_sql('run', 'src', f'dir + 8 * {t}', seed)} < p")
+        hit = hit.select("cand", "run", F.col("dst").alias("cell")).distinct()
         parts.append(written(hit.join(union(parts), ["cand", "run", "cell"], "left_anti").withColumn("arrival", F.lit(t))))
     reached = union(parts).groupBy("cand", "cell").agg((F.count("*") / repeats).alias("prob"), F.median("arrival").alias("simulated")).filter("prob >= 0.5")
     seen = tried.select("cand").crossJoin(observed.filter("arrival is not null").select("cell", F.col("arrival").alias("observed")))
