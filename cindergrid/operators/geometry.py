@@ -70,7 +70,8 @@ def neighbours(cells, *values, reach=MOORE):
     step = F.explode(F.array(*[F.struct(F.lit(k).alias("dir"), F.lit(i).alias("dr"), F.lit(j).alias("dc")) for k, (i, j) in enumerate(reach, 1)])).alias("s")
     a = cells.select(F.col("row").alias("src_row"), F.col("col").alias("src_col"), *[F.col(v).alias(f"src_{v}") for v in values], step)
     a = a.select("*", "s.dir", "s.dr", "s.dc", (F.col("src_row") + F.col("s.dr")).alias("row"), (F.col("src_col") + F.col("s.dc")).alias("col")).drop("s")
-    return a.join(cells.select("row", "col", *[F.col(v).alias(f"dst_{v}") for v in values]), ["row", "col"])
+    # The planner takes exploded rows for as few as their source's, and would send them to the driver and all tasks.
+    return a.join(cells.select("row", "col", *[F.col(v).alias(f"dst_{v}") for v in values]).hint("merge"), ["row", "col"])
 
 
 def dense(cells, values):

@@ -126,3 +126,9 @@ def test_a_row_of_100000_columns(spark):
     cells = spark.range(100_000).select(F.lit(0).alias("row"), F.col("id").alias("col"), F.col("id").isin(0, 40_000, 99_000).alias("hit"))
     got = geometry.distance_transform(cells, "hit").filter("distance <> least(col, abs(col - 40000), abs(col - 99000))").count()
     assert got == 0
+
+
+def test_neighbours_are_not_broadcast(spark):
+    cells = spark.range(100).selectExpr("id div 10 as row", "id % 10 as col", "id as v")
+    n = geometry.neighbours(cells, "v")
+    assert "Broadcast" not in n._jdf.queryExecution().executedPlan().toString() and n.count() == 4 * 3 + 32 * 5 + 64 * 8
