@@ -5,8 +5,9 @@ a coordinate. Darts under a document's rank bound that fall inside its region co
 signatures agree at a coordinate with the probability of weighted Jaccard similarity. Signatures join in BANDS bands; equal texts are one
 node. What can't be linked is left out before pairs are formed: two nodes share at most the units that are not theirs alone, so a node with too many
 units of its own (among all nodes that share a bucket with another) has no partner, or none in buckets of nodes as large as these; and two nodes differ in at least as many units as the bits of their parities. Of what is left, the node
-of each bucket with the fewest units of its own leads, and is compared with all others; then come all pairs of a bucket whose nodes are not yet
-connected. A link holds at similarity 0.8 or more, computed on the units themselves, and every pair of a bucket is compared, excluded by its
+of each bucket with the fewest units of its own leads, and is compared with all others. While the pairs across classes of buckets, or those of them
+that a round's leaders let expect, are more than the nodes of all buckets, LEADERS nodes drawn from each bucket (four times as many each round) are compared with all
+its others and leave it. At last come all pairs of a bucket that are left and whose nodes are not yet connected. So large groups cost pairs by their rows, not by the square of them. A link holds at similarity 0.8 or more, computed on the units themselves, and every pair of a bucket is compared, excluded by its
 bounds or already connected. Texts of under five words have one shingle, all their words; null,
 empty and wordless texts have none and match only their equals (null as empty). Rows of equal texts are one node whatever their doc_ids, null or repeated. Returns
 doc_id and class_id (the class's least doc_id; null if none of its rows has one) for all rows; an empty table gives no rows.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from cindergrid.llm.graph import components
 from cindergrid.llm.textkit import blocks, discard, marked, mix, shingles, words, written
 
-K, BANDS, N, BITS = 120, 24, 5, 1024
+K, BANDS, N, BITS, LEADERS = 120, 24, 5, 1024, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,6 +141,12 @@ def similar(pairs, units):
     return both.filter("9 * both >= 4 * (na + nb)").select("a", "b")
 
 
+def several(rows):
+    """Buckets whose nodes are of several classes c: h, k nodes, the largest class (big) and the pairs across classes."""
+    own = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("k"), F.max(F.struct("m", "c")).alias("of"), F.sum(F.expr("m * m")).alias("same"), F.count("*").alias("classes"))
+    return own.filter("classes > 1").selectExpr("h", "k", "of.c big", "(k * k - same) / 2 across")
+
+
 def linked(docs, nodes):
     """Links (a, b) between ids of nodes, or None where no bucket has two nodes."""
     rows = nodes.select("id", "n", "key", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("h"), "id", "n", "key")
@@ -161,14 +168,27 @@ def linked(docs, nodes):
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = written(similar(pairs, units))
     discard(pairs, rows)
-    whole = components(links)
-    open_ = able.join(whole.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    several = open_.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("h")
-    open_ = open_.join(several, "h").select("h", "id", "n", "q", "s", "c")
-    pairs = open_.toDF("h", "a", "na", "qa", "sa", "ca").join(open_.toDF("h", "b", "nb", "qb", "sb", "cb"), "h").filter(f"a < b and ca <> cb and {POSSIBLE} and {NEAR}")
-    pairs = written(pairs.select("a", "b").distinct())
+    limit, count, more, old = able.count(), LEADERS, None, []
+    rows = able
+    while True:
+        rows = rows.join(components(links).toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        rows = written(rows.join(several(rows), "h"))
+        if (more is not None and more <= limit) or (rows.agg(F.sum(F.expr("across / k"))).first()[0] or 0) <= limit:
+            break
+        lead = rows.groupBy("h", F.pmod(F.xxhash64("id", F.lit(count)), F.lit(count)).alias("part")).agg(F.min(F.struct(F.xxhash64("id", F.lit(-count)).alias("x"), "id", "n", "q", "s", "c")).alias("of"))
+        lead = written(lead.selectExpr("h", "of.id b", "of.n nb", "of.q qb", "of.s sb", "of.c cb"))
+        pairs = rows.selectExpr("h", "id a", "n na", "q qa", "s sa", "c ca", "k").join(lead, "h").filter(f"ca <> cb and {POSSIBLE} and {NEAR}")
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "k"))
+        old += [links, rows, lead, pairs]
+        links = written(links.union(similar(pairs.select("a", "b").distinct(), units)))
+        rows = rows.join(lead.selectExpr("h", "b id"), ["h", "id"], "left_anti").select("h", "id", "n", "q", "s")
+        more = pairs.agg(F.sum(F.expr(f"k / (2 * least({count}, k))"))).first()[0] or 0
+        count *= 4
+    least = rows.filter("c <> big").selectExpr("h", "id a", "n na", "q qa", "s sa", "c ca", "big")
+    pairs = least.join(rows.selectExpr("h", "id b", "n nb", "q qb", "s sb", "c cb"), "h").filter(f"ca <> cb and (cb = big or a < b) and {POSSIBLE} and {NEAR}")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     out = written(links.union(similar(pairs, units)))
-    discard(pairs, links, able)
+    discard(pairs, links, rows, able, *old)
     return out
 
 
