@@ -23,6 +23,8 @@ from cindergrid.llm.textkit import bounded, marked, written
 
 BUCKETS, WIDE, PARTS, LEADERS = 1 << 16, 96, 8, 8
 LEAST = -(1 << 63)
+PARTED = [f"fine{j}" for j in range(PARTS)]
+FOLDED = [f"fold{j}" for j in range(PARTS // 2)]
 #: White space within a line.
 SPACE = " \t\r\x0b\f"
 
@@ -51,9 +53,9 @@ def lines(keyed_docs):
     return keyed_docs.select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line")).filter(has_word(F.col("line")))
 
 
-def ranks(all_lines):
+def ranks(docs):
     """Rarity of each bucket of words, 0 (rare) to 126. (Small numbers keep the plan's text short, of which the driver holds many copies.)"""
-    seen = all_lines.select(F.explode(words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), number(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    seen = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), number(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
     return bounded({r.b: min(126, int(3 * math.log2(1 + r.n))) for r in seen.collect()}, BUCKETS)
 
 
@@ -63,11 +65,10 @@ def parity(keys):
 
 
 def word_keys(line, rank):
-    """Ordered keys of the distinct words."""
-    def key(w):
-        x = F.xxhash64(w)
-        return F.shiftleft(F.coalesce(F.get(rank, F.pmod(x, number(BUCKETS)).cast("int")), number(0)), 56) + F.shiftrightunsigned(x, 8)
-    return F.sort_array(F.array_distinct(F.transform(words(line), key)))
+    """Ordered keys of the distinct words. (A lambda's terms are worked out anew wherever they stand, so each word is hashed in a step of its own.)"""
+    def key(x):
+        return F.shiftleft(F.coalesce(F.get(rank, x.bitwiseAND(number(BUCKETS - 1)).cast("int")), number(0)), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), key)))
 
 
 #: The rarest keys, one of which at least is in every set of similarity 0.8 or more.
@@ -80,8 +81,8 @@ def signature():
 
 
 def fine_signature():
-    """The parity of the keys in each of PARTS classes by hash: closer than signature(), for the few lines that are asked for."""
-    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: parity(F.filter("keys", lambda k: F.shiftright(k, 6).bitwiseAND(number(PARTS - 1)) == j)))
+    """The parity of the keys in each of PARTS classes by hash: closer than signature(), for the few lines that are asked for. Two classes in one (FOLDED) are a parity too, of half the width."""
+    return [parity(F.filter("keys", lambda k: k.bitwiseAND(number((PARTS - 1) << 6)) == number(j << 6))).alias(c) for j, c in enumerate(PARTED)]
 
 
 def represented(all_lines, rank):
@@ -96,13 +97,15 @@ def represented(all_lines, rank):
 def spread(lines_, prefix, *more):
     """A row for each word of the prefix and cell: key, p (size n, place pos of the word, home), more.
 
-    A row goes to the cell of its size (a doubling), its home, and, as a guest, to the next one if it may match there.
+    A row goes to the cell of its size (a doubling), its home, and, as a guest, to the next one if it may match there: the lines at home there have
+    2^top words at least, and the guest's word stands early enough for one of these (PLACES).
     """
     def cell(n):
         return F.floor(F.log2(n)).cast("int")
     home, top = cell(F.col("n")), cell(F.expr("(5 * n) div 4"))
-    rows = lines_.select("n", *more, F.posexplode(prefix).alias("pos", "w"), home.alias("c"), F.when(top > home, F.array(home, top)).otherwise(F.array(home)).alias("cells"))
-    rows = rows.select("n", *more, "pos", "w", "c", F.explode("cells").alias("cell"))
+    rows = lines_.select("n", *more, F.posexplode(prefix).alias("pos", "w"), home.alias("c"), top.alias("top"))
+    guest = F.expr("top > c and 9L * pos <= 5L * n - 4 * shiftleft(1L, top)")
+    rows = rows.select("n", *more, "pos", "w", "c", F.explode(F.when(guest, F.array("c", "top")).otherwise(F.array("c"))).alias("cell"))
     return rows.select(F.hash("w", "cell").alias("key"), F.expr("n * 2097152L + least(pos, 524287) * 2 + if(cell = c, 1, 0)").alias("p"), *more)
 
 
@@ -112,7 +115,11 @@ NX, NY, PX, PY = "(x.p div 2097152)", "(y.p div 2097152)", "((x.p % 2097152) div
 PLACES = f"(({NX} < {NY} and y.p % 2 = 1) or ({NX} > {NY} and x.p % 2 = 1) or ({NX} = {NY} and x.p % 2 = 1 and y.p % 2 = 1)) and 9 * {PX} <= 5 * {NX} - 4 * {NY} and 9 * {PY} <= 5 * {NY} - 4 * {NX}"
 #: The words that they differ in are at least as many as their signatures' bits.
 BITS = f"9 * if(x.hi is null or y.hi is null, bit_count(x.sig ^ y.sig), bit_count(x.hi ^ y.hi) + bit_count(x.hi ^ x.sig ^ y.hi ^ y.sig)) <= {NX} + {NY}"
-FINE = f"9 * aggregate(zip_with(x.fine, y.fine, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) <= {NX} + {NY}"
+def fine(columns):
+    return f"9 * ({' + '.join(f'bit_count(x.{c} ^ y.{c})' for c in columns)}) <= {NX} + {NY}"
+
+
+FINE = fine(PARTED)
 MEET = f"x.key = y.key and {PLACES} and {BITS}"
 SIMILAR = "9 * size(array_intersect(x.keys, y.keys)) >= 4 * (size(x.keys) + size(y.keys))"
 
@@ -135,7 +142,7 @@ def asked_lines(asked, all_lines, rank):
     """
     own = all_lines.filter(marked(asked, "doc", "h", "no")).join(asked, ["doc", "h", "no"]).dropDuplicates(["id"])
     own = own.select("id", F.struct("doc", "h", "no").alias("at"), word_keys(F.col("line"), rank).alias("keys")).withColumn("n", F.size("keys"))
-    return written(own.select("*", *signature(), fine_signature().alias("fine")))
+    return written(own.select("*", *signature(), *fine_signature()))
 
 
 def led(own):
@@ -153,10 +160,11 @@ def matched(own):
     done = led(own)
 
     def rows(of=None, *more):
-        return spread(own if of is None else own.join(of, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", "fine", *more)
+        return spread(own if of is None else own.join(of, "id", "left_semi"), F.expr(PREFIX), "id", "at", "sig", "hi", *PARTED, *more)
     still = own.join(done.withColumn("off", F.lit(True)), "id", "left").withColumn("open", F.col("off").isNull())
-    both = spread(still, F.expr(PREFIX), "id", "at", "sig", "hi", "fine", "open")
-    late = written(partnered(both, both, f"x.open and y.at < x.at and {FINE}"))
+    still = still.select("*", *[F.col(a).bitwiseXOR(F.col(b)).alias(c) for a, b, c in zip(PARTED, PARTED[PARTS // 2:], FOLDED)])
+    both = spread(still, F.expr(PREFIX), "id", "at", "sig", "hi", *FOLDED, "open")
+    late = written(partnered(both, both, f"x.open and y.at < x.at and {fine(FOLDED)}"))
     early = written(partnered(rows().filter(marked(rows(late), "key")), rows(late), f"x.at < y.at and {FINE}"))
     return done.union(written(partnered(rows(late, "keys"), rows(early, "keys"), f"y.at < x.at and {FINE} and {SIMILAR}")))
 
@@ -164,7 +172,7 @@ def matched(own):
 def dedup_lines(docs, counts=False):
     """docs without lines that match an earlier one; with counts also n_lines and n_removed."""
     own = lines(keyed(docs))
-    rank = ranks(own)
+    rank = ranks(docs)
     reps = represented(own, rank)
     asked = written(reps.select("id", "doc", "h", "no").join(hopeful(reps), "id", "left_semi"))
     gone = matched(asked_lines(asked, own, rank))
