@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W, functions as F
 
-from cindergrid.llm.textkit import blocks, discard, shingles, words, written
+from cindergrid.llm.textkit import blocks, discard, mapped, shingles, words, written
 
 SEED, STRETCH, RARE, BITS, PROBES, THRESHOLD, MATCH, MISS, GAP = 4, 12, 3, 1 << 24, 3, 0.6, 2, -1, -1
 
@@ -112,7 +112,7 @@ def hits(docs, seeds):
                 runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(s), pa.array(at - first[row[at]])], fields=list(kind.value_type)))
                 pick = pa.array(own + lo)
                 yield pa.record_batch([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), runs], names=["doc_id", "key", "text", "runs"])
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, text string, runs array<struct<n:int,s:long,at:long>>")
+    return mapped(docs.select("doc_id", text_key().alias("key"), "text"), run, "doc_id long, key binary, text string, runs array<struct<n:int,s:long,at:long>>")
 
 
 def text_key():
@@ -143,7 +143,7 @@ def aligned(pairs):
                     out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *found))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["key", "item_id", "score", "start", "end"])
-    return pairs.select("key", "item_id", "text", "words", "places").mapInArrow(run, "key binary, item_id long, score double, start long, end long")
+    return mapped(pairs.select("key", "item_id", "text", "words", "places"), run, "key binary, item_id long, score double, start long, end long")
 
 
 def leaks(docs, benchmark):

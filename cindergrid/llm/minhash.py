@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cindergrid.llm.graph import components
-from cindergrid.llm.textkit import blocks, discard, marked, mix, shingles, words, written
+from cindergrid.llm.textkit import blocks, discard, mapped, marked, mix, shingles, words, written
 
 K, BANDS, N, BITS, LEADERS = 120, 24, 5, 1024, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +95,7 @@ def sign(docs):
                 u, row = elements(data, offs)
                 b, count = bands(signatures(u, row, hi - lo)), np.bincount(row, minlength=hi - lo)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array([x if y else [] for x, y in zip(b, count)], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
-    return docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
+    return mapped(docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, key binary, n long, bands array<long>")
 
 
 def parities(units, row, n):
@@ -118,7 +118,7 @@ def with_units(texts):
                 ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 width = np.arange(hi - lo + 1, dtype=np.int32) * (BITS // 64)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(u.view(np.int64))), pa.ListArray.from_arrays(pa.array(width), pa.array(parities(u, row, hi - lo).ravel()))], names=["id", "units", "parity"])
-    return texts.mapInArrow(run, "id long, units array<long>, parity array<long>")
+    return mapped(texts, run, "id long, units array<long>, parity array<long>")
 
 
 def similarity(a, b):

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 
+from cindergrid.llm.textkit import mapped
+
 #: Words of at most SHORT characters are kept, with their ids, until there are more than KEPT.
 SIZE, POOL, KEPT, SHORT = 2048, 20000, 1 << 17, 64
 #: Scripts whose letters, digits and spaces are the same in all versions of the tables that the patterns use.
@@ -173,4 +175,4 @@ def packer(path, size, with_ids):
 def pack(docs, tokenizer=None, size=SIZE, ids=True):
     """Pieces with their places and the checksum of their ids, and the ids themselves unless they aren't asked for."""
     schema = SCHEMA if ids else SCHEMA.rpartition(",")[0]
-    return docs.select("doc_id", "text").mapInArrow(packer(tokenizer or default_tokenizer(), size, ids), schema)
+    return mapped(docs.select("doc_id", "text"), packer(tokenizer or default_tokenizer(), size, ids), schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cindergrid.llm.textkit import blocks
+from cindergrid.llm.textkit import blocks, mapped
 
 WIDTH, STRIDE, DIM, FILTERS, CHUNK, SAMPLE, EPOCHS = 8, 1, 8, 24, 1024, 2000, 6
 
@@ -94,7 +94,7 @@ def kept(docs, net, least):
     def run(it):
         for batch in it:
             yield batch.filter(pa.array(probabilities(batch.column(i), net) >= least))
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def probabilities(texts, net):
@@ -114,4 +114,4 @@ def score(docs, net):
         for batch in it:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probabilities(batch.column(i), net))], names=[*names, "score"])
     kept_ = docs.select(*names)
-    return kept_.mapInArrow(run, StructType(list(kept_.schema.fields)).add("score", "double"))
+    return mapped(kept_, run, StructType(list(kept_.schema.fields)).add("score", "double"))
