@@ -43,9 +43,9 @@ def has_word(line):
 
 
 def words(line):
-    """Words with repeats. Splitting at a single sign is much faster than at a pattern, so other white space is replaced where there is some."""
+    """Words with repeats, and empty ones between. Splitting at a single sign is much faster than at a pattern, so other white space is replaced where there is some."""
     other = reduce(lambda x, y: x | y, [F.contains(line, F.lit(c)) for c in SPACE[1:]])
-    return F.array_remove(F.split(F.when(other, F.translate(line, SPACE[1:], " " * 4)).otherwise(line), " "), "")
+    return F.split(F.when(other, F.translate(line, SPACE[1:], " " * 4)).otherwise(line), " ")
 
 
 def lines(keyed_docs):
@@ -55,7 +55,7 @@ def lines(keyed_docs):
 
 def ranks(docs):
     """Rarity of each bucket of words, 0 (rare) to 126. (Small numbers keep the plan's text short, of which the driver holds many copies.)"""
-    seen = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), number(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    seen = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(number(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     return bounded({r.b: min(126, int(3 * math.log2(1 + r.n))) for r in seen.collect()}, BUCKETS)
 
 
@@ -65,10 +65,11 @@ def parity(keys):
 
 
 def word_keys(line, rank):
-    """Ordered keys of the distinct words. (A lambda's terms are worked out anew wherever they stand, so each word is hashed in a step of its own.)"""
+    """Ordered keys of the distinct words. (A lambda's terms are worked out anew wherever they stand, so each word is hashed in a step of its own; what can be done on the hashes isn't done on the words.)"""
     def key(x):
-        return F.shiftleft(F.coalesce(F.get(rank, x.bitwiseAND(number(BUCKETS - 1)).cast("int")), number(0)), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), key)))
+        return F.shiftleft(F.get(rank, x.bitwiseAND(number(BUCKETS - 1)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 #: The rarest keys, one of which at least is in every set of similarity 0.8 or more.
@@ -140,7 +141,7 @@ def asked_lines(asked, all_lines, rank):
 
     The lines are found by a bit table of fixed size, so that few others are shuffled; a full table only lets more through.
     """
-    own = all_lines.filter(marked(asked, "doc", "h", "no")).join(asked, ["doc", "h", "no"]).dropDuplicates(["id"])
+    own = all_lines.filter(marked(asked, "doc", "h", "no", probes=3)).join(asked, ["doc", "h", "no"]).dropDuplicates(["id"])
     own = own.select("id", F.struct("doc", "h", "no").alias("at"), word_keys(F.col("line"), rank).alias("keys")).withColumn("n", F.size("keys"))
     return written(own.select("*", *signature(), *fine_signature()))
 
