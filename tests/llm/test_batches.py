@@ -4,7 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cindergrid.llm import decontam, minhash, packing, quality, textkit
+from cindergrid.llm import decontam, minhash, packing, quality
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def largest(df):
@@ -16,9 +18,9 @@ def largest(df):
 
 @pytest.fixture
 def bound(spark):
-    before = spark.conf.get(textkit.BATCH)
-    yield lambda n: spark.conf.set(textkit.BATCH, n)
-    spark.conf.set(textkit.BATCH, before)
+    before = spark.conf.get(BATCH)
+    yield lambda n: spark.conf.set(BATCH, n)
+    spark.conf.set(BATCH, before)
 
 
 @pytest.mark.parametrize("call", [
