@@ -240,8 +240,16 @@ NEAREST = f"WITH p AS ({PLACES}), q AS (SELECT s_suppkey AS id, s_suppkey * 5 %
 
 
 def nearest_supplier(s, d, **how):
+    """One row for each part key, the nearest of its rows' suppliers; without a cutoff, a key that has no place or meets none has the least supplier and no distance."""
     own = table(s, d, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 5 % 47 + .75).alias("x"), (F.col("s_suppkey") * 7 % 50 + .5).alias("y"))
-    return rounded(joins.nearest_points(places(s, d).withColumnRenamed("p_partkey", "ask"), own, "ask", "point", "x", "y", 4.0, **how))
+    asks = places(s, d).withColumnRenamed("p_partkey", "ask")
+    found = joins.nearest_points(asks, own, "ask", "point", "x", "y", 4.0, **how)
+    if "cutoff" not in how:
+        least = own.agg(F.min("point").alias("point"), F.count("*").alias("n")).filter("n > 0")
+        lone = asks.join(F.broadcast(least), F.lit(True)).filter("x is null or y is null or point is null")
+        found = found.union(lone.select("ask", "point", F.lit(None).cast("double")))
+    near = found.groupBy("ask").agg(F.min(F.struct(F.isnull("distance").alias("lone"), "distance", "point")).alias("of"))
+    return rounded(near.select("ask", "of.point", "of.distance"))
 
 
 @query(NEAREST.replace("NEAR ", "true "))
