@@ -115,11 +115,11 @@ def principal_axis(df, group, x, y):
 
 def lower_envelope(places, heights, asked):
     """Least (x - place)² + height over all places, for each asked x. places in rising order; one pass over each."""
-    kept, begins = [], []
-    for i in np.flatnonzero(np.isfinite(heights)):
+    kept, begins, x, lift = [], [], places.tolist(), (heights + places ** 2).tolist()
+    for i in np.flatnonzero(np.isfinite(heights)).tolist():
         while kept:
             j = kept[-1]
-            meet = ((heights[i] + places[i] ** 2) - (heights[j] + places[j] ** 2)) / (2 * (places[i] - places[j]))
+            meet = (lift[i] - lift[j]) / (2 * (x[i] - x[j]))
             if meet > begins[-1]:
                 break
             kept.pop(), begins.pop()
@@ -132,10 +132,12 @@ def lower_envelope(places, heights, asked):
 
 
 def distance_transform(cells, hit, size=1.0):
-    """row, col and distance of each cell's centre to that of the nearest cell for which hit holds; null without any. cells: row, col, hit; there may be gaps. Exact, in time linear in the raster (but for sorting).
+    """row, col and distance of each cell's centre to that of the nearest cell for which hit holds; null without any, and for cells without a row or column. cells: row, col, hit; there may be gaps. Exact, in time linear in the raster (but for sorting).
 
     Down each column the nearest hit row is found; along each row the least of the parabolas over these heights. A task holds a column or a row of cells at a time.
     """
+    nowhere = cells.filter("row is null or col is null").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.lit(None).cast("double").alias("distance")).distinct()
+    cells = cells.filter("row is not null and col is not null")
     # Columns with hits have a place in every row, so that gaps among the cells pass distances on.
     ends = cells.agg(F.min("row").alias("_first"), F.max("row").alias("_last"))
     lattice = cells.filter(F.col(hit)).select("col").distinct().crossJoin(F.broadcast(ends)).select(F.explode(F.sequence("_first", "_last")).alias("row"), "col", F.lit(False).alias("_hit"), F.lit(False).alias("_asked"))
@@ -143,13 +145,33 @@ def distance_transform(cells, hit, size=1.0):
     own = own.repartition("col").groupBy("col", "row").agg(F.max("_hit").alias("_hit"), F.max("_asked").alias("_asked"))
     seen = F.when(F.col("_hit"), F.col("row"))
     down = W.partitionBy("col").orderBy("row")
-    before, after = F.max(seen).over(down), F.min(seen).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # A window that ends with the last row would be summed anew for each row.
+    before, after = F.max(seen).over(down), F.min(seen).over(W.partitionBy("col").orderBy(F.desc("row")))
     high = own.select("row", "col", "_asked", F.least(F.col("row") - before, after - F.col("row")).cast("double").alias("_high"))
 
-    def along(table):
-        row, col, height, asked = (table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "_high", "_asked"))
-        order = np.argsort(col)
-        row, col, height, asked = row[order], col[order].astype(float), height[order].astype(float), asked[order].astype(bool)
-        found = np.sqrt(lower_envelope(col, height ** 2, col[asked])) * size
-        return pa.table({"row": pa.array(row[asked], pa.int64()), "col": pa.array(col[asked].astype(np.int64)), "distance": pa.array(found, pa.float64(), from_pandas=True)})
-    return high.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "_asked", "_high").groupBy("row").applyInArrow(along, "row long, col long, distance double")
+    def along(parts):
+        row, col, height, asked = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(4))
+        col, height, asked = col.astype(float), height.astype(float) ** 2, asked.astype(bool)
+        cut = np.append(np.flatnonzero(np.diff(row, prepend=row[0] - 1)), len(row))
+        found = [lower_envelope(col[i:j], height[i:j], col[i:j][asked[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
+        return pa.record_batch([pa.array(row[asked]), pa.array(col[asked].astype(np.int64)), pa.array(np.sqrt(np.concatenate(found)) * size, from_pandas=True)], names=["row", "col", "distance"])
+
+    def run(batches):
+        # Rows of cells may go on in the next batch.
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch.column(0).to_numpy()
+            last = int(np.searchsorted(row, row[-1]))
+            if held and held[-1].column(0)[-1].as_py() != row[0]:
+                yield along(held)
+                held = []
+            if last:
+                yield along([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield along(held)
+    rows = high.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "_high", "_asked")
+    return rows.repartition("row").sortWithinPartitions("row", "col").mapInArrow(run, "row long, col long, distance double").unionByName(nowhere)
