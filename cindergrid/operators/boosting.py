@@ -13,6 +13,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from cindergrid.operators.state import written
@@ -100,9 +101,9 @@ def scored(df, models, fold=None):
             if fold is None:
                 score = models.probability(numbers(batch, models.features))
             else:
-                own, score = batch.column(names.index(fold)).to_pylist(), np.full(batch.num_rows, np.nan)
+                own, score = batch.column(names.index(fold)), np.full(batch.num_rows, np.nan)
                 for k, m in models.items():
-                    at = np.flatnonzero([x == k for x in own])
+                    at = np.flatnonzero(pc.equal(own, pa.scalar(k, own.type)).fill_null(False).to_numpy(zero_copy_only=False))
                     score[at] = m.probability(numbers(batch.take(pa.array(at)), m.features)) if len(at) else []
             yield pa.record_batch([*batch.columns, pa.array(score, pa.float64(), from_pandas=True)], names=[*names, "score"])
     return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, ("score", "double")]))
@@ -329,7 +330,6 @@ def boost(df, features, label, fold, trees=400, rate=.06, leaves=31, least=40, l
     for m in models:
         n, p = (sum(v[i] for k, v in counts.items() if fold is None or k != m) for i in (0, 1))
         start.append(float(np.log(p / (n - p))) if 0 < p < n else float("inf") if n and p == n else float("-inf"))
-    own = {k: i for i, k in enumerate(models)}
     draw = F.pmod(F.xxhash64(F.lit(seed), *([key] if key else features)), F.lit(10_000)) < int(10_000 * share)
     base = df.select(group.alias("f"), draw.alias("v"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     first = [x if np.isfinite(x) else 0.0 for x in start]
@@ -337,8 +337,10 @@ def boost(df, features, label, fold, trees=400, rate=.06, leaves=31, least=40, l
     def put(batches):
         for batch in batches:
             bins = binned(numbers(batch, [f"x{i}" for i in range(len(features))]), cuts)
-            f = np.array([own.get(x, -1) for x in batch.column(0).to_pylist()], np.int32)
-            yield pa.record_batch([pa.array(f), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in bins], pa.binary())], names=["f", "v", "y", "bins"])
+            f = pc.index_in(batch.column(0), value_set=pa.array(models, pa.int32())).fill_null(-1)
+            ends = np.arange(len(bins) + 1, dtype=np.int32) * len(features)
+            texts = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(bins.tobytes())])
+            yield pa.record_batch([f, batch.column(1), batch.column(2), texts], names=["f", "v", "y", "bins"])
     rows = base.mapInArrow(put, "f int, v boolean, y int, bins binary").groupBy("f", "v", "y", "bins").agg(F.count("*").alias("n"))
     rows = written(rows.withColumn("raw", F.array(*map(F.lit, first)).cast("array<double>")))
     how = {"trees": trees, "rate": rate, "leaves": leaves, "least": least, "l2": l2, "patience": patience}

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -62,13 +62,23 @@ def scored(model, df, features):
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
+def fitted(estimator, df, features, label):
+    """estimator fitted to all rows. The logistic model, which reads its rows in each of its steps, reads rows of equal features and label once, with their count as weight."""
+    rows, last = prepared(df, features), estimator.getStages()[-1] if isinstance(estimator, Pipeline) else None
+    if not isinstance(last, LogisticRegression) or last.isSet("weightCol"):
+        return estimator.fit(rows)
+    first = Pipeline(stages=estimator.getStages()[:-1]).fit(rows)
+    counted = rows.groupBy(*[f"{c}_zero" for c in features], label).agg(F.count("*").cast("double").alias("_n"))
+    return PipelineModel([*first.stages, last.copy({last.weightCol: "_n"}).fit(first.transform(counted))])
+
+
 def out_of_fold(df, estimator, features, label, fold="fold"):
     """Each row scored by a model of the other folds; a fold whose training rows have one label gets their share of positives."""
     folds, parts = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()], []
     for f in folds:
         train, held = df.filter(F.col(fold) != f), df.filter(F.col(fold) == f)
         share = train.agg(F.avg(label)).first()[0]
-        parts.append(held.withColumn("score", F.lit(share)) if share in (None, 0, 1) else scored(estimator.fit(prepared(train, features)), held, features))
+        parts.append(held.withColumn("score", F.lit(share)) if share in (None, 0, 1) else scored(fitted(estimator, train, features, label), held, features))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -391,13 +391,15 @@ FEATURES = ["quantity", "discount", "tax"]
 def gbt_score(s, d):
     """Out-of-fold metrics of boosted trees (400 at most), a single year held out at a time, and of blocks in five folds; under the same blocks those of logistic models of all features and of one, and of the training share."""
     rows = model.written(risk_rows(s, d))
-    years = rows.join(windows.dense_ranks(rows.select("year").distinct(), "year", "fold"), "year")
-    blocks = model.written(rows.join(model.group_folds(rows, "block"), "block"))
+    # What no model reads isn't sent through them.
+    needed = ["id", "fold", "label", *FEATURES]
+    years = rows.join(windows.dense_ranks(rows.select("year").distinct(), "year", "fold"), "year").select(needed)
+    blocks = model.written(rows.join(model.group_folds(rows, "block"), "block").select(needed))
     found = {("years", "boosted"): model.boosted_out_of_fold(years, FEATURES, "label", key="id"), ("blocks", "boosted"): model.boosted_out_of_fold(blocks, FEATURES, "label", key="id"),
              ("blocks", "logistic"): model.out_of_fold(blocks, model.logistic(FEATURES, "label"), FEATURES, "label"), ("blocks", "quantity"): model.out_of_fold(blocks, model.logistic(["quantity"], "label"), ["quantity"], "label"), ("blocks", "prior"): model.prior_out_of_fold(blocks, "label")}
     out = []
     for (scheme, name), scores in found.items():
-        scores = model.written(scores)
+        scores = model.written(scores.select("fold", "label", "score"))
         whole = metrics.average_precision(scores, "label", "score").crossJoin(metrics.roc_auc(scores, "label", "score")).crossJoin(metrics.brier(scores, "label", "score"))
         each = metrics.average_precisions(scores, ["fold"], "label", "score").agg(F.avg("ap").alias("fold_mean"), F.stddev_samp("ap").alias("fold_sd"))
         out.append(whole.crossJoin(each).select(F.lit(scheme).alias("scheme"), F.lit(name).alias("model"), "*"))
